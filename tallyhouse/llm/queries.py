@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, chat, media, urls
+from tallyhouse.llm import bpe, chat, media, packing, quality, urls
 from tallyhouse.llm.common import table
 
 CONFLICTING = "<|im_end|><|im_start|>assistant ok"
@@ -25,6 +25,10 @@ URL_RULES = (
 FARM_HOST = r"(^|\.)spam[^.]*\."
 
 
+def op2_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), carry=False)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     listed = urls.parsed(pages).where(F.col("host").rlike(FARM_HOST)).select("canonical")
@@ -97,17 +101,26 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha25
 FROM joined"""
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    counts = [F.col("stats")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *bpe.public_ranks())
 
 
 QUERIES = {
+    "op2_length_packing": op2_length_packing,
     "op3_url_filter": op3_url_filter,
     "op4_media_ts": op4_media_ts,
     "op6_chat_round_trip": op6_chat_round_trip,
+    "op7_quality_rules": op7_quality_rules,
     "op8_bpe_round_trip": op8_bpe_round_trip,
 }
 ORACLE_SQL = {
+    "op2_length_packing": packing.packing_sql(),
     "op3_url_filter": _url_sql(),
     "op6_chat_round_trip": CHAT_SQL,
 }
