@@ -126,23 +126,29 @@ def _gain(p: np.ndarray, n: np.ndarray, p0: int, n0: int) -> np.ndarray:
         return np.where(p > 0, p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0))), -1.0)
 
 
-def _grow(rows: np.ndarray, bad: np.ndarray, cuts: list[np.ndarray], most: int) -> Rule:
+def _best_condition(rows: np.ndarray, bad: np.ndarray, inside: np.ndarray, cuts: list[np.ndarray], features: range | list[int]) -> tuple[str, bool, float] | None:
+    p0, n0 = int((inside & bad).sum()), int((inside & ~bad).sum())
+    best, found = 1e-9, None
+    for f in features:
+        under = rows[:, f, None] <= cuts[f]
+        for below, hit in ((True, under), (False, ~under)):
+            hit = hit & inside[:, None]
+            gain = _gain((hit & bad[:, None]).sum(0), (hit & ~bad[:, None]).sum(0), p0, n0)
+            if len(gain) and gain.max() > best:
+                best, found = gain.max(), (FEATURES[f], below, float(cuts[f][gain.argmax()]))
+    return found
+
+
+def _grow(rows: np.ndarray, bad: np.ndarray, cuts: list[np.ndarray], first: int, most: int) -> Rule:
+    """A conjunction that begins with feature ``first`` and grows until it covers no good row."""
     conditions: list[tuple[str, bool, float]] = []
     inside = np.ones(len(rows), bool)
     while len(conditions) < most and (inside & ~bad).any():
-        p0, n0 = int((inside & bad).sum()), int((inside & ~bad).sum())
-        best = (1e-9, None)
-        for f, name in enumerate(FEATURES):
-            under = rows[:, f, None] <= cuts[f]
-            for below, hit in ((True, under), (False, ~under)):
-                hit = hit & inside[:, None]
-                gain = _gain((hit & bad[:, None]).sum(0), (hit & ~bad[:, None]).sum(0), p0, n0)
-                if len(gain) and gain.max() > best[0]:
-                    best = (gain.max(), (name, below, float(cuts[f][gain.argmax()])))
-        if best[1] is None:
+        one = _best_condition(rows, bad, inside, cuts, range(len(FEATURES)) if conditions else [first])
+        if one is None:
             break
-        conditions.append(best[1])
-        inside &= Rule((best[1],)).covers(rows)
+        conditions.append(one)
+        inside &= Rule((one,)).covers(rows)
     return Rule(tuple(conditions))
 
 
@@ -151,17 +157,17 @@ def _prune(rule: Rule, rows: np.ndarray, bad: np.ndarray) -> Rule:
 
     def worth(r: Rule) -> float:
         hit = r.covers(rows)
-        p = int((hit & bad).sum())
-        return (p + 1) / (int(hit.sum()) + 2)
+        return (int((hit & bad).sum()) + 1) / (int(hit.sum()) + 2)
 
     heads = [Rule(rule.conditions[: k + 1]) for k in range(len(rule.conditions))]
     return max(heads, key=worth) if heads else rule
 
 
-def learn(rows: np.ndarray, bad: np.ndarray, precision: float = 0.95, most_rules: int = 16, most_conditions: int = 3) -> list[Rule]:
-    """Sequential covering: rules in order, each grown on two thirds of the rows left
-    and pruned on the others; it ends when a rule is less precise than ``precision``
-    on the rows that it covers, or covers fewer than three."""
+def learn(rows: np.ndarray, bad: np.ndarray, precision: float = 0.98, most_rules: int = 16, most_conditions: int = 3) -> list[Rule]:
+    """Sequential covering: in each round a rule is grown from each feature on two thirds
+    of the rows left and pruned on the others; of those whose precision on all rows left is
+    at least ``precision`` the one that covers most bad rows joins the list and its rows go.
+    It ends when no such rule covers three bad rows."""
     rules: list[Rule] = []
     part = np.arange(len(rows)) % 3 == 2
     left = np.ones(len(rows), bool)
@@ -171,14 +177,17 @@ def learn(rows: np.ndarray, bad: np.ndarray, precision: float = 0.95, most_rules
         middles = (values[1:] + values[:-1]) / 2
         cuts.append(middles if len(middles) <= 64 else middles[np.linspace(0, len(middles) - 1, 64).astype(int)])
     while len(rules) < most_rules and (left & bad & ~part).sum() >= 3:
-        rule = _grow(rows[left & ~part], bad[left & ~part], cuts, most_conditions)
-        rule = _prune(rule, rows[left & part], bad[left & part])
-        hit = rule.covers(rows) & left
-        p = int((hit & bad).sum())
-        if not rule.conditions or p < 3 or p < precision * hit.sum():
+        best, most = None, 2
+        for first in range(len(FEATURES)):
+            rule = _prune(_grow(rows[left & ~part], bad[left & ~part], cuts, first, most_conditions), rows[left & part], bad[left & part])
+            hit = rule.covers(rows) & left
+            p = int((hit & bad).sum())
+            if rule.conditions and p > most and p >= precision * hit.sum():
+                best, most = rule, p
+        if best is None:
             break
-        rules.append(rule)
-        left &= ~hit
+        rules.append(best)
+        left &= ~best.covers(rows)
     return rules
 
 
