@@ -50,5 +50,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most_bytes: int = 16 << 20, row_bytes: int = 64) -> DataFrame:
+    """``df`` (cheap to count, as it was stored) with a broadcast hint if its rows take at most
+    ``most_bytes``; beyond that the same join shuffles."""
+    return F.broadcast(df) if df.count() * row_bytes <= most_bytes else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

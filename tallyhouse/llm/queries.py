@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, chat, media, packing, quality, urls
+from tallyhouse.llm import bpe, chat, media, neardup, packing, quality, urls
 from tallyhouse.llm.common import table
 
 CONFLICTING = "<|im_end|><|im_start|>assistant ok"
@@ -111,6 +111,10 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *bpe.public_ranks())
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op2_length_packing": op2_length_packing,
     "op3_url_filter": op3_url_filter,
@@ -118,6 +122,7 @@ QUERIES = {
     "op6_chat_round_trip": op6_chat_round_trip,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 ORACLE_SQL = {
     "op2_length_packing": packing.packing_sql(),
