@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, chat, media, neardup, packing, quality, urls
+from tallyhouse.llm import bpe, chat, linededup, media, neardup, packing, quality, urls
 from tallyhouse.llm.common import table
 
 CONFLICTING = "<|im_end|><|im_start|>assistant ok"
@@ -115,6 +115,14 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    n_dropped = F.size("dropped").cast("long")
+    found = linededup.drop_lines(docs.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")))
+    return found.select("doc_id", "n_lines", n_dropped.alias("n_dropped"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+
+
 QUERIES = {
     "op2_length_packing": op2_length_packing,
     "op3_url_filter": op3_url_filter,
@@ -123,9 +131,11 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL = {
     "op2_length_packing": packing.packing_sql(),
     "op3_url_filter": _url_sql(),
     "op6_chat_round_trip": CHAT_SQL,
+    "op10_line_dedup": linededup.line_sql(),
 }
