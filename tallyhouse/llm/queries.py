@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, chat, linededup, media, neardup, packing, quality, urls
+from tallyhouse.llm import bpe, chat, linededup, lm, media, neardup, packing, quality, urls
 from tallyhouse.llm.common import table
 
 CONFLICTING = "<|im_end|><|im_start|>assistant ok"
@@ -74,6 +74,10 @@ def op4_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.sql(f"SELECT -1L AS conv_id, col1 AS turn, col2 AS role, '{CONFLICTING}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(col1, col2)")
@@ -127,6 +131,7 @@ QUERIES = {
     "op2_length_packing": op2_length_packing,
     "op3_url_filter": op3_url_filter,
     "op4_media_ts": op4_media_ts,
+    "op5_deleted_interpolation": op5_deleted_interpolation,
     "op6_chat_round_trip": op6_chat_round_trip,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe_round_trip": op8_bpe_round_trip,
