@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but these six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+BLANK_CHARACTERS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, chat, linededup, lm, media, neardup, packing, quality, urls
+from tallyhouse.llm import bpe, chat, linededup, lm, media, neardup, packing, pii, quality, urls
 from tallyhouse.llm.common import table
 
 CONFLICTING = "<|im_end|><|im_start|>assistant ok"
@@ -25,6 +25,10 @@ URL_RULES = (
 FARM_HOST = r"(^|\.)spam[^.]*\."
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op2_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), carry=False)
 
@@ -128,6 +132,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_personal_data": op1_personal_data,
     "op2_length_packing": op2_length_packing,
     "op3_url_filter": op3_url_filter,
     "op4_media_ts": op4_media_ts,
