@@ -44,9 +44,9 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
                TS'2024-01-02 00:00:00', CASE WHEN item_id % 2 = 0 THEN TS'2024-01-15 00:00:00' END, CAST(NULL AS TIMESTAMP)
         FROM positions WHERE location_id % 13 = 0"""),
     "legs": (("lineitem",), """
-        SELECT l_orderkey AS transaction_id, l_linenumber AS line, CAST(l_shipdate AS DATE) AS posted_on, l_suppkey AS location_id, l_partkey AS item_id, CAST(-l_quantity AS DECIMAL(24,6)) AS physical_delta FROM lineitem
+        SELECT l_orderkey AS transaction_id, l_linenumber AS line, l_shipdate AS posted_on, l_suppkey AS location_id, l_partkey AS item_id, CAST(-l_quantity AS DECIMAL(24,6)) AS physical_delta FROM lineitem
         UNION ALL
-        SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE), (l_suppkey * 7) % 100, l_partkey, CAST(CASE WHEN l_partkey % 97 = 0 THEN l_quantity - 1 ELSE l_quantity END AS DECIMAL(24,6)) FROM lineitem"""),
+        SELECT l_orderkey, l_linenumber, l_shipdate, (l_suppkey * 7) % 100, l_partkey, CAST(CASE WHEN l_partkey % 97 = 0 THEN l_quantity - 1 ELSE l_quantity END AS DECIMAL(24,6)) FROM lineitem"""),
     "works": (("orders",), """
         SELECT o_orderkey AS work_id, o_orderstatus AS tenant_id, CAST(o_custkey % 10 AS INT) AS warehouse_id, CAST(substring(o_orderpriority, 1, 1) AS INT) AS priority, NULLIF(o_custkey % 7, 0) AS due_at, o_orderdate AS created_at,
                CASE o_orderkey % 6 WHEN 0 THEN 'completed' WHEN 1 THEN 'assigned' ELSE 'released' END AS state FROM orders"""),
