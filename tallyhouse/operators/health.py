@@ -125,7 +125,7 @@ def drift(expected: DataFrame, actual: DataFrame, tolerance: dict[str, float] |
     both = expected.withColumnRenamed("value", "expected").join(actual.withColumnRenamed("value", "actual"), ["resource", "field"], "full")
     same = F.col("expected").eqNullSafe(F.col("actual"))
     for field, most in (tolerance or {}).items():
-        near = F.abs(F.try_to_number("expected", F.lit("S999999999D999999")).cast("double") - F.try_to_number("actual", F.lit("S999999999D999999")).cast("double")) <= most
+        near = F.abs(F.col("expected").try_cast("double") - F.col("actual").try_cast("double")) <= most
         same = F.when(F.col("field") == field, same | F.coalesce(near, F.lit(False))).otherwise(same)
     return both.where(~same)
 

@@ -9,7 +9,7 @@ from datetime import date, datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from tallyhouse.functions.text import split_pipe
 
@@ -18,7 +18,7 @@ EVENT_TYPE = "^[a-z][a-z0-9_]*([.][a-z0-9_]+)+$"
 FAILURE_CODE = "^[a-z][a-z0-9_]{0,99}$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def yaml_to_json(documents: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """A YAML document as JSON text; dates become ISO strings."""
     import yaml
@@ -47,7 +47,7 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType | str, mul
 def read_snapshots(spark: SparkSession, glob: str, keys: tuple[str, ...]) -> DataFrame:
     """JSON snapshot artifacts: sha256 of the exact bytes, the fields as strings, and why a file is rejected (missing or extra keys)."""
     files = spark.read.format("binaryFile").load(glob)
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     found = files.select("path", F.sha2("content", 256).alias("sha256"), F.from_json(text, "map<string,string>").alias("fields"), F.json_object_keys(text).alias("names"))
     exact = F.coalesce(F.array_sort("names") == F.array(*[F.lit(k) for k in sorted(keys)]), F.lit(False))
     reason = F.when(F.col("names").isNull(), "invalid_json").when(~exact, "unexpected_keys")
