@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import text
-from tallyhouse.operators import availability, health, knowledge, ledger, pipeline, projection, quality, replay, telemetry, work
+from tallyhouse.operators import availability, control, health, knowledge, ledger, pipeline, projection, quality, replay, telemetry, work
 from tallyhouse.operators.availability import SCOPE, qty
 from tallyhouse.plans.mapping import AS_OF, HOLD_AS_OF, Source, with_relations
 from tallyhouse.sources import exposition
@@ -649,3 +649,64 @@ def l6_commitment_replay(s: Source) -> DataFrame:
 def wk_work_replay(s: Source) -> DataFrame:
     steps = F.element_at(F.array(*[F.lit(k) for k in ("release", "claim", "start", "confirm", "start", "complete", "raise", "resume", "cancel")]), (F.col("event_id") % 9 + 1).cast("int"))
     return replay.replay_works(s.table("events").select(F.col("user_id").alias("work_id"), F.col("event_id").alias("command_id"), steps.alias("command"), F.lit("r").alias("resource_id"), F.col("ts").alias("recorded_at")))
+
+
+# ---- control plane ----------------------------------------------------------------------------
+
+CASES = "SELECT event_id, event_id % 3 <> 0 AS has_migration, CASE event_id % 4 WHEN 0 THEN 'expired' WHEN 1 THEN 'active' END AS phase, CASE user_id % 3 WHEN 0 THEN 'target' WHEN 1 THEN 'source' END AS matched, CAST(event_id % 5 AS INT) AS resources FROM events"
+
+
+@query((), f"""
+WITH c AS ({CASES}), d AS (SELECT event_id, CASE WHEN NOT has_migration THEN CASE WHEN matched = 'target' THEN 'target_already_deployed' ELSE 'migration_required' END
+  WHEN phase = 'expired' THEN CASE WHEN matched = 'target' THEN 'migration_cleanup_required' WHEN matched = 'source' THEN 'migration_expired' ELSE 'live_state_unexpected' END
+  WHEN matched = 'target' THEN 'migration_target_reached' WHEN matched IS DISTINCT FROM 'source' THEN 'live_state_unexpected' WHEN resources <> 1 THEN 'migration_requires_single_resource' ELSE 'migration_ready' END AS code FROM c)
+SELECT event_id, 'topology_' || code AS code, CASE WHEN code IN ('target_already_deployed', 'migration_cleanup_required', 'migration_target_reached') THEN 'no_changes' WHEN code = 'migration_ready' THEN 'safe_to_apply' ELSE 'blocked' END AS decision,
+  CASE WHEN code = 'migration_cleanup_required' THEN 'warning' WHEN code IN ('target_already_deployed', 'migration_target_reached', 'migration_ready') THEN 'ok' ELSE 'critical' END AS status FROM d""")
+def cp3_preflight(s: Source) -> DataFrame:
+    rows = s.spark.sql(CASES.replace("FROM events", "FROM {t}"), t=s.table("events"))
+    return rows.select("event_id", control.preflight(F.col("has_migration"), F.col("phase"), F.col("matched"), F.col("resources")).alias("d")).select("event_id", "d.code", "d.decision", "d.status")
+
+
+POSTED = "SELECT o_orderkey AS event_id, o_custkey AS transaction_id, CAST(CASE WHEN o_orderkey % 13 = 0 THEN 2 ELSE 1 END AS INT) AS aggregate_version, CAST(1 + o_orderkey % 2 AS INT) AS schema_version, CASE WHEN o_orderkey % 2 = 1 AND o_orderkey % 7 <> 0 THEN concat('t', CAST(o_custkey % 3 AS VARCHAR(9))) END AS tenant_id, CASE WHEN o_orderkey % 11 = 0 THEN 'issue' ELSE 'receipt' END AS transaction_type FROM orders"
+LEDGER = "SELECT c_custkey AS transaction_id, concat('t', CAST(c_custkey % 3 AS VARCHAR(9))) AS tenant_id, 'receipt' AS transaction_type FROM customer WHERE c_custkey % 17 <> 0"
+
+
+@query((), f"""
+WITH e AS ({POSTED}), l AS ({LEDGER}), j AS (SELECT e.*, l.tenant_id AS lt, l.transaction_type AS ly FROM e LEFT JOIN l USING (transaction_id)),
+f AS (SELECT *, CASE WHEN schema_version = 2 THEN tenant_id ELSE lt END AS t FROM j WHERE aggregate_version = 1 AND ((schema_version = 2 AND tenant_id IS NOT NULL) OR (schema_version = 1 AND tenant_id IS NULL AND lt IS NOT NULL AND ly = transaction_type))),
+m AS (SELECT t, transaction_id, MIN({{'e': event_id, 'y': transaction_type, 'v': schema_version}}) AS x FROM f GROUP BY ALL)
+SELECT t AS tenant_id, transaction_id, x.e AS event_id, x.y AS transaction_type, CASE WHEN x.v = 2 THEN 'v2' ELSE 'v1_legacy' END AS mode FROM m""")
+def p8_transaction_index(s: Source) -> DataFrame:
+    sql = {k: v.replace("VARCHAR(9)", "STRING") for k, v in (("e", POSTED), ("l", LEDGER))}
+    events = s.spark.sql(sql["e"].replace("FROM orders", "FROM {t}"), t=s.table("orders"))
+    return control.transaction_index(events, s.spark.sql(sql["l"].replace("FROM customer", "FROM {t}"), t=s.table("customer")))[0]
+
+
+@query(("outbox",), """
+, o AS (SELECT event_id, aggregate_id % 3 AS tenant_id, published_at IS NULL AND quarantined_at IS NULL AND claimed_until IS NULL AND attempt_count = 0 AS fit FROM outbox),
+r AS (SELECT event_id // 4 AS batch_id, event_id, user_id % 3 AS tenant_id FROM events WHERE event_id % 7 IN (0, 3))
+SELECT batch_id, COUNT(*) AS requested, COUNT(DISTINCT r.event_id) AS distinct, COUNT(*) FILTER (WHERE o.fit) AS eligible, COUNT(*) BETWEEN 1 AND 100 AND COUNT(*) = COUNT(DISTINCT r.event_id) AND COUNT(*) FILTER (WHERE o.fit) = COUNT(*) AS accepted
+FROM r LEFT JOIN o ON o.event_id = r.event_id AND o.tenant_id = r.tenant_id GROUP BY batch_id""")
+def cp7_rollout_batches(s: Source) -> DataFrame:
+    outbox = s.relation("outbox").withColumn("tenant_id", F.col("aggregate_id") % 3)
+    requests = s.table("events").where("event_id % 7 in (0, 3)").select(F.expr("event_id div 4").alias("batch_id"), "event_id", (F.col("user_id") % 3).alias("tenant_id"))
+    return control.rollout_batches(requests, outbox)
+
+
+@query((), """
+WITH p AS (SELECT event_id, ts AS a, ts + INTERVAL '1' SECOND * (event_id % 4) AS b, CASE WHEN event_id % 6 <> 0 THEN ts + INTERVAL '1' SECOND * (event_id % 9) END AS c FROM events)
+SELECT event_id, (epoch_us(b) - epoch_us(a)) / 1e6 AS start_to_broker_seconds, (epoch_us(c) - epoch_us(b)) / 1e6 AS broker_to_inbox_seconds, (epoch_us(c) - epoch_us(a)) / 1e6 AS end_to_end_projection_seconds FROM p""")
+def c3_stage_latencies(s: Source) -> DataFrame:
+    second = F.make_dt_interval(secs=F.lit(1))
+    inbox = F.when(F.col("event_id") % 6 != 0, F.col("ts") + second * (F.col("event_id") % 9))
+    probes = s.table("events").select("event_id", F.col("ts").alias("started_at"), F.col("ts").alias("published_at"), (F.col("ts") + second * (F.col("event_id") % 4)).alias("broker_at"), inbox.alias("inbox_at"), inbox.alias("projected_at"))
+    return control.with_latencies(probes).select("event_id", "start_to_broker_seconds", "broker_to_inbox_seconds", "end_to_end_projection_seconds")
+
+
+@query(("handling_units",), """
+, inside AS (SELECT unit_id AS root_id, unit_id FROM handling_units WHERE unit_id IN (4, 5, 6, 7) UNION ALL SELECT i.root_id, u.unit_id FROM inside i JOIN handling_units u ON u.parent_id = i.unit_id)
+SELECT root_id, COUNT(*) AS units, COUNT(*) FILTER (WHERE unit_id % 173 = 20) AS blocked, COUNT(*) FILTER (WHERE unit_id % 173 = 20) = 0 AS relocatable FROM inside GROUP BY root_id""", recursive=True)
+def l15_relocation(s: Source) -> DataFrame:
+    units = s.relation("handling_units").withColumn("parent_id", F.when(~F.col("unit_id").isin(4, 5, 6, 7), F.col("parent_id"))).where("unit_id >= 4")
+    contents = units.select("unit_id", (F.col("unit_id") % 173 != 20).alias("eligible"))
+    return control.relocatable(units, contents).where("root_id in (4, 5, 6, 7)")
