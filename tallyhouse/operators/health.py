@@ -142,3 +142,17 @@ def illegal_transitions(history: DataFrame, key: str, order: str, allowed: dict[
     before = F.lag("state").over(Window.partitionBy(key).orderBy(order))
     fine = [(F.col("previous").isNull() if k is None else F.col("previous") == k) & F.col("state").isin(*v) for k, v in allowed.items()]
     return history.withColumn("previous", before).where(~F.coalesce(reduce(lambda a, b: a | b, fine), F.lit(False)))
+
+
+CANARY = (
+    Threshold("canary_publish_latency", "publish_seconds", 5, 2),
+    Threshold("canary_delivery_latency", "delivery_seconds", 5, 2),
+    Threshold("canary_projection_latency", "projection_seconds", 3, 1),
+    Threshold("canary_end_to_end_latency", "end_to_end_seconds", 15, 5),
+)
+
+
+def alert_counts(snapshots: DataFrame, policy: tuple[Threshold, ...]) -> DataFrame:
+    """How many snapshots raise each alert at each severity."""
+    raised = snapshots.select(F.explode(alerts(policy)).alias("a"))
+    return raised.groupBy(F.col("a.code").alias("code"), F.col("a.severity").alias("severity")).agg(F.count("*").alias("n"), F.max("a.observed").alias("worst"))

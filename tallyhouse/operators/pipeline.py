@@ -127,3 +127,36 @@ def live_or_archived(wanted: DataFrame, live: DataFrame, archived: DataFrame, ke
     """``wanted`` with the value found in the live or the archive table (null where in neither)."""
     both = live.select(key, value).unionByName(archived.select(key, value)).groupBy(key).agg(F.max(value).alias(value), F.count("*").alias("copies"))
     return wanted.join(both, key, "left")
+
+
+def claim_for_tenant(outbox: DataFrame, tenant_id: Column, event_type: str, as_of: Column, limit: int, lease_seconds: int) -> DataFrame:
+    """As ``claim`` for the events of one tenant that were moved to its own route; shared claims never see those."""
+    own = outbox.where((F.col("tenant_id") == tenant_id) & (F.col("event_type") == event_type))
+    return claim(own, as_of, limit, lease_seconds, route="tenant")
+
+
+def delivery_outcomes(actions: DataFrame) -> DataFrame:
+    """State of each event from its log of actions (event_id, action, at): an acknowledgement is final, else the last
+    of nack, quarantine and replay decides; attempts count since the last replay."""
+    acked = F.max(F.when(F.col("action") == "ack", F.col("at")))
+    rest = F.max(F.when(F.col("action").isin("nack", "quarantine", "replay"), F.struct("at", "action")))
+    summary = actions.groupBy("event_id").agg(acked.alias("published_at"), rest.alias("last"), F.max(F.when(F.col("action") == "replay", F.col("at"))).alias("_replayed"))
+    tries = actions.where("action in ('nack', 'ack')").join(summary.select("event_id", "_replayed"), "event_id").where("_replayed is null or at > _replayed").groupBy("event_id").agg(F.count("*").alias("attempts"))
+    state = F.when(F.col("published_at").isNotNull(), "published").when(F.col("last.action") == "quarantine", "quarantined").otherwise("waiting")
+    return summary.join(tries, "event_id", "left").select("event_id", state.alias("state"), "published_at", F.coalesce("attempts", F.lit(0)).alias("attempts"))
+
+
+def failure_states(failures: DataFrame, receipts: DataFrame, budget: int = 5) -> DataFrame:
+    """Status of each failed delivery (consumer_name, event_id, retryable, at): resolved once the inbox has a receipt,
+    quarantined when it can't be retried or its attempts are spent, else deferred."""
+    counted = failures.groupBy("consumer_name", "event_id").agg(F.count("*").alias("attempts"), F.max_by("retryable", "at").alias("retryable"), F.min("at").alias("first_failed_at"))
+    found = counted.join(receipts.select("consumer_name", "event_id").distinct().withColumn("_done", F.lit(True)), ["consumer_name", "event_id"], "left")
+    reason = F.when(~F.col("retryable"), "terminal").when(F.col("attempts") >= budget, "attempts_spent")
+    status = F.when(F.col("_done"), "resolved").when(reason.isNotNull(), "quarantined").otherwise("deferred")
+    return found.select("consumer_name", "event_id", "attempts", "first_failed_at", status.alias("status"), F.when(status == "quarantined", reason).alias("reason"))
+
+
+def publisher_cycle(attempts: DataFrame, *keys: str) -> DataFrame:
+    """Counters of publishing cycles from their attempts (outcome: published, failed, quarantined, stale)."""
+    kinds = ("published", "failed", "quarantined", "stale")
+    return attempts.groupBy(*keys).agg(F.count("*").alias("claimed"), *[F.count_if(F.col("outcome") == k).alias(k) for k in kinds])

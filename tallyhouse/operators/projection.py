@@ -81,3 +81,20 @@ def work_states(events: DataFrame) -> DataFrame:
     checked = events.withColumn("good", good).withColumn("broken_version", broken)
     fine = F.col("broken_version").isNull() | (F.col("version") < F.col("broken_version"))
     return checked.groupBy("work_id").agg(F.max(F.when(fine, F.struct("version", "state"))).alias("last"), F.max("broken_version").alias("broken_version")).select("work_id", "last.version", "last.state", "broken_version")
+
+
+def plan_rebuilds(cursors: DataFrame, requests: DataFrame) -> DataFrame:
+    """Whether each requested rebuild may go on: (position_id, expected_version, expected_pending, snapshot_version, disposition).
+
+    The expectations must hold, the snapshot must not move the cursor back, and ``require-empty`` needs an empty buffer.
+    """
+    joined = requests.join(cursors.select("position_id", "version", "pending"), "position_id", "left")
+    reason = (
+        F.when(F.col("version").isNull(), "unknown_position")
+        .when(F.col("version") != F.col("expected_version"), "version_changed")
+        .when(F.col("pending") != F.col("expected_pending"), "pending_changed")
+        .when(F.col("snapshot_version") < F.col("version"), "moves_backward")
+        .when((F.col("disposition") == "require-empty") & (F.col("pending") > 0), "pending_not_empty")
+        .when(~F.col("disposition").isin("require-empty", "supersede-covered-retain-future"), "unknown_disposition")
+    )
+    return joined.select("position_id", "snapshot_version", "disposition", reason.isNull().alias("accepted"), reason.alias("reason"))

@@ -11,7 +11,7 @@ from tallyhouse.functions import text
 from tallyhouse.operators import availability, control, health, knowledge, ledger, pipeline, projection, quality, replay, telemetry, work
 from tallyhouse.operators.availability import SCOPE, qty
 from tallyhouse.plans.mapping import AS_OF, HOLD_AS_OF, Source, with_relations
-from tallyhouse.sources import exposition
+from tallyhouse.sources import exposition, seed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -710,3 +710,119 @@ def l15_relocation(s: Source) -> DataFrame:
     units = s.relation("handling_units").withColumn("parent_id", F.when(~F.col("unit_id").isin(4, 5, 6, 7), F.col("parent_id"))).where("unit_id >= 4")
     contents = units.select("unit_id", (F.col("unit_id") % 173 != 20).alias("eligible"))
     return control.relocatable(units, contents).where("root_id in (4, 5, 6, 7)")
+
+
+# ---- more of the event pipeline and of health ---------------------------------------------------
+
+
+@query((), """
+WITH p AS (SELECT range AS n, 200 AS items FROM range(40000)) SELECT '00000000-0000-7000-8000-' || lpad(to_hex(n), 12, '0') AS position_id, n % items AS item_id, n // items AS location_id, 100.0::DOUBLE AS physical_qty FROM p""".replace("to_hex(n)", "lower(to_hex(n))"))
+def s16_seed(s: Source) -> DataFrame:
+    return seed.seed_positions(s.spark, 40_000)
+
+
+ACTIONS = "SELECT user_id AS event_id, CASE event_id % 11 WHEN 0 THEN 'ack' WHEN 1 THEN 'quarantine' WHEN 2 THEN 'replay' ELSE 'nack' END AS action, ts AS at_ FROM events WHERE user_id % 4 <> 0 OR event_id % 11 <> 0"
+
+
+@query((), f"""
+WITH a AS ({ACTIONS}), g AS (SELECT event_id, MAX(at_) FILTER (WHERE action = 'ack') AS published_at, arg_max(action, at_) FILTER (WHERE action <> 'ack') AS last, MAX(at_) FILTER (WHERE action = 'replay') AS r FROM a GROUP BY event_id)
+SELECT event_id, CASE WHEN published_at IS NOT NULL THEN 'published' WHEN last = 'quarantine' THEN 'quarantined' ELSE 'waiting' END AS state, published_at,
+  (SELECT COUNT(*) FROM a WHERE a.event_id = g.event_id AND action IN ('ack', 'nack') AND (g.r IS NULL OR at_ > g.r)) AS attempts FROM g""")
+def e8_delivery_outcomes(s: Source) -> DataFrame:
+    return pipeline.delivery_outcomes(s.spark.sql(ACTIONS.replace("FROM events", "FROM {t}"), t=s.table("events")).withColumnRenamed("at_", "at"))
+
+
+@query((), """
+WITH f AS (SELECT CASE user_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS consumer_name, user_id AS event_id, event_id % 4 <> 0 AS retryable, ts AS t FROM events WHERE event_type = 'error'),
+r AS (SELECT DISTINCT user_id AS event_id FROM events WHERE event_type = 'purchase' AND event_id % 97 = 0),
+g AS (SELECT consumer_name, event_id, COUNT(*) AS attempts, arg_max(retryable, t) AS retryable, MIN(t) AS first_failed_at FROM f GROUP BY ALL),
+s AS (SELECT *, CASE WHEN event_id IN (SELECT event_id FROM r) THEN 'resolved' WHEN NOT retryable OR attempts >= 14 THEN 'quarantined' ELSE 'deferred' END AS status FROM g)
+SELECT consumer_name, event_id, attempts, first_failed_at, status, CASE WHEN status = 'quarantined' THEN CASE WHEN NOT retryable THEN 'terminal' ELSE 'attempts_spent' END END AS reason FROM s""")
+def e14_failure_states(s: Source) -> DataFrame:
+    events = s.table("events").withColumn("consumer_name", F.when(F.col("user_id") % 2 == 0, "a").otherwise("b"))
+    failures = events.where("event_type = 'error'").select("consumer_name", F.col("user_id").alias("event_id"), (F.col("event_id") % 4 != 0).alias("retryable"), F.col("ts").alias("at"))
+    receipts = events.where("event_type = 'purchase' and event_id % 97 = 0").select("consumer_name", F.col("user_id").alias("event_id"))
+    return pipeline.failure_states(failures, receipts, budget=14)
+
+
+@query((), """
+SELECT user_id % 10 AS cycle, COUNT(*) AS claimed, COUNT(*) FILTER (WHERE event_id % 5 < 2) AS published, COUNT(*) FILTER (WHERE event_id % 5 = 2) AS failed, COUNT(*) FILTER (WHERE event_id % 5 = 3) AS quarantined, COUNT(*) FILTER (WHERE event_id % 5 = 4) AS stale FROM events GROUP BY ALL""")
+def e9_publisher_cycles(s: Source) -> DataFrame:
+    outcome = F.element_at(F.array(*[F.lit(x) for x in ("published", "published", "failed", "quarantined", "stale")]), (F.col("event_id") % 5 + 1).cast("int"))
+    return pipeline.publisher_cycle(s.table("events").select((F.col("user_id") % 10).alias("cycle"), outcome.alias("outcome")), "cycle")
+
+
+@query(("versioned",), CURSOR_SQL + """
+, q AS (SELECT position_id, version + CASE WHEN position_id % 5 = 0 THEN 1 ELSE 0 END AS ev, pending AS ep, version + position_id % 3 - 1 AS sv, CASE position_id % 4 WHEN 0 THEN 'require-empty' WHEN 1 THEN 'other' ELSE 'supersede-covered-retain-future' END AS disposition FROM cursors),
+j AS (SELECT q.*, CASE WHEN c.version <> ev THEN 'version_changed' WHEN c.pending <> ep THEN 'pending_changed' WHEN sv < c.version THEN 'moves_backward' WHEN disposition = 'require-empty' AND c.pending > 0 THEN 'pending_not_empty' WHEN disposition = 'other' THEN 'unknown_disposition' END AS reason FROM q JOIN cursors c USING (position_id))
+SELECT position_id, sv AS snapshot_version, disposition, reason IS NULL AS accepted, reason FROM j""")
+def p4_rebuild_plans(s: Source) -> DataFrame:
+    cursors = projection.apply_deltas(s.relation("versioned"))
+    p = F.col("position_id")
+    disposition = F.when(p % 4 == 0, "require-empty").when(p % 4 == 1, "other").otherwise("supersede-covered-retain-future")
+    requests = cursors.select(p, (F.col("version") + F.when(p % 5 == 0, 1).otherwise(0)).alias("expected_version"), F.col("pending").alias("expected_pending"), (F.col("version") + p % 3 - 1).alias("snapshot_version"), disposition.alias("disposition"))
+    return projection.plan_rebuilds(cursors, requests)
+
+
+@query(("outcomes",), " UNION ALL ".join(
+    f"SELECT '{t.code}' AS code, CASE WHEN {t.column} >= {t.critical} THEN 'critical' ELSE 'warning' END AS severity, COUNT(*) AS n, MAX({t.column}) AS worst FROM outcomes WHERE {t.column} >= {t.warning} GROUP BY ALL" for t in health.CANARY))
+def hp8_canary_alerts(s: Source) -> DataFrame:
+    return health.alert_counts(s.relation("outcomes"), health.CANARY)
+
+
+CONSUMERS = "SELECT user_id AS consumer, COUNT(*) * 11 AS pending, COUNT(*) FILTER (WHERE event_type = 'error') AS redelivered, MAX(value) AS stall_seconds, AVG(value) / 300 AS ack_ratio FROM events GROUP BY user_id"
+
+
+@query((), f"""
+WITH c AS ({CONSUMERS}), u AS ({" UNION ALL ".join(f"SELECT '{t.code}' AS code, CASE WHEN {t.column} >= {t.critical} THEN 'critical' ELSE 'warning' END AS severity, CAST({t.column} AS DOUBLE) AS v FROM c WHERE {t.column} >= {t.warning}" for t in health.CONSUMER)})
+SELECT code, severity, COUNT(*) AS n, round(MAX(v), 9) AS worst FROM u GROUP BY code, severity""")
+def hp5_consumer_alerts(s: Source) -> DataFrame:
+    rows = s.spark.sql(CONSUMERS.replace("FROM events", "FROM {t}"), t=s.table("events"))
+    return health.alert_counts(rows, health.CONSUMER).withColumn("worst", F.round("worst", 9))
+
+
+@query(("poison",), f"""
+, t AS (SELECT consumer_name, COUNT(*) FILTER (WHERE first_seen_at >= TS'{AS_OF}' - INTERVAL '7' DAY AND first_seen_at <= TS'{AS_OF}') AS a, COUNT(*) FILTER (WHERE observation_count > 1 AND last_seen_at >= TS'{AS_OF}' - INTERVAL '7' DAY AND last_seen_at <= TS'{AS_OF}') AS b FROM poison GROUP BY consumer_name),
+x AS (SELECT consumer_name, 'malformed_recent_deliveries' AS code, CASE WHEN a >= 10 THEN 'critical' ELSE 'warning' END AS severity, a::DOUBLE AS observed, CASE WHEN a >= 10 THEN 10 ELSE 1 END::DOUBLE AS threshold FROM t WHERE a >= 1
+  UNION ALL SELECT consumer_name, 'malformed_reobserved_deliveries', CASE WHEN b >= 5 THEN 'critical' ELSE 'warning' END, b, CASE WHEN b >= 5 THEN 5 ELSE 1 END FROM t WHERE b >= 1),
+s AS (SELECT consumer_name, CASE WHEN bool_or(severity = 'critical') THEN 'critical' ELSE 'warning' END AS status FROM x GROUP BY consumer_name)
+SELECT t.consumer_name, COALESCE(s.status, 'ok') AS status, code, severity, observed, threshold FROM t LEFT JOIN s USING (consumer_name) LEFT JOIN x USING (consumer_name)""")
+def hp3_malformed_alerts(s: Source) -> DataFrame:
+    return health.evaluate(telemetry.poison(s.relation("poison"), as_of(), LOOKBACK, ("consumer_name",)), health.POISON, "consumer_name")
+
+
+@query(("positions",), "SELECT DISTINCT warehouse_id, item_id, condition_id, lot_id FROM positions WHERE location_id % 9 = 4")
+def u7_distinct_scopes(s: Source) -> DataFrame:
+    return s.relation("positions").where("location_id % 9 = 4").select("warehouse_id", "item_id", "condition_id", "lot_id").distinct().orderBy("warehouse_id", "item_id", "condition_id", "lot_id")
+
+
+@query((), "SELECT CAST(o_custkey AS BIGINT) AS o_custkey, side FROM (SELECT DISTINCT o_custkey, 'missing' AS side FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0) UNION ALL SELECT c_custkey, 'unknown' FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders))")
+def u4_id_difference(s: Source) -> DataFrame:
+    registered = s.table("customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("o_custkey"))
+    return quality.symmetric_difference(s.table("orders"), registered, "o_custkey")
+
+
+@query(("positions",), """
+, m AS (SELECT position_id, COUNT(*) AS serials FROM (SELECT concat(CAST(l_suppkey AS VARCHAR), '-', CAST(l_partkey AS VARCHAR), '-', l_returnflag, '-', CAST(l_linenumber % 3 AS VARCHAR)) AS position_id FROM lineitem, range(20)) GROUP BY position_id)
+SELECT position_id, serials, CAST(physical_qty AS DOUBLE) AS physical_qty FROM m JOIN positions USING (position_id) WHERE serials > positions.physical_qty""")
+def a25_serial_excess(s: Source) -> DataFrame:
+    key = F.concat_ws("-", F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"), "l_returnflag", (F.col("l_linenumber") % 3).cast("string"))
+    members = s.table("lineitem").select(key.alias("position_id"), F.explode(F.sequence(F.lit(1), F.lit(20))).alias("serial"))
+    return ledger.serial_excess(members, s.relation("positions"))
+
+
+@query((), """
+WITH c AS (SELECT c_mktsegment AS id, c_custkey % 4 AS lens, MIN(CASE WHEN c_acctbal < -990 THEN 0 ELSE 1 END) AS ok, MAX(CASE WHEN c_acctbal > 9990 THEN 1 ELSE 0 END) AS hot FROM customer GROUP BY ALL), s AS (SELECT id, CASE WHEN ok = 1 THEN 'covered' WHEN hot = 1 THEN 'missing' ELSE 'partial' END AS st FROM c)
+SELECT id, CASE WHEN bool_and(st = 'covered') THEN 'covered' WHEN bool_and(st = 'missing') THEN 'missing' ELSE 'partial' END AS overall FROM s GROUP BY id""")
+def a20_lens_rollup(s: Source) -> DataFrame:
+    per = s.table("customer").groupBy(F.col("c_mktsegment").alias("id"), (F.col("c_custkey") % 4).cast("string").alias("lens")).agg(F.min(F.when(F.col("c_acctbal") < -990, 0).otherwise(1)).alias("ok"), F.max(F.when(F.col("c_acctbal") > 9990, 1).otherwise(0)).alias("hot"))
+    state = F.when(F.col("ok") == 1, "covered").when(F.col("hot") == 1, "missing").otherwise("partial")
+    lenses = per.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("lens", state.alias("state")))).alias("lenses"))
+    return lenses.select("id", knowledge.rollup(F.col("lenses")).alias("overall"))
+
+
+@query((), "SELECT n_name AS record_id, s_name AS metric, s_acctbal AS value FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_name LIKE '%7%'")
+def k6_nested_items(s: Source) -> DataFrame:
+    rows = s.table("supplier").join(F.broadcast(s.table("nation")), F.col("n_nationkey") == F.col("s_nationkey"))
+    registry = rows.groupBy(F.col("n_name").alias("id")).agg(F.collect_list(F.struct(F.col("s_name").alias("name"), F.col("s_acctbal").alias("value"))).alias("metrics"))
+    return knowledge.nested(registry, "metrics", "7", "name").select("record_id", F.col("item.name").alias("metric"), F.col("item.value").alias("value"))
