@@ -15,7 +15,7 @@ recur are looked at word by word, once for each different line and not for each
 Defined results: a null text stays null and has no lines; blank lines (no words) are
 never dropped; a document with a null doc_id counts but never keeps a template;
 repeated rows are judged alike; an empty table gives no rows; other columns pass
-``drop_lines`` unchanged.
+``drop_lines`` and ``keep_distinct`` unchanged.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import SPACE, small, stored
+from tallyhouse.llm.common import BLANK_CHARACTERS, SPACE, small, stored
 
 DEPTH, MIN_DOCS, CONSTANT = 3, 8, 80
 VARIABLE = "<*>"
@@ -68,16 +68,27 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: int = CONSTAN
     return matched.join(keepers, "template")
 
 
+def _left(docs: DataFrame, min_docs: int, constant: int) -> DataFrame:
+    """row (all of the document's columns), left (its text without the lines that went) and gone (their places)."""
+    away = recurring(docs, min_docs, constant).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    away = stored(away.groupBy(F.col("doc_id").alias("id"), "same").agg(F.sort_array(F.collect_set("place")).alias("gone")), "line-gone")
+    own = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    joined = own.join(away.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (text_key() == F.col("same")), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    return joined.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("left"), "gone")
+
+
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, constant: int = CONSTANT) -> DataFrame:
-    """``docs`` with recurring lines taken out of text, and dropped (array of the places of lines that went)."""
-    gone = recurring(docs, min_docs, constant).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    gone = stored(gone.groupBy(F.col("doc_id").alias("_doc"), F.col("same").alias("_same")).agg(F.sort_array(F.collect_set("place")).alias("_gone")), "line-gone")
-    here = F.col("doc_id").eqNullSafe(F.col("_doc")) & (text_key() == F.col("_same"))
-    joined = docs.join(gone.hint("shuffle_hash"), here, "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)
-    rest = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*rest, F.coalesce("_gone", F.array().cast("array<int>")).alias("dropped"))
+    """``docs`` with recurring lines taken out of text, and dropped (array of the places of lines that went) in place of a column of that name."""
+    own = [F.col("left").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "dropped"]
+    return _left(docs, min_docs, constant).select(*own, F.coalesce("gone", F.array().cast("array<int>")).alias("dropped"))
+
+
+def keep_distinct(docs: DataFrame, min_docs: int = MIN_DOCS, constant: int = CONSTANT) -> DataFrame:
+    """``docs`` with its own columns and recurring lines taken out of text; a document that lost lines and has no word left goes."""
+    some = F.col("gone").isNull() | (F.translate("left", BLANK_CHARACTERS, "") != "")
+    own = [F.col("left").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    return _left(docs, min_docs, constant).where(some).select(*own)
 
 
 def line_sql(min_docs: int = MIN_DOCS, constant: int = CONSTANT) -> str:
