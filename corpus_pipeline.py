@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import linededup, neardup, packing, pii, quality
-from tallyhouse.llm.common import BLANK_CHARACTERS, shared_folder, stored, table
+from tallyhouse.llm.common import shared_folder, stored, table
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -24,9 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go; a document of which no word is left goes too."""
-    left = linededup.drop_lines(docs)
-    some = F.translate("text", BLANK_CHARACTERS, "") != ""
-    return _measured(left.where((F.size("dropped") == 0) | some).drop("dropped"))
+    return _measured(linededup.keep_distinct(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
