@@ -22,31 +22,32 @@ class Threshold:
     above: bool = False
 
 
+# Codes and default thresholds of the alerts; fixed values.
 OUTBOX = (
     Threshold("outbox_quarantined_events", "quarantined_count", 0, above=True),
     Threshold("outbox_backlog_count_exceeded", "backlog_count", 10_000, 1_000),
     Threshold("outbox_ready_age_exceeded", "oldest_ready_age_seconds", 300, 60),
 )
 FAILURES = (
-    Threshold("consumer_failures_quarantined", "quarantined_count", 0, above=True),
-    Threshold("consumer_failure_backlog_exceeded", "backlog_count", 1_000, 100),
+    Threshold("consumer_failure_quarantined_events", "quarantined_count", 0, above=True),
+    Threshold("consumer_failure_backlog_count_exceeded", "backlog_count", 1_000, 100),
     Threshold("consumer_failure_ready_age_exceeded", "oldest_ready_age_seconds", 1_800, 300),
 )
 POISON = (
-    Threshold("malformed_recent_deliveries", "recent_count", 10, 1),
-    Threshold("malformed_reobserved_deliveries", "recent_reobserved_count", 5, 1),
+    Threshold("malformed_delivery_recent_records", "recent_count", 10, 1),
+    Threshold("malformed_delivery_recent_reobserved_records", "recent_reobserved_count", 5, 1),
 )
 GAPS = (
     Threshold("projection_gap_age_exceeded", "oldest_pending_age_seconds", 1_800, 300),
-    Threshold("projection_gap_pending_exceeded", "pending_count", 1_000, 100),
+    Threshold("projection_pending_events_exceeded", "pending_count", 1_000, 100),
 )
-PROBE = (Threshold("probe_lag_exceeded", "lag_seconds", 60, 15), Threshold("probe_stuck", "running_seconds", 45))
-STREAM = (Threshold("stream_capacity", "capacity_ratio", 0.95, 0.8), Threshold("stream_replica_lag", "replica_lag", 10_000, 1_000))
+PROBE = (Threshold("probe_scheduler_lag", "lag_seconds", 60, 15), Threshold("probe_stuck", "running_seconds", 45))
+STREAM = (Threshold("nats_stream_byte_capacity", "capacity_ratio", 0.95, 0.8), Threshold("nats_stream_replica_lag", "replica_lag", 10_000, 1_000))
 CONSUMER = (
-    Threshold("consumer_pending", "pending", 1_000, 100),
-    Threshold("consumer_redelivered", "redelivered", 10, 1),
-    Threshold("consumer_stalled", "stall_seconds", 1_800, 300),
-    Threshold("consumer_ack_ratio", "ack_ratio", 1.0, 0.8),
+    Threshold("nats_consumer_pending_backlog", "pending", 1_000, 100),
+    Threshold("nats_consumer_redeliveries", "redelivered", 10, 1),
+    Threshold("nats_consumer_delivery_stalled", "stall_seconds", 1_800, 300),
+    Threshold("nats_consumer_ack_capacity", "ack_ratio", 1.0, 0.8),
 )
 
 
@@ -144,6 +145,7 @@ def illegal_transitions(history: DataFrame, key: str, order: str, allowed: dict[
     return history.withColumn("previous", before).where(~F.coalesce(reduce(lambda a, b: a | b, fine), F.lit(False)))
 
 
+#: Codes and default thresholds of a probe's stages; fixed values.
 CANARY = (
     Threshold("canary_publish_latency", "publish_seconds", 5, 2),
     Threshold("canary_delivery_latency", "delivery_seconds", 5, 2),
@@ -152,6 +154,10 @@ CANARY = (
 )
 
 
+#: Components in the order in which a root cause is sought; fixed values.
+COMPONENT_ORDER = ("outbox", "nats_stream", "nats_consumer", "malformed_delivery", "consumer_failure", "projection_gap")
+
+
 def alert_counts(snapshots: DataFrame, policy: tuple[Threshold, ...]) -> DataFrame:
     """How many snapshots raise each alert at each severity."""
     raised = snapshots.select(F.explode(alerts(policy)).alias("a"))

@@ -24,8 +24,15 @@ def envelope(columns: dict[str, Column], schema_version: Column, tenant_id: Colu
     return F.to_json(F.struct(*[c.alias(k) for k, c in columns.items()], schema_version.alias("schema_version"), tenant.alias("tenant_id")))
 
 
-#: Transaction type -> its own event type, beside the posted event that each transaction has.
-TYPED_EVENTS = {"receipt": "inventory.received", "movement": "inventory.moved", "issue": "inventory.issued", "allocation": "inventory.allocated", "reservation": "inventory.reserved"}
+#: Transaction type -> its own event type, beside the posted event that each transaction has; fixed values.
+TYPED_EVENTS = {
+    "reservation": "inventory.reservation.created",
+    "reservation_release": "inventory.reservation.released",
+    "allocation": "inventory.allocation.created",
+    "allocation_release": "inventory.allocation.released",
+    "movement": "inventory.movement.confirmed",
+    "count_reconciliation": "inventory.reconciliation.posted",
+}
 
 
 def transaction_events(transactions: DataFrame) -> DataFrame:

@@ -322,13 +322,13 @@ def e7_envelopes(s: Source) -> DataFrame:
     return s.relation("outbox").select("event_id", pipeline.envelope(columns, 1 + F.col("event_id") % 2, tenant).alias("envelope"))
 
 
-TRANSACTIONS = "SELECT o_orderkey AS transaction_id, CASE o_custkey % 5 WHEN 0 THEN 'receipt' WHEN 1 THEN 'movement' WHEN 2 THEN 'allocation' WHEN 3 THEN 'reservation-release' ELSE 'issue' END AS transaction_type, CASE WHEN o_orderkey % 2 = 0 THEN 'allocation-commitment:x' ELSE 'allocation:x' END AS fingerprint FROM orders"
+TRANSACTIONS = "SELECT o_orderkey AS transaction_id, CASE o_custkey % 7 WHEN 0 THEN 'receipt' WHEN 1 THEN 'movement' WHEN 2 THEN 'allocation' WHEN 3 THEN 'reservation_release' WHEN 4 THEN 'reservation' WHEN 5 THEN 'count_reconciliation' ELSE 'allocation_release' END AS transaction_type, CASE WHEN o_orderkey % 2 = 0 THEN 'allocation-commitment:x' ELSE 'allocation:x' END AS fingerprint FROM orders"
 
 
 @query((), f"""
 WITH t AS ({TRANSACTIONS}) SELECT transaction_id, 'inventory.transaction.posted' AS event_type FROM t
-UNION ALL SELECT transaction_id, CASE transaction_type WHEN 'receipt' THEN 'inventory.received' WHEN 'movement' THEN 'inventory.moved' WHEN 'issue' THEN 'inventory.issued' ELSE 'inventory.allocated' END FROM t
-WHERE transaction_type IN ('receipt', 'movement', 'issue') OR (transaction_type = 'allocation' AND fingerprint LIKE 'allocation-commitment:%')""")
+UNION ALL SELECT transaction_id, CASE transaction_type WHEN 'movement' THEN 'inventory.movement.confirmed' WHEN 'reservation' THEN 'inventory.reservation.created' WHEN 'reservation_release' THEN 'inventory.reservation.released' WHEN 'allocation_release' THEN 'inventory.allocation.released' WHEN 'count_reconciliation' THEN 'inventory.reconciliation.posted' ELSE 'inventory.allocation.created' END FROM t
+WHERE transaction_type NOT IN ('receipt', 'allocation') OR (transaction_type = 'allocation' AND fingerprint LIKE 'allocation-commitment:%')""")
 def e2_transaction_events(s: Source) -> DataFrame:
     return pipeline.transaction_events(s.spark.sql(TRANSACTIONS.replace("FROM orders", "FROM {t}"), t=s.table("orders")))
 
@@ -423,8 +423,8 @@ def j6_live_or_archived(s: Source) -> DataFrame:
 @query(("failures",), f"""
 , c AS (SELECT *, {_state_sql("status = 'quarantined'")} FROM failures WHERE status IN ('deferred', 'quarantined')),
 t AS (SELECT consumer_name, COUNT(*) AS b, COUNT(*) FILTER (WHERE st = 'quarantined') AS q, {_age_sql("MIN(first_failed_at) FILTER (WHERE st = 'ready')", "r")} FROM c GROUP BY consumer_name),
-a AS (SELECT consumer_name, 'consumer_failures_quarantined' AS code, 'critical' AS severity, q::DOUBLE AS observed, 0.0::DOUBLE AS threshold FROM t WHERE q > 0
-  UNION ALL SELECT consumer_name, 'consumer_failure_backlog_exceeded', CASE WHEN b >= 1000 THEN 'critical' ELSE 'warning' END, b, CASE WHEN b >= 1000 THEN 1000 ELSE 100 END FROM t WHERE b >= 100
+a AS (SELECT consumer_name, 'consumer_failure_quarantined_events' AS code, 'critical' AS severity, q::DOUBLE AS observed, 0.0::DOUBLE AS threshold FROM t WHERE q > 0
+  UNION ALL SELECT consumer_name, 'consumer_failure_backlog_count_exceeded', CASE WHEN b >= 1000 THEN 'critical' ELSE 'warning' END, b, CASE WHEN b >= 1000 THEN 1000 ELSE 100 END FROM t WHERE b >= 100
   UNION ALL SELECT consumer_name, 'consumer_failure_ready_age_exceeded', CASE WHEN r >= 1800 THEN 'critical' ELSE 'warning' END, r, CASE WHEN r >= 1800 THEN 1800 ELSE 300 END FROM t WHERE r >= 300),
 s AS (SELECT consumer_name, CASE WHEN bool_or(severity = 'critical') THEN 'critical' ELSE 'warning' END AS status FROM a GROUP BY consumer_name)
 SELECT t.consumer_name, COALESCE(s.status, 'ok') AS status, a.code, a.severity, a.observed, a.threshold FROM t LEFT JOIN s USING (consumer_name) LEFT JOIN a USING (consumer_name)""")
@@ -443,17 +443,14 @@ def hp1_outbox_alerts(s: Source) -> DataFrame:
     return health.evaluate(telemetry.outbox(s.relation("outbox"), as_of()), health.OUTBOX)
 
 
-COMPONENTS = """SELECT DISTINCT CASE user_id % 6 WHEN 0 THEN 'outbox' WHEN 1 THEN 'failures' WHEN 2 THEN 'malformed' WHEN 3 THEN 'gaps' WHEN 4 THEN 'broker' ELSE 'stream' END AS component, CASE WHEN user_id % 6 = 4 THEN NULL WHEN user_id % 6 = 3 THEN 'critical' WHEN user_id % 6 = 0 THEN 'ok' ELSE 'warning' END AS status,
+COMPONENTS = """SELECT DISTINCT CASE user_id % 6 WHEN 0 THEN 'outbox' WHEN 1 THEN 'consumer_failure' WHEN 2 THEN 'malformed_delivery' WHEN 3 THEN 'projection_gap' WHEN 4 THEN 'nats_consumer' ELSE 'nats_stream' END AS component, CASE WHEN user_id % 6 = 4 THEN NULL WHEN user_id % 6 = 3 THEN 'critical' WHEN user_id % 6 = 0 THEN 'ok' ELSE 'warning' END AS status,
   CASE WHEN user_id % 6 = 3 THEN concat('gap_', event_type) END AS code, CASE WHEN user_id % 6 = 3 THEN length(event_type) END AS alert_position FROM events"""
-ORDER = ("outbox", "failures", "malformed", "broker", "gaps", "stream")
-
-
 @query((), f"""
-WITH c AS ({COMPONENTS}), r AS (SELECT *, CASE COALESCE(status, 'critical') WHEN 'ok' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS rank, COALESCE(code, CASE WHEN status IS NULL THEN component || '_unreadable' END) AS why, list_position(['outbox', 'failures', 'malformed', 'broker', 'gaps', 'stream'], component) AS place FROM c),
+WITH c AS ({COMPONENTS}), r AS (SELECT *, CASE COALESCE(status, 'critical') WHEN 'ok' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS rank, COALESCE(code, CASE WHEN status IS NULL THEN component || '_unreadable' END) AS why, list_position(['outbox', 'nats_stream', 'nats_consumer', 'malformed_delivery', 'consumer_failure', 'projection_gap'], component) AS place FROM c),
 b AS (SELECT component, why FROM r WHERE rank = (SELECT MAX(rank) FROM r) AND rank > 0 ORDER BY place, COALESCE(alert_position, 0), component, why LIMIT 1)
 SELECT CASE (SELECT MAX(rank) FROM r) WHEN 0 THEN 'ok' WHEN 1 THEN 'warning' ELSE 'critical' END AS status, component AS root_component, why AS root_code, (SELECT COUNT(*) FROM r WHERE rank > 0) AS unhealthy FROM (SELECT 1) LEFT JOIN b ON true""")
 def hp7_pipeline_health(s: Source) -> DataFrame:
-    return health.pipeline_health(s.spark.sql(COMPONENTS.replace("FROM events", "FROM {t}"), t=s.table("events")), ORDER)
+    return health.pipeline_health(s.spark.sql(COMPONENTS.replace("FROM events", "FROM {t}"), t=s.table("events")), health.COMPONENT_ORDER)
 
 
 @query(("outcomes",), f"""
@@ -783,8 +780,8 @@ def hp5_consumer_alerts(s: Source) -> DataFrame:
 
 @query(("poison",), f"""
 , t AS (SELECT consumer_name, COUNT(*) FILTER (WHERE first_seen_at >= TS'{AS_OF}' - INTERVAL '7' DAY AND first_seen_at <= TS'{AS_OF}') AS a, COUNT(*) FILTER (WHERE observation_count > 1 AND last_seen_at >= TS'{AS_OF}' - INTERVAL '7' DAY AND last_seen_at <= TS'{AS_OF}') AS b FROM poison GROUP BY consumer_name),
-x AS (SELECT consumer_name, 'malformed_recent_deliveries' AS code, CASE WHEN a >= 10 THEN 'critical' ELSE 'warning' END AS severity, a::DOUBLE AS observed, CASE WHEN a >= 10 THEN 10 ELSE 1 END::DOUBLE AS threshold FROM t WHERE a >= 1
-  UNION ALL SELECT consumer_name, 'malformed_reobserved_deliveries', CASE WHEN b >= 5 THEN 'critical' ELSE 'warning' END, b, CASE WHEN b >= 5 THEN 5 ELSE 1 END FROM t WHERE b >= 1),
+x AS (SELECT consumer_name, 'malformed_delivery_recent_records' AS code, CASE WHEN a >= 10 THEN 'critical' ELSE 'warning' END AS severity, a::DOUBLE AS observed, CASE WHEN a >= 10 THEN 10 ELSE 1 END::DOUBLE AS threshold FROM t WHERE a >= 1
+  UNION ALL SELECT consumer_name, 'malformed_delivery_recent_reobserved_records', CASE WHEN b >= 5 THEN 'critical' ELSE 'warning' END, b, CASE WHEN b >= 5 THEN 5 ELSE 1 END FROM t WHERE b >= 1),
 s AS (SELECT consumer_name, CASE WHEN bool_or(severity = 'critical') THEN 'critical' ELSE 'warning' END AS status FROM x GROUP BY consumer_name)
 SELECT t.consumer_name, COALESCE(s.status, 'ok') AS status, code, severity, observed, threshold FROM t LEFT JOIN s USING (consumer_name) LEFT JOIN x USING (consumer_name)""")
 def hp3_malformed_alerts(s: Source) -> DataFrame:
