@@ -110,35 +110,89 @@ def replay_scopes(commands: DataFrame) -> DataFrame:
     return commands.select("command_id", "scope", "kind", "quantity", "reference", "idempotency_key", "fingerprint", "recorded_at").groupBy("scope").applyInPandas(whole, DECISIONS)
 
 
-#: (command, state before) -> state after, for works; fixed values.
-WORK_STEPS = {
-    ("release", "planned"): "released",
-    ("claim", "released"): "assigned",
-    ("start", "assigned"): "in_progress",
-    ("confirm", "in_progress"): "assigned",
-    ("complete", "in_progress"): "completed",
-    ("raise", "in_progress"): "exception",
-    ("resume", "exception"): "assigned",
-    ("cancel", "planned"): "cancelled",
-    ("cancel", "released"): "cancelled",
-    ("cancel", "assigned"): "cancelled",
-}
-
-
-def replay_works(commands: DataFrame, initial: str = "planned") -> DataFrame:
-    """work_id, command_id, command, resource_id, state, accepted: only the resource that claimed a work may go on with it."""
+WORK_DECISIONS = "command string, task int, state string, accepted boolean, reason string"
+
+
+class WorkState:
+    """A work with its tasks by sequence, and the resource that claimed it."""
+
+    def __init__(self, tasks: int) -> None:
+        self.state, self.owner = "planned", None
+        self.tasks = dict.fromkeys(range(1, tasks + 1), "pending")
+
+    def _next(self, after: int = 0) -> int | None:
+        return next((t for t, state in self.tasks.items() if t > after and state not in ("completed", "cancelled")), None)
+
+    def apply(self, command: str, task: int | None, resource: str | None) -> str | None:
+        """Why the command is rejected, or None once it is applied."""
+        step = getattr(self, f"_{command}", None) if command in ("release", "claim", "start", "confirm", "raise", "resume", "cancel") else None
+        return "unknown_command" if step is None else step(task, resource)
+
+    def _release(self, task: int | None, resource: str | None) -> str | None:
+        first = self._next()
+        if self.state != "planned" or first is None or set(self.tasks.values()) != {"pending"}:
+            return "not_planned"
+        self.state, self.tasks[first] = "released", "ready"
+        return None
+
+    def _claim(self, task: int | None, resource: str | None) -> str | None:
+        if self.state != "released":
+            return "not_released"
+        self.state, self.owner = "assigned", resource
+        return None
+
+    def _start(self, task: int | None, resource: str | None) -> str | None:
+        if self.state not in ("assigned", "in_progress"):
+            return "not_executable"
+        if self.tasks.get(task) != "ready":
+            return "task_not_ready"
+        if self._next() != task:
+            return "sequence_skipped"
+        if resource != self.owner:
+            return "not_the_assigned_resource"
+        self.state = self.tasks[task] = "in_progress"
+        return None
+
+    def _confirm(self, task: int | None, resource: str | None) -> str | None:
+        if self.tasks.get(task) != "in_progress" or resource != self.owner:
+            return "no_live_execution"
+        self.tasks[task] = "completed"
+        if (after := self._next(task)) is not None:
+            self.tasks[after] = "ready"
+        else:
+            self.state, self.owner = "completed", None
+        return None
+
+    def _raise(self, task: int | None, resource: str | None) -> str | None:
+        if self.tasks.get(task) != "in_progress" or resource != self.owner:
+            return "no_live_execution"
+        self.state = self.tasks[task] = "exception"
+        return None
+
+    def _resume(self, task: int | None, resource: str | None) -> str | None:
+        if self.tasks.get(task) != "exception":
+            return "no_open_exception"
+        self.state, self.tasks[task] = "assigned", "ready"
+        return None
+
+    def _cancel(self, task: int | None, resource: str | None) -> str | None:
+        if self.state not in ("planned", "released", "assigned") or not set(self.tasks.values()) <= {"pending", "ready", "cancelled"}:
+            return "execution_began"
+        self.state, self.owner = "cancelled", None
+        self.tasks = dict.fromkeys(self.tasks, "cancelled")
+        return None
+
+
+def replay_works(commands: DataFrame) -> DataFrame:
+    """Decisions on ``commands`` (work_id, command_id, command, task, tasks, resource_id, recorded_at); ``tasks``: how many the work has."""
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, owner, out = initial, None, []
+        work, out = WorkState(int(pdf["tasks"].max())), []
         for r in pdf.sort_values(["recorded_at", "command_id"], kind="stable").itertuples(index=False):
-            after = WORK_STEPS.get((r.command, state))
-            mine = r.command in ("release", "claim", "cancel", "resume") or r.resource_id == owner
-            ok = after is not None and mine
-            if ok:
-                owner = r.resource_id if r.command == "claim" else None if r.command == "cancel" else owner
-                state = after
-            out.append((r.work_id, r.command_id, r.command, state, ok))
-        return pd.DataFrame(out, columns=["work_id", "command_id", "command", "state", "accepted"])
+            why = work.apply(r.command, r.task, r.resource_id)
+            out.append((r.work_id, r.command_id, r.command, r.task, work.state, why is None, why))
+        return pd.DataFrame(out, columns=["work_id", "command_id", "command", "task", "state", "accepted", "reason"])
 
     kinds = dict(commands.dtypes)
-    return commands.select("work_id", "command_id", "command", "resource_id", "recorded_at").groupBy("work_id").applyInPandas(whole, f"work_id {kinds['work_id']}, command_id {kinds['command_id']}, command string, state string, accepted boolean")
+    own = commands.select("work_id", "command_id", "command", "task", "tasks", "resource_id", "recorded_at")
+    return own.groupBy("work_id").applyInPandas(whole, f"work_id {kinds['work_id']}, command_id {kinds['command_id']}, {WORK_DECISIONS}")

@@ -644,8 +644,9 @@ def l6_commitment_replay(s: Source) -> DataFrame:
 
 @query()
 def wk_work_replay(s: Source) -> DataFrame:
-    steps = F.element_at(F.array(*[F.lit(k) for k in ("release", "claim", "start", "confirm", "start", "complete", "raise", "resume", "cancel")]), (F.col("event_id") % 9 + 1).cast("int"))
-    return replay.replay_works(s.table("events").select(F.col("user_id").alias("work_id"), F.col("event_id").alias("command_id"), steps.alias("command"), F.lit("r").alias("resource_id"), F.col("ts").alias("recorded_at")))
+    steps = F.element_at(F.array(*[F.lit(k) for k in ("release", "claim", "start", "confirm", "start", "confirm", "raise", "resume", "cancel")]), (F.col("event_id") % 9 + 1).cast("int"))
+    task = (F.col("event_id") % 2 + 1).cast("int")
+    return replay.replay_works(s.table("events").select(F.col("user_id").alias("work_id"), F.col("event_id").alias("command_id"), steps.alias("command"), task.alias("task"), F.lit(2).alias("tasks"), F.lit("r").alias("resource_id"), F.col("ts").alias("recorded_at")))
 
 
 # ---- control plane ----------------------------------------------------------------------------

@@ -98,11 +98,15 @@ def test_rejected_commands_do_not_use_up_their_key(spark):
 
 
 def test_work_replay_follows_the_state_machine(spark):
-    steps = [("release", "r"), ("claim", "r"), ("start", "x"), ("start", "r"), ("raise", "r"), ("resume", "r"), ("start", "r"), ("complete", "r"), ("cancel", "r")]
-    rows = [(1, i, c, who, T0 + timedelta(seconds=i)) for i, (c, who) in enumerate(steps)]
-    found = sorted(replay.replay_works(spark.createDataFrame(rows, "work_id int, command_id int, command string, resource_id string, recorded_at timestamp_ntz")).collect(), key=lambda r: r["command_id"])
-    assert [r["accepted"] for r in found] == [True, True, False, True, True, True, True, True, False]
-    assert found[-1]["state"] == "completed"
+    steps = [
+        ("release", None, "r", None), ("start", 1, "r", "not_executable"), ("claim", None, "r", None), ("start", 2, "r", "task_not_ready"), ("start", 1, "x", "not_the_assigned_resource"), ("start", 1, "r", None),
+        ("cancel", None, "r", "execution_began"), ("raise", 1, "r", None), ("confirm", 1, "r", "no_live_execution"), ("resume", 1, "r", None), ("start", 1, "r", None), ("confirm", 1, "r", None), ("start", 2, "r", None), ("confirm", 2, "r", None), ("claim", None, "r", "not_released"),
+    ]
+    rows = [(1, i, c, task, 2, who, T0 + timedelta(seconds=i)) for i, (c, task, who, _) in enumerate(steps)] + [(2, 0, "cancel", None, 1, None, T0)]
+    kinds = "work_id int, command_id int, command string, task int, tasks int, resource_id string, recorded_at timestamp_ntz"
+    found = sorted(replay.replay_works(spark.createDataFrame(rows, kinds)).collect(), key=lambda r: (r["work_id"], r["command_id"]))
+    assert [r["reason"] for r in found[:-1]] == [why for *_, why in steps]
+    assert found[-2]["state"] == "completed" and found[-1]["state"] == "cancelled"
 
 
 EVENT = "position_id long, version long, event_id long, recorded_at timestamp_ntz, delta decimal(24,6)"
