@@ -21,11 +21,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-PACKET, UNIT, AU_UNITS, RAP_EVERY = 188, 192, 10, 8
+PACKET, UNIT, AU_UNITS, RAP_EVERY, ROWS = 188, 192, 10, 8, 256
 AU = UNIT * AU_UNITS
 PAT_PID, PMT_PID, ES_PID, PRIVATE_STREAM, PRIVATE_TYPE = 0, 0x1000, 0x0100, 0xBD, 0x06
 FIRST_PTS, AU_TICKS, PCR_LEAD = 90_000, 3_600, 9_000
@@ -212,6 +214,19 @@ def feature(m: Column) -> Column:
 
 
 def media_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text, media (the stored stream) and stream (what was read back from it)."""
-    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return df.withColumn("media", write_ts("text")).withColumn("stream", read_ts("media"))
+    """doc_id, text, media (the stored stream) and stream (what was read back from it).
+
+    Python hands on ``ROWS`` streams at a time, so its memory doesn't follow the size of Spark's batches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = to_arrow_type(READ)
+        for batch in batches:
+            for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+                streams = [mux(padded(x)) for x in part.column(1).to_pylist()]
+                read = pa.array([_demux(x) for x in streams], kind)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(streams, pa.binary()), read], ["doc_id", "text", "media", "stream"])
+
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    fields = T.StructType([own.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("media", T.BinaryType()), T.StructField("stream", READ)])
+    return own.mapInArrow(run, fields)
