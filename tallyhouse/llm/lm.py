@@ -6,12 +6,15 @@ token before) is, and are learned by expectation-maximisation on documents whose
 counts were deleted: those of fold 1, against the counts of folds 2 to 9.  Fold 0 is
 held out from all learning.
 
-Every token of the corpus is counted.  The bigram model holds the pairs that make up
-at least ``PAIR`` of the training tokens, of words that make up at least ``CONTEXT``
-each: shares, so at most 1 / PAIR pairs exist at any corpus size, which bounds what is
-broadcast (words that make up at least ``COMMON``: likewise).  Tokens of all rarer
-words get their counts by a shuffled join; no such word has more than ``COMMON`` of
-the tokens, so that join has no hot key.
+Every token and every bigram of the corpus is counted, and every token is scored with
+the true counts of its word n(w), its context n(v) and their pair n(v, w).  Documents
+are dealt into blocks of about ``BLOCK`` bytes, each within one fold.  A block passes on
+the counts of its different words and pairs; these meet by a shuffle on the word or
+pair, and each block gets the totals of its own words and pairs back.  A pair that no
+other block has needs no way back: its total is the block's own count.  So no table
+grows with the corpus in a task or the driver, and a frequent pair has one row a block.
+64-bit hashes stand for words and pairs.  Every token is the context of one other (the
+end of a text that of its first word), so n(v) is the word's own count.
 
 Defined results: a null text is its end alone; a null doc_id falls into the fold of
 the empty string; every row is scored by itself, so repeated rows get equal scores
@@ -21,22 +24,23 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import wordhash
 from tallyhouse.llm.common import stored
 
-COMMON, CONTEXT, PAIR = 1e-6, 1e-5, 1e-6
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
 END = np.uint64(0x0123456789ABCDEF)
-#: Tokens that a task counts together before it passes their counts on.
-TOGETHER = 4_000_000
+_PAIR, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
+#: Bytes of text that are counted and scored together.
+BLOCK = 8 << 20
+#: Contexts are told apart by the doubling their count lies in; 0 for those never seen.
+BUCKETS = 64
 #: Steps of the quantised log2 ratios that the weights are learned from, and the mark of a zero probability.
 STEPS, NONE = 4, -1_000_000
 
@@ -64,114 +68,84 @@ def _find(ordered: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(ordered[at] == wanted, at, -1)
 
 
-def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    keys, deleted = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(keys)
-    keys, deleted = keys[order], deleted[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    n = np.diff(np.append(first, len(keys)))
-    gone = np.add.reduceat(deleted.astype(np.int64), first)
-    return pa.record_batch([pa.array(keys[first].view(np.int64)), pa.array(n), pa.array(gone)], ["key", "n", "gone"])
+def _keys(now: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Keys of all words (odd), then of all pairs (even)."""
+    return np.concatenate([now | _ONE, wordhash.mix(before * _PAIR + now) & ~_ONE])
 
 
-def _count(docs: DataFrame, keys_of) -> DataFrame:
-    """key, n, gone (occurrences in deleted documents) over all training documents."""
+def _texts(block: pa.Table) -> pa.Array:
+    texts = block.column("text").cast(pa.large_string()).combine_chunks()
+    return pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for batch in batches:
-            for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
-                now, before, text = tokens(part.column(1))
-                deleted = (np.asarray(part.column(0)) == DELETED)[text]
-                keys, kept = keys_of(now, before)
-                parts.append((keys, deleted[kept]))
-                size += len(keys)
-                if size >= TOGETHER:
-                    yield _counted(parts)
-                    parts, size = [], 0
-        if size:
-            yield _counted(parts)
 
-    training = docs.where(F.col("fold") != HELD_OUT).select("fold", "text")
-    return training.mapInArrow(run, "key long, n long, gone long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("gone").alias("gone"))
+def _buckets(n: np.ndarray) -> np.ndarray:
+    """0 for contexts never seen, then one for each doubling."""
+    return np.where(n > 0, 1 + np.floor(np.log2(np.maximum(n, 1))), 0).astype(np.int64)
 
 
 @dataclass(frozen=True)
-class Tables:
-    """What is broadcast: common words and frequent pairs with their counts, contexts and totals."""
-
-    words: np.ndarray  # ordered hashes
-    n: np.ndarray
-    context: np.ndarray  # number among the contexts, or -1, of each word
-    bucket: np.ndarray  # of the context's frequency, of each word
-    contexts: int
-    pairs: np.ndarray  # ordered context * contexts + word
-    n_pair: np.ndarray
-    n_context: np.ndarray  # sum over the context's pairs
+class Totals:
+    """Training tokens and different words: of all training documents, and without the deleted ones."""
+
     total: int
     distinct: int
+    total_left: int
+    distinct_left: int
+
 
-    def seen(self, now: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(position among the common words or -1, count, context's bucket, bigram probability) of each token."""
-        at = _find(self.words, now)
-        known = at >= 0
-        n = np.where(known, self.n[at], 0) if len(self.n) else np.zeros(len(at), np.int64)
-        left = np.where(before == END, _find(self.words, np.array([END], np.uint64))[0], np.concatenate([[-1], at[:-1]]))
-        bucket, p = np.zeros(len(now), np.int64), np.zeros(len(now))
-        if len(self.words):
-            bucket = np.where(left >= 0, self.bucket[left], 0)
-            v, w = np.where(left >= 0, self.context[left], -1), np.where(known, self.context[at], -1)
-            both = np.flatnonzero((v >= 0) & (w >= 0))
-            pair = _find(self.pairs, v[both] * self.contexts + w[both])
-            hit = pair >= 0
-            whole = self.n_context[v[both][hit]]
-            p[both[hit]] = self.n_pair[pair[hit]] / np.maximum(whole, 1)
-        return at, n, bucket, p
-
-
-def _buckets(n: np.ndarray, total: int) -> np.ndarray:
-    """0 for words rarer than ``CONTEXT``, then one for each doubling."""
-    share = n / max(total, 1)
-    return np.where(share >= CONTEXT, 1 + np.floor(np.log2(np.maximum(share, CONTEXT) / CONTEXT)), 0).astype(np.int64)
-
-
-BUCKETS = 2 + int(np.floor(np.log2(1 / CONTEXT)))
-
-
-def count(docs: DataFrame) -> tuple[DataFrame, Tables, Tables]:
-    """(key, n, gone of every word; the tables of all training documents; those without the deleted ones)."""
-    words = stored(_count(docs, lambda now, before: (now, slice(None))), "lm-words")
-    total, gone, distinct, left = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("gone"), F.lit(0)), F.count("*"), F.count_if(F.col("n") > F.col("gone"))).first()
-    common = words.where(F.col("n") >= COMMON * total).toArrow()
-    key = np.asarray(common["key"]).astype(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    key, n, deleted = key[order], np.asarray(common["n"])[order].astype(np.int64), np.asarray(common["gone"])[order].astype(np.int64)
-    is_context = n >= CONTEXT * total
-    context = np.where(is_context, np.cumsum(is_context) - 1, -1)
-    contexts = int(is_context.sum())
-    shared = docs.sparkSession.sparkContext.broadcast((key, context))
-
-    def pair_keys(now: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own, number = shared.value
-        if not len(own):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        at = _find(own, now)
-        w = np.where(at >= 0, number[at], -1)
-        end = _find(own, np.array([END], np.uint64))[0]
-        v = np.where(before == END, number[end] if end >= 0 else -1, np.concatenate([[-1], w[:-1]]))
-        kept = np.flatnonzero((v >= 0) & (w >= 0))
-        return (v[kept] * contexts + w[kept]).astype(np.uint64), kept
-
-    frequent = _count(docs, pair_keys).where(F.col("n") >= PAIR * total).toArrow()
-    pair = np.asarray(frequent["key"]).astype(np.int64)
-    order = np.argsort(pair)
-    pair, n_pair, gone_pair = pair[order], np.asarray(frequent["n"])[order].astype(np.int64), np.asarray(frequent["gone"])[order].astype(np.int64)
-
-    def tables(words_n: np.ndarray, pairs_n: np.ndarray, whole: int, kinds: int) -> Tables:
-        sums = np.bincount(pair // max(contexts, 1), pairs_n, minlength=max(contexts, 1)).astype(np.int64)
-        return Tables(key, words_n, context, _buckets(n, total), contexts, pair, pairs_n, sums, whole, kinds)
-
-    return words, tables(n, n_pair, total, distinct), tables(n - deleted, n_pair - gone_pair, total - gone, left)
+@dataclass(frozen=True)
+class Counts:
+    """Blocks of documents (block, doc_id, text), what they got back (block, key, n, gone) and the totals; ``per`` blocks a fold."""
+
+    blocks: DataFrame
+    known: DataFrame
+    per: int
+    totals: Totals
+
+
+def seen(block: pa.Table, known: pa.Table, per: int, deleted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, count, count of the context, count of the pair) of each token of a block; ``deleted``: without the counts of deleted documents."""
+    now, before, text = tokens(_texts(block))
+    own, place, times = np.unique(_keys(now, before), return_inverse=True, return_counts=True)
+    fold = block.column("block")[0].as_py() // per
+    n = times if fold != HELD_OUT and not (deleted and fold == DELETED) else np.zeros(len(own), np.int64)
+    at = _find(own, np.asarray(known.column("key")).view(np.uint64))
+    total = np.asarray(known.column("n"))
+    n[at] = total - np.asarray(known.column("gone")) if deleted else total
+    word, pair = n[place[: len(now)]], n[place[len(now) :]]
+    end = n[_find(own, np.array([END | _ONE]))[0]]
+    return text, word, np.where(before == END, end, np.concatenate([[end], word[:-1]])), pair
+
+
+def count(docs: DataFrame) -> Counts:
+    """Deals documents (doc_id, text) into blocks and tells each block the training counts of its words and pairs."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    per = max(1, -(-size // (FOLDS * BLOCK)))
+    number = fold_of(F.col("doc_id")) * per + F.pmod(F.xxhash64("doc_id", "text"), F.lit(per)).cast("int")
+    blocks = docs.select(number.alias("block"), "doc_id", "text")
+
+    def counted(block: pa.Table) -> pa.Table:
+        now, before, _ = tokens(_texts(block))
+        keys, n = np.unique(_keys(now, before), return_counts=True)
+        return pa.table({"key": keys.view(np.int64), "block": np.full(len(keys), block.column("block")[0].as_py(), np.int32), "n": n})
+
+    asked = blocks.select("block", "text").groupBy("block").applyInArrow(counted, "key long, block int, n long")
+    same, fold = Window.partitionBy("key"), _fold(per)
+    told = asked.select(
+        "block", "key",
+        F.sum(F.when(fold != HELD_OUT, F.col("n")).otherwise(0)).over(same).alias("n"),
+        F.sum(F.when(fold == DELETED, F.col("n")).otherwise(0)).over(same).alias("gone"),
+        F.min("block").over(same).alias("first"), F.count("*").over(same).alias("rows"),
+    )
+    is_word = F.col("key").bitwiseAND(F.lit(1)) == 1
+    known = stored(told.where((F.col("rows") > 1) | is_word).select("block", "key", "n", "gone", (F.col("block") == F.col("first")).alias("first")), "lm-counts")
+    n, gone = F.col("n"), F.col("gone")
+    total, distinct, gone, left = known.where(is_word & F.col("first")).agg(F.coalesce(F.sum(n), F.lit(0)), F.count_if(n > 0), F.coalesce(F.sum(gone), F.lit(0)), F.count_if(n > gone)).first()
+    return Counts(blocks, known.select("block", "key", "n", "gone"), per, Totals(total, distinct, total - gone, left))
+
+
+def _fold(per: int) -> Column:
+    return F.floor(F.col("block") / F.lit(per))
 
 
 def _steps(p: np.ndarray, base: float) -> np.ndarray:
@@ -179,32 +153,19 @@ def _steps(p: np.ndarray, base: float) -> np.ndarray:
     return np.where(p > 0, np.round(STEPS * np.log2(np.maximum(p, 1e-300) / base)), NONE).astype(np.int64)
 
 
-def deleted_counts(docs: DataFrame, words: DataFrame, tables: Tables) -> np.ndarray:
+def deleted_counts(counts: Counts) -> np.ndarray:
     """Rows (bucket, bigram step, unigram step, tokens) over all tokens of the deleted documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
-    base = 1 / (tables.distinct + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
-                now, before, _ = tokens(part.column(0))
-                at, n, bucket, p = own.seen(now, before)
-                two, one = _steps(p, base), _steps(n / max(own.total, 1), base)
-                known = at >= 0
-                rows, times = np.unique(np.stack([bucket[known], two[known], one[known]], 1), axis=0, return_counts=True)
-                rare = ~known
-                columns = [np.concatenate([rows[:, i], x]) for i, x in enumerate((bucket[rare], two[rare], np.zeros(int(rare.sum()), np.int64)))]
-                key = pa.array(np.concatenate([np.zeros(len(rows), np.int64), now[rare].view(np.int64)]), mask=np.concatenate([np.ones(len(rows), bool), np.zeros(int(rare.sum()), bool)]))
-                yield pa.record_batch([key, *map(pa.array, columns), pa.array(np.concatenate([times, np.ones(int(rare.sum()), np.int64)]))], ["key", "bucket", "two", "one", "n"])
-
-    found = docs.where(F.col("fold") == DELETED).select("text").mapInArrow(run, "key long, bucket long, two long, one long, n long")
-    found = stored(found.groupBy("key", "bucket", "two", "one").agg(F.sum("n").alias("times")), "lm-deleted")
-    left = F.col("n") - F.col("gone")
-    step = F.when(left > 0, F.rint(STEPS * F.log2(left / F.lit(float(max(tables.total, 1))) / base)).cast("long")).otherwise(NONE)
-    rare = found.where("key is not null").join(words, "key").select("bucket", "two", step.alias("one"), "times")
-    both = found.where("key is null").select("bucket", "two", "one", "times").unionByName(rare)
-    rows = both.groupBy("bucket", "two", "one").agg(F.sum("times").alias("times")).collect()
+    per, total, base = counts.per, counts.totals.total_left, 1 / (counts.totals.distinct_left + 1)
+
+    def run(block: pa.Table, known: pa.Table) -> pa.Table:
+        _, n, context, pair = seen(block, known, per, True)
+        steps = np.stack([_buckets(context), _steps(pair / np.maximum(context, 1), base), _steps(n / max(total, 1), base)], 1)
+        rows, times = np.unique(steps, axis=0, return_counts=True)
+        return pa.table([*(pa.array(rows[:, i]) for i in range(3)), pa.array(times)], ["bucket", "two", "one", "n"])
+
+    blocks, known = (d.where(_fold(per) == DELETED).groupBy("block") for d in (counts.blocks.select("block", "text"), counts.known))
+    found = blocks.cogroup(known).applyInArrow(run, "bucket long, two long, one long, n long")
+    rows = found.groupBy("bucket", "two", "one").agg(F.sum("n").alias("times")).collect()
     return np.array([tuple(r) for r in rows], np.int64).reshape(-1, 4)
 
 
@@ -240,44 +201,19 @@ def learn_weights(rows: np.ndarray, rounds: int = 60) -> np.ndarray:
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of ``docs``."""
-    docs = docs.select("doc_id", "text").withColumn("fold", fold_of(F.col("doc_id")))
-    words, tables, without = count(docs)
-    weights = learn_weights(deleted_counts(docs, words, without))
-    total, distinct = tables.total, tables.distinct
+    counts = count(docs.select("doc_id", "text"))
+    weights = learn_weights(deleted_counts(counts))
+    per, total, distinct = counts.per, counts.totals.total, counts.totals.distinct
     norm = total + 0.1 * (distinct + 1)
-    shared = docs.sparkSession.sparkContext.broadcast((tables, weights))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, mixture = shared.value
-        for batch in batches:
-            for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
-                now, before, text = tokens(part.column(2))
-                at, n, bucket, p = own.seen(now, before)
-                known, rare = at >= 0, at < 0
-                w = mixture[bucket]
-                model = np.log10(np.maximum(w[:, 0] * p + w[:, 1] * n / max(own.total, 1) + w[:, 2] / (own.distinct + 1), 1e-300))
-                sums = [np.bincount(text[known], x[known], minlength=part.num_rows) for x in (np.ones(len(now)), np.log10((n + 0.1) / norm), model)]
-                row, rows = np.asarray(part.column(0)), part.num_rows
-                r = text[rare]
-                none = np.zeros(len(r))
-                yield pa.record_batch(
-                    [
-                        pa.array(np.concatenate([row, row[r]])), pa.concat_arrays([part.column(1), pa.nulls(len(r), part.column(1).type)]),
-                        pa.array(np.concatenate([wordhash.mix(row.astype(np.uint64) ^ END), now[rare]]).view(np.int64)), pa.array(np.concatenate([np.full(rows, -1), bucket[rare]])),
-                        pa.array(np.concatenate([np.bincount(text, minlength=rows), none]).astype(np.int64)), pa.array(np.concatenate([sums[0], none]).astype(np.int64)),
-                        pa.array(np.concatenate([sums[1], none])), pa.array(np.concatenate([sums[2], none])),
-                    ],
-                    ["row", "doc_id", "key", "bucket", "n_tokens", "n_known", "base", "model"],
-                )
+
+    def run(block: pa.Table, known: pa.Table) -> pa.Table:
+        text, n, context, pair = seen(block, known, per, False)
+        w = weights[_buckets(context)]
+        model = np.log10(np.maximum(w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * n / max(total, 1) + w[:, 2] / (distinct + 1), 1e-300))
+        sums = [np.bincount(text, x, minlength=block.num_rows) for x in (np.ones(len(n)), n > 0, np.log10((n + 0.1) / norm), model)]
+        columns = [pa.array(x.astype(np.int64)) for x in sums[:2]] + [pa.array(x) for x in sums[2:]]
+        return pa.table([block.column("doc_id"), *columns], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    found = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, key long, bucket long, n_tokens long, n_known long, base double, model double")
-    joined = found.join(words.select("key", "n"), "key", "left")
-    is_rare = F.col("bucket") >= 0
-    c = F.coalesce("n", F.lit(0))
-    weight = [F.element_at(F.array(*[F.lit(float(x)) for x in weights[:, k]]), F.greatest("bucket", F.lit(0)).cast("int") + 1) for k in (1, 2)]
-    base = F.when(is_rare, F.log10((c + F.lit(0.1)) / F.lit(norm))).otherwise(F.col("base"))
-    model = F.when(is_rare, F.log10(weight[0] * c / F.lit(float(max(total, 1))) + weight[1] / F.lit(float(distinct + 1)))).otherwise(F.col("model"))
-    told = joined.select("row", "doc_id", "n_tokens", F.when(is_rare, (c > 0).cast("long")).otherwise(F.col("n_known")).alias("n_known"), base.alias("base"), model.alias("model"))
-    sums = told.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("model").alias("score"))
-    return sums.select("doc_id", (fold_of(F.col("doc_id")) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    found = counts.blocks.groupBy("block").cogroup(counts.known.groupBy("block")).applyInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return found.select("doc_id", (fold_of(F.col("doc_id")) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -155,6 +159,41 @@ def test_weights_are_learned():
     assert lm.learn_weights(np.zeros((0, 4), np.int64)).tolist() == [[0, 0, 1]] * lm.BUCKETS
 
 
+def test_every_bigram_counts(docs, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in (rng.pareto(0.35, 800) * 10).astype(int) % 90_000)) for i in range(200)]  # 160,000 tokens, many contexts seen once
+    texts = {i: ["\0", *words(t, True), "\0"] for i, t in rows}
+    fold = {i: zlib.crc32(str(i).encode()) % lm.FOLDS for i in texts}
+
+    def model(folds):
+        own = [texts[i] for i in texts if fold[i] in folds]
+        return Counter(w for t in own for w in t[1:]), Counter(p for t in own for p in zip(t, t[1:], strict=False))
+
+    def bucket(n):
+        return n.bit_length()
+
+    def steps(p, base):
+        return int(np.round(lm.STEPS * np.log2(p / base))) if p else lm.NONE
+
+    weights, seen = np.tile([0.6, 0.3, 0.1], (lm.BUCKETS, 1)), []
+    monkeypatch.setattr(lm, "BLOCK", 20_000, raising=False)
+    monkeypatch.setattr(lm, "learn_weights", lambda found: seen.append(found) or weights)
+    scores = {r["doc_id"]: r["score"] for r in lm.score(docs(rows)).collect()}
+    one, two = model(set(range(1, 10)))
+    assert sum(n == 1 for n in one.values()) > 1000
+    total = sum(one.values())
+    for i, t in texts.items():
+        expected = sum(math.log10(0.6 * two[v, w] / max(one[v], 1) + 0.3 * one[w] / total + 0.1 / (len(one) + 1)) for v, w in zip(t, t[1:], strict=False))
+        assert abs(scores[i] - expected) < 1e-6 * abs(expected)
+    one, two = model(set(range(2, 10)))
+    total, base = sum(one.values()), 1 / (len(one) + 1)
+    expected = Counter()
+    for i, t in texts.items():
+        if fold[i] == 1:
+            expected.update((bucket(one[v]), steps(two[v, w] / max(one[v], 1), base), steps(one[w] / total, base)) for v, w in zip(t, t[1:], strict=False))
+    assert {tuple(r[:3]): r[3] for r in seen[0].tolist()} == expected
+
+
 # ---- chat -------------------------------------------------------------------------------------
 
 
