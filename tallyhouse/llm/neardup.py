@@ -208,7 +208,7 @@ def linked(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT, width:
     """(links between sets: a, b; components: set, component)."""
     classes = sketches.where("set is not null and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("registers").alias("registers"))
     classes = stored(classes, "near-classes")
-    least = -(-100 // (100 - percent)) if percent < 100 else None  # smaller sets are similar only if equal
+    least = max(1, -(-percent // (100 - percent))) if percent < 100 else None  # smaller sets are similar only if equal
     bands = REGISTERS // BAND
     keys = F.array(*[F.xxhash64(F.substring("registers", 2 * BAND * i + 1, 2 * BAND), F.lit(i)) for i in range(bands)])
     banded = classes.where(F.col("n") >= (least or 1 << 62)).select(F.explode(keys).alias("bucket"), "set")

@@ -282,6 +282,18 @@ def test_near_duplicates_with_hot_groups(docs):
     assert found == expected and len({c for _, c in found.values()}) > 4
 
 
+@pytest.mark.parametrize(("percent", "n"), [(85, 10), (80, 8)])
+def test_smallest_sets_that_differ_are_linked(docs, percent, n):
+    rows = []
+    for k in range(8):
+        own = [f"t{k}w{i}" for i in range(n)]
+        longer = [*own, "end"] if k % 2 else ["start", *own]
+        rows += [(10 * k, " ".join(own)), (10 * k + 1, " ".join(longer)), (10 * k + 2, " ".join(own[:-1]))]
+    expected = near_by_brute_force(dict(rows), percent)
+    assert all(expected[10 * k + 1] == (n - 3, 10 * k) and expected[10 * k + 2] == (n - 5, 10 * k + 2) for k in range(8))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs(rows), percent).collect()} == expected
+
+
 def test_near_edge_rows(docs):
     df = docs([(i, t, i) for i, t in ODD], ", set long")
     found = neardup.near_duplicates(df.drop("set")).collect()
