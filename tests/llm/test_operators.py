@@ -329,6 +329,28 @@ def test_recurring_templates_go_but_one(docs):
     assert all(left[100 + i]["dropped"] == [] for i in range(20))
 
 
+def test_a_text_counts_once_however_often_it_has_a_template(docs):
+    """Ten texts share a template; four of them have it twice with a shared word at the variable place."""
+    line = "the order of {} was shipped from the main warehouse on time"
+    texts = [f"own{chr(97 + i)} text\n{line.format('x' + chr(97 + i))}" + (f"\n{line.format('shared')}" if i < 4 else "") for i in range(10)]
+    left = linededup.drop_lines(docs(list(enumerate(texts)))).collect()
+    assert sum(len(r["dropped"]) for r in left) == 12 and all(len(r["text"].split()) == (2 if r["doc_id"] else 26) for r in left)
+    fewer = linededup.drop_lines(docs(list(enumerate(texts[:7])))).collect()
+    assert all(r["dropped"] == [] for r in fewer)
+
+
+def test_fields_and_long_lines(docs):
+    """Words with digits match anything; long lines recur from two texts on, as long as no word differs."""
+    rows = [(i, f"own{chr(97 + i)} text\nPage {i} of 10\nCopyright 2024 Acme Ltd\n12 {i}") for i in range(9)]
+    left = {r["doc_id"]: r["dropped"] for r in linededup.drop_lines(docs(rows)).collect()}
+    assert left == {0: [], **{i: [1, 2] for i in range(1, 9)}}
+    passage = " ".join(f"p{i}q" if i % 7 == 3 else "p" + "abcdefghij"[i % 10] * (i + 1) for i in range(55))
+    rows = [(1, f"one\n{passage}"), (2, f"two\n{passage}\nmore"), (3, f"three\n{passage} end"), (4, f"four\n{passage.replace('p3q', 'p4q')}"), (None, f"five\n  {passage}"), (6, f"six\n{' '.join(passage.split()[:49])}"), (7, f"7\n{' '.join(passage.split()[:49])}")]
+    left = {r["doc_id"]: r["dropped"] for r in linededup.drop_lines(docs(rows)).collect()}
+    assert left == {1: [], 2: [1], 3: [], 4: [], None: [1], 6: [], 7: []}
+    assert all(r["dropped"] == [] for r in linededup.drop_lines(docs([(i, passage) for i in range(20)])).collect())
+
+
 def test_line_edge_rows(docs):
     df = docs([(i, t, i, 7, 8) for i, t in ODD], ", place int, dropped int, gone int")
     same = linededup.keep_distinct(df)
