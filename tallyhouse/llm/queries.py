@@ -21,8 +21,8 @@ URL_RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Hosts with such a label are known to be farms; the pages seen on them are the listed URLs.
-FARM_HOST = r"(^|\.)spam[^.]*\."
+#: Pages with shorter articles are thin; their URLs make the list.
+THIN_WORDS = 40
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +35,7 @@ def op2_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    listed = urls.parsed(pages).where(F.col("host").rlike(FARM_HOST)).select("canonical")
-    return urls.filter_urls(pages, listed, URL_RULES)
+    return urls.filter_urls(pages, urls.thin_urls(pages, THIN_WORDS), URL_RULES)
 
 
 def _url_sql() -> str:
@@ -48,17 +47,19 @@ def _url_sql() -> str:
     return f"""
 WITH parts AS (
   SELECT page_id, url,
+         regexp_extract(html, '{urls.ARTICLE}', 1) AS article,
          translate(coalesce(regexp_extract(url, '{urls.AUTHORITY}', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '{urls.AUTHORITY}', 2), '') AS path,
          list_sort(list_filter(string_split(coalesce(regexp_extract(url, '{urls.QUERY}', 1), ''), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '{urls.TRACKING}'))) AS params
   FROM pages),
 named AS (
   SELECT *, {rule} AS rule, {verdict} AS by_rule,
-         CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\\.', '') || regexp_replace(path, '/+$', '')
+         len(list_filter(string_split_regex(regexp_replace(article, '{urls.TAG}', ' ', 'g'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS article_words,
+         CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '{urls.SITE}', '') || regexp_replace(path, '{urls.ENDING}', '')
               || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canonical
   FROM parts),
 marked AS (
-  SELECT *, canonical IS NOT NULL AND canonical IN (SELECT canonical FROM named WHERE regexp_matches(host, '{FARM_HOST}') AND canonical IS NOT NULL) AS listed
+  SELECT *, canonical IS NOT NULL AND canonical IN (SELECT canonical FROM named WHERE article <> '' AND article_words < {THIN_WORDS} AND canonical IS NOT NULL) AS listed
   FROM named)
 SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM marked"""
 

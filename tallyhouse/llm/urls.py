@@ -1,6 +1,8 @@
 """URL filters: ordered host/path rules, then a blocked Bloom filter with an exact join.
 
-Listed canonical URLs go into a blocked Bloom filter: a key chooses one block of
+A list can be given, or made of what pages say: ``thin_urls`` lists the canonical URLs
+of pages whose article has few words, and ``filter_urls`` then finds every page at such
+a URL, however it is spelled.  Listed canonical URLs go into a blocked Bloom filter: a key chooses one block of
 eight 64-bit words and sets one bit in each.  Blocks are rows of a DataFrame, so
 the filter is built by one aggregation and probed by one join on the block
 number.  It is broadcast only while its size, known from the number of listed
@@ -19,13 +21,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import lower_ascii
+from tallyhouse.llm.common import lower_ascii, stored, words_of
 
 WORDS = 8
+#: What a listed URL takes in a broadcast, at a guess on the safe side.
+KEY_BYTES = 512
 #: Query parameters that only track a visit.
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
 AUTHORITY = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 QUERY = r"(?s)^.*?://[^?#]*\?([^#]*)"
+#: Subdomains under which a site repeats its pages, and endings that name the same page.
+SITE = r"^((www|m)\.)+"
+ENDING = r"(\.html?|/)+$"
+ARTICLE = r"(?s)<article>(.*?)</article>"
+TAG = r"<[^>]*>"
 
 
 def host_of(url: Column) -> Column:
@@ -37,10 +46,10 @@ def path_of(url: Column) -> Column:
 
 
 def canonical(url: Column, host: Column, path: Column) -> Column:
-    """Scheme, ``www.``, default port, fragment, tracking parameters, a last slash
-    and the order of parameters make no difference; null without a host."""
-    host = F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), r"^www\.", "")
-    path = F.regexp_replace(path, r"/+$", "")
+    """Scheme, ``www.`` and ``m.``, default port, fragment, tracking parameters, a last slash
+    or ``.html`` and the order of parameters make no difference; null without a host."""
+    host = F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), SITE, "")
+    path = F.regexp_replace(path, ENDING, "")
     params = F.array_sort(F.filter(F.split(F.regexp_extract(url, QUERY, 1), "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
     query = F.when(F.size(params) > 0, F.concat(F.lit("?"), F.concat_ws("&", params))).otherwise("")
     return F.when(host != "", F.concat(host, path, query))
@@ -55,6 +64,14 @@ def parsed(pages: DataFrame) -> DataFrame:
     )
 
 
+def thin_urls(pages: DataFrame, min_words: int) -> DataFrame:
+    """canonical: of the pages whose html holds an article of fewer than ``min_words`` words (null html: none), stored."""
+    body = F.regexp_extract("html", ARTICLE, 1)
+    thin = pages.where((body != "") & (F.size(words_of(F.regexp_replace(body, TAG, " "))) < min_words))
+    url = F.col("url")
+    return stored(thin.select(canonical(url, host_of(url), path_of(url)).alias("canonical")).where("canonical is not null").distinct(), "url-list")
+
+
 def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest fitting rule, nulls without one.
 
@@ -95,23 +112,30 @@ def filter_urls(
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, listed.
 
-    ``listed`` has a column canonical (made by ``canonical``).  Verdict: the rule's,
+    ``listed`` has a column canonical (made by ``canonical``), and is stored or cheap to read.  Verdict: the rule's,
     else block for a listed url, else allow.
     """
     keys = listed.select("canonical").where("canonical is not null").distinct()
-    blocks = max(1, -(-keys.count() * bits_per_key // (64 * WORDS)))
+    n_keys = keys.count()
+    blocks = max(1, -(-n_keys * bits_per_key // (64 * WORDS)))
     bloom = bloom_filter(keys, blocks)
     if blocks * 8 * (WORDS + 2) <= max_broadcast_bytes:
         bloom = F.broadcast(bloom)
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
-    probed = parsed(pages).withColumn("rule", rule).withColumn("verdict", verdict).withColumn("block", _block(F.col("canonical"), blocks)).join(bloom, "block", "left")
+    key = F.coalesce("canonical", F.col("page_id").cast("string"))  # urls without a host are spread over all blocks
+    probed = parsed(pages).withColumn("rule", rule).withColumn("verdict", verdict).withColumn("block", _block(key, blocks)).join(bloom, "block", "left")
     held = [F.col(f"w{i}").bitwiseAND(m) != 0 for i, m in enumerate(_masks(F.col("canonical")))]
     possible = F.col("canonical").isNotNull() & F.col("w0").isNotNull()
     for x in held:
         possible = possible & x
     possible = F.coalesce(possible, F.lit(False))
-    columns = ["page_id", "host", "path", "rule", "verdict", "canonical"]
-    misses = probed.where(~possible).select(*columns, F.lit(False).alias("listed"))
-    exact = keys.withColumn("listed", F.lit(True)).hint("shuffle_hash")
-    hits = probed.where(possible).select(*columns).join(exact, "canonical", "left").select(*columns, F.coalesce("listed", F.lit(False)).alias("listed"))
-    return misses.unionByName(hits).select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
+    told = probed.withColumn("wanted", F.when(possible, F.col("canonical"))).select("page_id", "host", "path", "rule", "verdict", "wanted")
+    exact = keys.select(F.col("canonical").alias("wanted"), F.lit(True).alias("listed"))
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    found = F.coalesce("listed", F.lit(False)).alias("listed")
+    if n_keys * KEY_BYTES <= max_broadcast_bytes:
+        judged = told.join(F.broadcast(exact), "wanted", "left").select(*columns, found)
+    else:  # only possible hits are shuffled
+        hits = told.where("wanted is not null").join(exact.hint("shuffle_hash"), "wanted", "left").select(*columns, found)
+        judged = told.where("wanted is null").select(*columns, F.lit(False).alias("listed")).unionByName(hits)
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
