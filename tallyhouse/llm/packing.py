@@ -1,19 +1,20 @@
 """Packing documents into token-budget batches inside optimal length buckets.
 
-Lengths are counted into one global histogram.  Dynamic programming over it
-chooses the ``buckets`` boundaries that minimise padding when each document is
-padded to its bucket's boundary.  Bins are exact below 1,024 tokens and keep ten
-significant bits beyond, so the histogram has at most 512 bins for each doubling
-of the longest document, whatever the number of documents; sums and maxima by
-bin keep the padding exact for the boundaries considered.
-
-Inside a bucket documents are dealt to shards by a hash of doc_id; a running
+Lengths are counted into one global histogram with a bin for each length.  Dynamic
+programming over it chooses the ``buckets`` boundaries that minimise padding when each
+document is padded to its bucket's boundary.  The optimum is exact: a length's best
+earlier boundary never falls as the length grows, so each bucket takes n log n steps for
+n different lengths.  The histogram is what the driver gets; n different lengths need at
+least n * n / 2 tokens, so a corpus of T tokens has at most sqrt(2 T) bins.
+
+Inside a bucket documents are dealt to shards by a hash of doc_id and length; a running
 count over the small (bucket, shard) table numbers them through, so every batch
 but the last of its bucket is full and no task gets a whole bucket.
 
 Defined results: a document has one token more than words (its end); a null text
 is empty; documents longer than the budget get batches of their own; repeated
-rows each take a slot; an empty table gives no rows.
+rows each take a slot; a null doc_id counts as an empty one; an empty table gives no
+rows; other columns pass ``pack`` unchanged.
 """
 
 from __future__ import annotations
@@ -31,43 +32,54 @@ def n_tokens(text: Column) -> Column:
     return (F.size(words_of(text)) + 1).cast("long")
 
 
-def bin_of(n: Column) -> Column:
-    """The bin's number: the length itself below 1,024, else rounded up to ten significant bits."""
-    unit = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n)) - 10)
-    return F.when(n < 1024, n).otherwise(F.ceil(n / unit) * unit).cast("long")
+def histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, documents of each), in order."""
+    found = lengths.groupBy("n_tokens").agg(F.count("*").alias("docs")).orderBy("n_tokens").toArrow()
+    return found.column("n_tokens").to_numpy(), found.column("docs").to_numpy()
 
 
-def histogram(lengths: DataFrame) -> list[tuple[int, int, int]]:
-    """(longest, documents, tokens) by bin, in order."""
-    rows = lengths.groupBy(bin_of(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("longest"), F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")).orderBy("bin").collect()
-    return [(r["longest"], r["docs"], r["tokens"]) for r in rows]
+def _step(best: np.ndarray, length: np.ndarray, docs: np.ndarray, tokens: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least padding with k + 1 buckets for lengths 0..j, and where the bucket before the last ends.
 
-
-def best_boundaries(bins: list[tuple[int, int, int]], buckets: int) -> tuple[list[int], int]:
-    """Boundaries of at most ``buckets`` buckets with the least padding, and that padding.
-
-    Of equally good earlier boundaries the lowest is taken.
+    ``docs`` and ``tokens`` are running sums.  The lowest of equally good ends is taken; as ends
+    never fall from one j to the next, the middle j of a range halves the ends left to try.
     """
-    if not bins:
+    n = len(length)
+    now, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    low, high, first, last = (np.array([x]) for x in (k, n - 1, k - 1, n - 2))
+    while len(low):
+        middle = (low + high) // 2
+        many = np.minimum(last, middle - 1) - first + 1
+        begin = np.cumsum(many) - many
+        i = np.arange(many.sum()) + np.repeat(first - begin, many)
+        j = np.repeat(middle, many)
+        cost = best[i] + length[j] * (docs[j] - docs[i]) - (tokens[j] - tokens[i])
+        least = np.minimum.reduceat(cost, begin)
+        end = np.minimum.reduceat(np.where(cost == np.repeat(least, many), i, n), begin)
+        now[middle], back[middle] = least, end
+        low, high, first, last = np.concatenate([low, middle + 1]), np.concatenate([middle - 1, high]), np.concatenate([first, end]), np.concatenate([end, last])
+        there = low <= high
+        low, high, first, last = low[there], high[there], first[there], last[there]
+    return now, back
+
+
+def best_boundaries(lengths: np.ndarray, docs: np.ndarray, buckets: int) -> tuple[list[int], int]:
+    """Boundaries of at most ``buckets`` buckets with the least padding, and that padding."""
+    if not len(lengths):
         return [], 0
-    longest, docs, tokens = (np.array(x, np.int64) for x in zip(*bins, strict=True))
-    n, buckets = len(bins), min(buckets, len(bins))
-    d, t = np.concatenate([[0], np.cumsum(docs)]), np.concatenate([[0], np.cumsum(tokens)])
-    best = longest * d[1:] - t[1:]  # with one bucket for bins 0..j
+    length, count = np.asarray(lengths, np.int64), np.asarray(docs, np.int64)
+    d, t = np.cumsum(count), np.cumsum(count * length)
+    best = length * d - t  # with one bucket for lengths 0..j
     came: list[np.ndarray] = []
-    for k in range(1, buckets):
-        now, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for j in range(k, n):
-            cost = best[k - 1 : j] + longest[j] * (d[j + 1] - d[k : j + 1]) - (t[j + 1] - t[k : j + 1])
-            i = int(cost.argmin())
-            now[j], back[j] = cost[i], k - 1 + i
-        best = now
+    for k in range(1, min(buckets, len(length))):
+        best, back = _step(best, length, d, t, k)
         came.append(back)
-    at, ends = n - 1, [n - 1]
+    at = len(length) - 1
+    ends = [at]
     for back in reversed(came):
         at = int(back[at])
         ends.append(at)
-    return [int(longest[e]) for e in reversed(ends)], int(best[n - 1])
+    return [int(length[e]) for e in reversed(ends)], int(best[-1])
 
 
 def _by_bucket(values: list[int], bounds: list[int]) -> Column:
@@ -78,9 +90,9 @@ def _by_bucket(values: list[int], bounds: list[int]) -> Column:
     return out
 
 
-def shard_of(doc_id: Column, shards: int) -> Column:
-    h = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
-    return h % shards
+def shard_of(doc_id: Column, n: Column, shards: int) -> Column:
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), n.cast("string"))
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % shards
 
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS, carry: bool = True) -> DataFrame:
@@ -92,12 +104,11 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, shard_ro
     measured = docs.select(F.struct("*").alias("row"), "doc_id", n_tokens(F.col("text")).alias("n_tokens")) if carry else docs.select("doc_id", n_tokens(F.col("text")).alias("n_tokens"))
     lengths = stored(measured.select("doc_id", "n_tokens"), "packing-lengths")
     bins = histogram(lengths)
-    bounds, _ = best_boundaries(bins, buckets)
-    bounds = bounds or [1]
-    shards = max(1, -(-sum(b[1] for b in bins) // shard_rows))
+    bounds = best_boundaries(*bins, buckets)[0] or [1]
+    shards = max(1, -(-int(bins[1].sum()) // shard_rows))
 
     def placed(df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", _by_bucket(list(range(len(bounds))), bounds)).withColumn("shard", shard_of(F.col("doc_id"), shards))
+        return df.withColumn("bucket", _by_bucket(list(range(len(bounds))), bounds)).withColumn("shard", shard_of(F.col("doc_id"), F.col("n_tokens"), shards))
 
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed(lengths).groupBy("bucket", "shard").agg(F.count("*").alias("n")).select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -117,10 +128,8 @@ def packing_sql(buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int =
         r"""
 WITH lengths AS MATERIALIZED (
   SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) + 1 AS n_tokens FROM documents),
-binned AS (
-  SELECT CASE WHEN n_tokens < 1024 THEN n_tokens ELSE CAST(ceil(n_tokens / (1 << (length(bin(n_tokens)) - 10))) * (1 << (length(bin(n_tokens)) - 10)) AS BIGINT) END AS bin, n_tokens FROM lengths),
 bins AS MATERIALIZED (
-  SELECT row_number() OVER (ORDER BY bin) AS j, max(n_tokens) AS longest, count(*) AS docs, sum(n_tokens) AS tokens FROM binned GROUP BY bin),
+  SELECT row_number() OVER (ORDER BY n_tokens) AS j, n_tokens AS longest, count(*) AS docs, sum(n_tokens) AS tokens FROM lengths GROUP BY n_tokens),
 sums AS MATERIALIZED (
   SELECT j, longest, CAST(sum(docs) OVER (ORDER BY j) AS BIGINT) AS d, CAST(sum(tokens) OVER (ORDER BY j) AS BIGINT) AS t FROM bins),
 f1 AS MATERIALIZED (SELECT j, longest * d - t AS cost, CAST(0 AS BIGINT) AS i FROM sums)"""
@@ -138,7 +147,7 @@ f1 AS MATERIALIZED (SELECT j, longest * d - t AS cost, CAST(0 AS BIGINT) AS i FR
 total AS (SELECT greatest(1, CAST(ceil(count(*) / {shard_rows}) AS BIGINT)) AS shards FROM lengths),
 placed AS (
   SELECT doc_id, n_tokens, (SELECT min(bucket) FROM bounds WHERE n_tokens <= bound) AS bucket,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % shards AS shard FROM lengths, total),
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || n_tokens), 1, 8) AS BIGINT) % shards AS shard FROM lengths, total),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY shard, n_tokens, doc_id) - 1 AS place FROM placed)
 SELECT doc_id, n_tokens, CAST(bucket AS INTEGER) AS bucket, bound AS padded_tokens, CAST(place // size AS BIGINT) AS batch, CAST(place % size AS INTEGER) AS slot
 FROM ranked JOIN bounds USING (bucket)""")
