@@ -9,8 +9,10 @@ that are cut at a window's edge are joined, and of spans that overlap the set wi
 highest total score stays.  A span that the model adds must pass its kind's exact check
 (digits, Luhn, parts at most 255) and touch no span of the rules.
 
-Every kind needs a digit, ``@``, ``[`` or ``(``; windows without any of them can't hold a
-span, so they aren't run.  That changes no result.
+Every kind needs a digit, ``@``, ``[`` or ``(``, and every accepted span lies in a stretch
+of text around such characters: the tokens that hold one, the token before and after, and
+tokens that follow with a dot between.  All windows that meet such a stretch are decoded, so
+an accepted span is seen whole; what other windows could decode wouldn't pass the check.
 
 Defined results: a null or empty text has no spans; positions are code points, ends are
 exclusive; repeated rows are judged alike; an empty table gives no rows; other columns
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,6 +45,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANCHOR = re.compile(r"[0-9@\[(]")
+_PLAIN = r"[^\s0-9@\[(]"
+#: A token with an anchor, the one before it, the one after it, and those that follow with a dot between, one space apart.
+_STRETCH = re.compile(rf"(?<!\S)(?:{_PLAIN}++ )?{_PLAIN}*+[0-9@\[(]\S*+(?: {_PLAIN}++(?!\S))?(?: (?:(?<=\. )|(?=\.)){_PLAIN}++(?!\S))*+")
 _NO_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -336,13 +342,10 @@ def default_model(seed: int = 7) -> Params:
 # ---- whole texts ------------------------------------------------------------------------------
 
 def _starts(text: str) -> list[int]:
-    """Where windows with a character that every kind needs begin."""
-    found = set()
-    for m in _ANCHOR.finditer(text):
-        k = m.start() // STRIDE
-        found.add(k)
-        if k:
-            found.add(k - 1)
+    """Where the windows begin that meet a stretch around a character that every kind needs."""
+    found: set[int] = set()
+    for m in _STRETCH.finditer(text):
+        found.update(range(max(0, m.start() // STRIDE - 1), (m.end() - 1) // STRIDE + 1))
     return [k * STRIDE for k in sorted(found)]
 
 
@@ -376,7 +379,7 @@ def reconcile(pieces: list[tuple[float, int, int, int, bool]]) -> list[tuple[int
     ends = [s[0][2] for s in spans]
     best: list[tuple[float, int, bool]] = [(0.0, -1, False)]
     for i, ((_, start, _), score) in enumerate(spans):
-        before = int(np.searchsorted(ends[:i], start, "right"))
+        before = bisect_right(ends, start, 0, i)
         taken = best[before][0] + max(score, 0.0)
         best.append((taken, before, True) if taken > best[i][0] else (best[i][0], i, False))
     out, i = [], len(spans)

@@ -9,8 +9,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, chat, linededup, lm, media, neardup, packing, pii, quality, urls, wordhash
+from tallyhouse.llm import bpe, chat, common, linededup, lm, media, neardup, packing, pii, quality, urls, wordhash
 from tests.llm.test_queries import near_by_brute_force, words
+from tests.oracle import FOLDER
 
 ODD = [(1, None), (2, ""), (3, "  \n\t"), (4, "one two"), (4, "one two"), (5, "x" * 200_000), (6, "word " * 30_000), (None, "no id at all here")]
 
@@ -66,6 +67,30 @@ def test_reconcile_keeps_the_best_set():
     assert pii.reconcile([(1.0, 0, 0, 10, False), (5.0, 1, 5, 15, False), (1.0, 0, 20, 30, True), (1.0, 0, 25, 40, True)]) == [(1, 5, 15), (0, 20, 40)]
 
 
+def test_windows_left_out_change_nothing(spark, monkeypatch):
+    """Against all windows, on the supplied documents and on texts full of spans and near misses."""
+    texts = [r["text"] for r in common.table(spark, FOLDER, "documents").select("text").collect()] + [t for t, _ in pii.make_labelled(150, 99)]
+    long_name, long_host = "q" * 70 + ".name", "h" * 90
+    hidden = [f"{long_name} [at] {long_host} [dot] com", f"{long_name} @ {long_host} . co . uk", f"see {long_name}@ {long_host}. com now", "4111 - 1111 - 1111 - 1111", "x" * 300 + "@" + "y" * 300 + ".z", "1. 2. 3. " * 400, "words only " * 50]
+    texts += [" ".join(["and"] * shift) + " " + h for h in hidden for shift in (0, 3, 7, 11)]
+    model = pii.default_model()
+    found = pii.find_spans(texts, model)
+    monkeypatch.setattr(pii, "_starts", lambda t: list(range(0, max(1, len(t) - pii.STRIDE), pii.STRIDE)))
+    assert found == pii.find_spans(texts, model) and sum(len(x) - len(b) for b, x in found) > 100
+
+
+def test_reconcile_equals_all_subsets():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        pieces = [(float(rng.integers(1, 9)), int(rng.integers(0, 2)), int(s), int(s + rng.integers(1, 12)), False) for s in rng.integers(0, 30, 7)]
+        spans = {(k, s, e): c for c, k, s, e, _ in sorted(pieces, key=lambda x: (x[1], x[2], x[3]))}
+        sets = [[x for i, x in enumerate(spans) if bits >> i & 1] for bits in range(1 << len(spans))]
+        best = max(sum(spans[x] for x in own) for own in sets if all(a == b or a[2] <= b[1] or b[2] <= a[1] for a in own for b in own))
+        assert sum(spans[x] for x in pii.reconcile(pieces)) == best
+    many = [(1.0, 0, 10 * i, 10 * i + 12, False) for i in range(60_000)]
+    assert len(pii.reconcile(many)) == 30_000
+
+
 def test_pii_edge_rows_and_redaction(docs):
     df = docs([*[(i, t, i) for i, t in ODD], (7, "mail a@b.co or +1 (743) 555-3824", 7)], ", n_email int")
     found = pii.detect(df).collect()
@@ -79,14 +104,31 @@ def test_pii_edge_rows_and_redaction(docs):
 
 
 def test_boundaries_equal_brute_force():
+    """Lengths on both sides of 1,024, ties, and fewer lengths than buckets."""
     from itertools import combinations
 
     rng = np.random.default_rng(2)
-    lengths = sorted(rng.integers(1, 40, 9).tolist())
-    bins = [(n, lengths.count(n), n * lengths.count(n)) for n in sorted(set(lengths))]
-    for k in (1, 2, 3):
-        best = min(sum(min(b for b in (*c, bins[-1][0]) if b >= n) - n for n in lengths) for c in combinations([b[0] for b in bins[:-1]], min(k, len(bins)) - 1))
-        assert packing.best_boundaries(bins, k)[1] == best
+    for most in (12, 40, 5000, 3_000_000):
+        own = rng.integers(1, most, 11)
+        lengths, docs = np.unique(own, return_counts=True)
+        for k in (1, 2, 3, 4, 20):
+            best = min(
+                (sum(min(b for b in (*c, int(lengths[-1])) if b >= n) - n for n in own.tolist()), c)
+                for c in combinations(lengths[:-1].tolist(), min(k, len(lengths)) - 1)
+            )
+            bounds, padding = packing.best_boundaries(lengths, docs, k)
+            assert padding == best[0] and sum(min(b for b in bounds if b >= n) - n for n in own.tolist()) == padding
+
+
+def test_boundaries_of_many_lengths_equal_the_plain_programme():
+    rng = np.random.default_rng(3)
+    lengths = np.unique((rng.pareto(0.8, 1200) * 20).astype(int) + 1)
+    docs = rng.integers(1, 50, len(lengths))
+    d, t = np.cumsum(docs), np.cumsum(docs * lengths)
+    best = lengths * d - t
+    for k in range(1, 6):
+        best = np.array([min(best[i] + lengths[j] * (d[j] - d[i]) - (t[j] - t[i]) for i in range(k - 1, j)) if j >= k else 0 for j in range(len(lengths))])
+        assert packing.best_boundaries(lengths, docs, k + 1)[1] == best[-1]
 
 
 def test_packing_fills_batches(docs):
@@ -101,6 +143,10 @@ def test_packing_fills_batches(docs):
         assert len(own) <= most and sorted(r["slot"] for r in own) == list(range(len(own)))
         assert len(own) == most or (bucket, batch + 1) not in batches
     assert packing.pack(docs([])).count() == 0
+    wide = packing.pack(docs([(1, "a b", 5, 6), (None, None, 5, 6)], ", batch int, row int"))
+    assert wide.columns == ["doc_id", "text", "row", "n_tokens", "bucket", "padded_tokens", "batch", "slot"] and {r["row"] for r in wide.collect()} == {6}
+    spread = docs([(None, "w " * i) for i in range(60)]).select(packing.shard_of(F.col("doc_id"), packing.n_tokens(F.col("text")), 8).alias("s")).distinct()
+    assert spread.count() > 4  # rows without an id don't share one shard
 
 
 # ---- urls -------------------------------------------------------------------------------------
@@ -115,6 +161,37 @@ def test_url_rules_and_bloom(spark):
         assert found == [(1, "www.example.com", "/en/x", "www.example.com/en/", "allow"), (2, "a.net", "/es/1", "net/es/", "block"), (4, "", "", None, "allow"), (5, "spam.org", "/p/", None, "block"), (5, "spam.org", "/p/", None, "block"), (6, "h", "", None, "allow")]
     assert urls.filter_urls(pages.limit(0), listed, rules).count() == 0
     assert urls.filter_urls(pages, listed.limit(0), rules).where("listed").count() == 0
+    wide = pages.selectExpr("*", "'x' host", "1 block", "true listed", "'q' verdict", "null canonical")
+    assert sorted(map(str, urls.filter_urls(wide, listed, rules).collect())) == sorted(map(str, urls.filter_urls(pages, listed, rules).collect()))
+
+
+def test_listed_urls_come_from_thin_pages_and_catch_other_spellings(spark):
+    html = "<html><nav>a b c d e f</nav><article><p>{}</p></article></html>"
+    short, long_ = html.format("only <b>three</b> words"), html.format("word " * 50)
+    rows = [(1, "http://www.a.org/x/1.html", short), (2, "https://m.a.org/x/1/?utm_source=q#top", long_), (3, "https://a.org/x/2", long_), (4, "https://b.org/x/1", long_), (5, "https://b.org/y", "<p>no article</p>"), (6, None, short), (7, "https://b.org/z", None), (8, "https://A.org:443/x/1?page=2", long_)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    listed = urls.thin_urls(pages, 40)
+    assert [r["canonical"] for r in listed.collect()] == ["a.org/x/1"]
+    for most in (1 << 20, 0):
+        found = urls.filter_urls(pages, listed, [], max_broadcast_bytes=most)
+        assert {r["page_id"] for r in found.where("listed and verdict = 'block'").collect()} == {1, 2} and found.count() == len(rows)
+    assert urls.filter_urls(pages, urls.thin_urls(pages, 1), []).where("listed").count() == 0
+
+
+def test_exact_join_removes_what_the_filter_lets_through(spark):
+    """With three bits a key the filter alone would block pages that aren't listed; the rows are those of a plain lookup."""
+    pages = spark.createDataFrame([(i, f"https://h{i % 7}.org/{'p' * (i % 3)}/{i}") for i in range(3000)], "page_id int, url string")
+    listed = urls.parsed(pages).where("page_id % 3 = 0").select("canonical")
+    n_keys, bits = 1000, 3
+    blocks = max(1, -(-n_keys * bits // (64 * urls.WORDS)))
+    bloom = {r["block"]: r for r in urls.bloom_filter(listed, blocks).collect()}
+    keyed = urls.parsed(pages).select("page_id", urls._block(F.col("canonical"), blocks).alias("block"), F.array(*urls._masks(F.col("canonical"))).alias("masks")).collect()
+    passed = {r["page_id"] for r in keyed if all(bloom[r["block"]][f"w{i}"] & m for i, m in enumerate(r["masks"]))}
+    expected = set(range(0, 3000, 3))
+    assert expected < passed and len(passed) < 3000
+    for most in (1 << 20, 0):
+        found = urls.filter_urls(pages, listed, [], bits_per_key=bits, max_broadcast_bytes=most)
+        assert {r["page_id"] for r in found.where("listed").collect()} == expected
 
 
 # ---- media ------------------------------------------------------------------------------------
