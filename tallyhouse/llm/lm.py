@@ -8,13 +8,14 @@ held out from all learning.
 
 Every token and every bigram of the corpus is counted, and every token is scored with
 the true counts of its word n(w), its context n(v) and their pair n(v, w).  Documents
-are dealt into blocks of about ``BLOCK`` bytes, each within one fold.  A block passes on
-the counts of its different words and pairs; these meet by a shuffle on the word or
-pair, and each block gets the totals of its own words and pairs back.  A pair that no
-other block has needs no way back: its total is the block's own count.  So no table
-grows with the corpus in a task or the driver, and a frequent pair has one row a block.
-64-bit hashes stand for words and pairs.  Every token is the context of one other (the
-end of a text that of its first word), so n(v) is the word's own count.
+are cut into chunks of about ``CHUNK`` bytes where they are read, those of fold 1 apart
+from the others; a chunk is stored as token numbers and a table of its word hashes.  Its
+different words and pairs are 64-bit keys in order.  Ranges of keys go to one task each
+by a shuffle, with the chunk's counts; the totals come back as counts alone, in the order
+in which the chunk had asked, and a chunk's tokens are scored with them.  So no table
+grows with the corpus in a task or the driver, and a frequent pair is one entry a chunk.
+Every token is the context of one other (the end of a text that of its first word), so
+n(v) is the word's own count.
 
 Defined results: a null text is its end alone; a null doc_id falls into the fold of
 the empty string; every row is scored by itself, so repeated rows get equal scores
@@ -24,12 +25,15 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyhouse.llm import wordhash
 from tallyhouse.llm.common import stored
@@ -37,29 +41,18 @@ from tallyhouse.llm.common import stored
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
 END = np.uint64(0x0123456789ABCDEF)
 _PAIR, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
-#: Bytes of text that are counted and scored together.
-BLOCK = 8 << 20
+#: Bytes of text that are counted and scored together, and tokens whose keys make up a range.
+CHUNK, TOKENS = 16 << 20, 4_000_000
 #: Contexts are told apart by the doubling their count lies in; 0 for those never seen.
 BUCKETS = 64
-#: Steps of the quantised log2 ratios that the weights are learned from, and the mark of a zero probability.
-STEPS, NONE = 4, -1_000_000
+#: Steps to a doubling of the ratios that the weights are learned from, and the mark of a zero probability.
+STEPS, NONE = 8, -1_000_000
 
 
 def fold_of(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token hashes, the token before each, the text of each); every text has its end as last token and as first context."""
-    hashes, counts = wordhash.words(texts)
-    ends = np.cumsum(counts + 1) - 1
-    out = np.empty(len(hashes) + len(counts), np.uint64)
-    is_end = np.zeros(len(out), bool)
-    is_end[ends] = True
-    out[is_end], out[~is_end] = END, hashes
-    return out, np.concatenate([[END], out[:-1]]).astype(np.uint64), np.repeat(np.arange(len(counts)), counts + 1)
-
-
 def _find(ordered: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Positions of ``wanted`` in ``ordered``, -1 where it is missing."""
     if not len(ordered):
@@ -68,19 +61,20 @@ def _find(ordered: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(ordered[at] == wanted, at, -1)
 
 
-def _keys(now: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Keys of all words (odd), then of all pairs (even)."""
-    return np.concatenate([now | _ONE, wordhash.mix(before * _PAIR + now) & ~_ONE])
+def _buckets(n: np.ndarray) -> np.ndarray:
+    """0 for contexts never seen, then one for each doubling."""
+    return np.where(n > 0, 1 + np.floor(np.log2(np.maximum(n, 1))), 0).astype(np.int64)
 
 
-def _texts(block: pa.Table) -> pa.Array:
-    texts = block.column("text").cast(pa.large_string()).combine_chunks()
-    return pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+def _packed(x: np.ndarray) -> bytes:
+    """Non-negative integers in the narrowest type that holds them, after its letter."""
+    kind = np.min_scalar_type(int(x.max())) if len(x) else np.dtype(np.uint8)
+    return kind.char.encode() + x.astype(kind).tobytes()
 
 
-def _buckets(n: np.ndarray) -> np.ndarray:
-    """0 for contexts never seen, then one for each doubling."""
-    return np.where(n > 0, 1 + np.floor(np.log2(np.maximum(n, 1))), 0).astype(np.int64)
+def _unpacked(data: bytes) -> np.ndarray:
+    x = np.frombuffer(data, data[:1].decode(), offset=1)
+    return x if x.dtype == np.uint64 else x.astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -95,57 +89,144 @@ class Totals:
 
 @dataclass(frozen=True)
 class Counts:
-    """Blocks of documents (block, doc_id, text), what they got back (block, key, n, gone) and the totals; ``per`` blocks a fold."""
+    """Chunks of documents, what each got back (chunk, part, n, gone) and the totals."""
 
-    blocks: DataFrame
+    chunks: DataFrame
     known: DataFrame
-    per: int
     totals: Totals
 
 
-def seen(block: pa.Table, known: pa.Table, per: int, deleted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, count, count of the context, count of the pair) of each token of a block; ``deleted``: without the counts of deleted documents."""
-    now, before, text = tokens(_texts(block))
-    own, place, times = np.unique(_keys(now, before), return_inverse=True, return_counts=True)
-    fold = block.column("block")[0].as_py() // per
-    n = times if fold != HELD_OUT and not (deleted and fold == DELETED) else np.zeros(len(own), np.int64)
-    at = _find(own, np.asarray(known.column("key")).view(np.uint64))
-    total = np.asarray(known.column("n"))
-    n[at] = total - np.asarray(known.column("gone")) if deleted else total
-    word, pair = n[place[: len(now)]], n[place[len(now) :]]
-    end = n[_find(own, np.array([END | _ONE]))[0]]
-    return text, word, np.where(before == END, end, np.concatenate([[end], word[:-1]])), pair
+@dataclass(frozen=True)
+class Chunk:
+    """Tokens of some documents by number in ``words`` (ordered hashes; odd), and the different pairs (keys; even) of them."""
+
+    size: np.ndarray
+    now: np.ndarray
+    before: np.ndarray
+    words: np.ndarray
+    keys: np.ndarray
+    word_key: np.ndarray
+    pair_key: np.ndarray
+
+    @staticmethod
+    def of(size: np.ndarray, now: np.ndarray, words: np.ndarray) -> Chunk:
+        """``size``: tokens of each document; ``now``: numbers of all tokens in order."""
+        end = int(_find(words, np.array([END | _ONE]))[0])
+        before = np.concatenate([[end], now[:-1]])
+        pairs, pair = np.unique(before.astype(np.int64) * len(words) + now, return_inverse=True)
+        mixed = wordhash.mix(words[pairs // len(words)] * _PAIR + words[pairs % len(words)]) & ~_ONE
+        keys, place = np.unique(np.concatenate([words, mixed]), return_inverse=True)
+        return Chunk(size, now, before, words, keys, place[: len(words)], place[len(words) :][pair])
+
+    def times(self, weight: np.ndarray) -> np.ndarray:
+        """How often each key occurs; ``weight``: 0 or 1 for each document."""
+        own = np.repeat(weight, self.size)
+        return sum(np.bincount(at, own, len(self.keys)) for at in (self.word_key[self.now], self.pair_key)).astype(np.int64)
+
+
+def _cut(docs: DataFrame) -> DataFrame:
+    """Chunks (chunk, deleted, docs, size, fold, now, words, tokens) of doc_id, fold, text: each is read from one partition."""
+
+    def packed(parts: list[pa.RecordBatch], deleted: bool) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts)
+        texts = rows.column("text").cast(pa.large_string()).combine_chunks()
+        hashes, counts = wordhash.words(pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts)
+        size = counts + 1
+        is_end = np.zeros(int(size.sum()), bool)
+        is_end[np.cumsum(size) - 1] = True
+        tokens = np.empty(len(is_end), np.uint64)
+        tokens[is_end], tokens[~is_end] = END | _ONE, hashes | _ONE
+        words, now = np.unique(tokens, return_inverse=True)
+        ids = pa.array([rows.column("doc_id").to_pylist()], pa.list_(rows.schema.field("doc_id").type))
+        held = [pa.array([_packed(x)], pa.binary()) for x in (size, rows.column("fold").to_numpy(), now, words)]
+        return pa.record_batch([pa.array([uuid.uuid4().hex]), pa.array([deleted]), ids, *held, pa.array([len(now)], pa.int64())], ["chunk", "deleted", "docs", "size", "fold", "now", "words", "tokens"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[bool, list[pa.RecordBatch]] = {True: [], False: []}
+        bytes_held = {True: 0, False: 0}
+        for batch in batches:
+            for part in (batch.slice(i, 32) for i in range(0, batch.num_rows, 32)):
+                gone = np.asarray(part.column(1)) == DELETED
+                for deleted in {bool(x) for x in gone}:
+                    waiting[deleted].append(part.filter(pa.array(gone == deleted)))
+                    bytes_held[deleted] += waiting[deleted][-1].get_total_buffer_size()
+                    if bytes_held[deleted] >= CHUNK:
+                        yield packed(waiting[deleted], deleted)
+                        waiting[deleted], bytes_held[deleted] = [], 0
+        for deleted, held in waiting.items():
+            if held:
+                yield packed(held, deleted)
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "fold", "text").mapInArrow(run, f"chunk string, deleted boolean, docs array<{kind}>, size binary, fold binary, now binary, words binary, tokens long")
+
+
+def _read(row: dict) -> Chunk:
+    return Chunk.of(_unpacked(row["size"]), _unpacked(row["now"]), _unpacked(row["words"]).astype(np.uint64))
+
+
+_BACK = {"chunk": pa.string(), "part": pa.int64(), "deleted": pa.bool_(), "n": pa.binary(), "gone": pa.binary(), "total": pa.int64(), "kinds": pa.int64(), "total_left": pa.int64(), "kinds_left": pa.int64()}
+
+
+def _totals_of(asked: pa.Table) -> pa.Table:
+    """What the chunks that ask for one range of keys get back; the range's share of the totals is in the first row."""
+    rows = asked.to_pylist()
+    keys = [_unpacked(r["keys"]).astype(np.uint64) for r in rows]
+    every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    places = np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+    n, gone = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+    for row, at in zip(rows, places, strict=True):  # a chunk has each key once
+        times = _unpacked(row["times"])
+        n[at] += times
+        if row["deleted"]:
+            gone[at] += times
+    word = (every & _ONE) == _ONE
+    shares = [int(n[word].sum()), int((word & (n > 0)).sum()), int((n - gone)[word].sum()), int((word & (n > gone)).sum())]
+    back = [(r["chunk"], r["part"], r["deleted"], _packed(n[at]), _packed(gone[at]) if r["deleted"] else None, *(shares if r is rows[0] else [0] * 4)) for r, at in zip(rows, places, strict=True)]
+    return pa.table([pa.array(x, kind) for x, kind in zip(zip(*back, strict=True), _BACK.values(), strict=True)], list(_BACK))
 
 
 def count(docs: DataFrame) -> Counts:
-    """Deals documents (doc_id, text) into blocks and tells each block the training counts of its words and pairs."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    per = max(1, -(-size // (FOLDS * BLOCK)))
-    number = fold_of(F.col("doc_id")) * per + F.pmod(F.xxhash64("doc_id", "text"), F.lit(per)).cast("int")
-    blocks = docs.select(number.alias("block"), "doc_id", "text")
-
-    def counted(block: pa.Table) -> pa.Table:
-        now, before, _ = tokens(_texts(block))
-        keys, n = np.unique(_keys(now, before), return_counts=True)
-        return pa.table({"key": keys.view(np.int64), "block": np.full(len(keys), block.column("block")[0].as_py(), np.int32), "n": n})
-
-    asked = blocks.select("block", "text").groupBy("block").applyInArrow(counted, "key long, block int, n long")
-    same, fold = Window.partitionBy("key"), _fold(per)
-    told = asked.select(
-        "block", "key",
-        F.sum(F.when(fold != HELD_OUT, F.col("n")).otherwise(0)).over(same).alias("n"),
-        F.sum(F.when(fold == DELETED, F.col("n")).otherwise(0)).over(same).alias("gone"),
-        F.min("block").over(same).alias("first"), F.count("*").over(same).alias("rows"),
-    )
-    is_word = F.col("key").bitwiseAND(F.lit(1)) == 1
-    known = stored(told.where((F.col("rows") > 1) | is_word).select("block", "key", "n", "gone", (F.col("block") == F.col("first")).alias("first")), "lm-counts")
-    n, gone = F.col("n"), F.col("gone")
-    total, distinct, gone, left = known.where(is_word & F.col("first")).agg(F.coalesce(F.sum(n), F.lit(0)), F.count_if(n > 0), F.coalesce(F.sum(gone), F.lit(0)), F.count_if(n > gone)).first()
-    return Counts(blocks, known.select("block", "key", "n", "gone"), per, Totals(total, distinct, total - gone, left))
-
-
-def _fold(per: int) -> Column:
-    return F.floor(F.col("block") / F.lit(per))
+    """Cuts documents (doc_id, text) into chunks and tells each chunk the training counts of its words and pairs."""
+    chunks = stored(_cut(docs.select("doc_id", fold_of(F.col("doc_id")).alias("fold"), "text")), "lm-chunks")
+    parts = max(1, -(-(chunks.agg(F.sum("tokens")).first()[0] or 0) // TOKENS))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+                chunk = _read(row)
+                times = chunk.times(_unpacked(row["fold"]) != HELD_OUT)
+                own, first = np.unique(_part_of(chunk.keys, parts), return_index=True)
+                pieces = [pa.array([_packed(x) for x in np.split(column, first[1:])], pa.binary()) for column in (chunk.keys, times)]
+                one = [pa.array([row[c]] * len(own)) for c in ("chunk", "deleted")]
+                yield pa.record_batch([pa.array(own), *one, *pieces], ["part", "chunk", "deleted", "keys", "times"])
+
+    asked = chunks.select("chunk", "deleted", "size", "fold", "now", "words").mapInArrow(ask, "part long, chunk string, deleted boolean, keys binary, times binary")
+    known = stored(asked.groupBy("part").applyInArrow(_totals_of, "chunk string, part long, deleted boolean, n binary, gone binary, total long, kinds long, total_left long, kinds_left long"), "lm-counts")
+    totals = known.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "kinds", "total_left", "kinds_left")]).first()
+    return Counts(chunks, known, Totals(*totals))
+
+
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The range that each key lies in: ``parts`` equal ranges of all 64-bit numbers, in order."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _with_counts(counts: Counts, deleted: bool, run: Callable[[dict, Chunk, tuple[np.ndarray, np.ndarray, np.ndarray]], pa.Table], schema: str) -> DataFrame:
+    """``run(row, chunk, (n(w), n(v), n(v, w) of each token))`` of all chunks; ``deleted``: of the deleted documents, without their counts."""
+
+    def one(chunk: pa.Table, known: pa.Table) -> pa.Table:
+        row = chunk.to_pylist()[0]
+        own = _read(row)
+        parts = sorted(zip(*(known.column(c).to_pylist() for c in ("part", "n", "gone")), strict=True))
+        n = np.concatenate([_unpacked(x) - (_unpacked(gone) if deleted else 0) for _, x, gone in parts])
+        word = n[own.word_key]
+        return run(row, own, (word[own.now], word[own.before], n[own.pair_key]))
+
+    chunks, known = counts.chunks.select("chunk", "deleted", "docs", "size", "now", "words"), counts.known.select("chunk", "part", "deleted", "n", "gone")
+    if deleted:
+        chunks, known = chunks.where("deleted"), known.where("deleted")
+    return chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(one, schema)
 
 
 def _steps(p: np.ndarray, base: float) -> np.ndarray:
@@ -154,17 +235,19 @@ def _steps(p: np.ndarray, base: float) -> np.ndarray:
 
 
 def deleted_counts(counts: Counts) -> np.ndarray:
-    """Rows (bucket, bigram step, unigram step, tokens) over all tokens of the deleted documents."""
-    per, total, base = counts.per, counts.totals.total_left, 1 / (counts.totals.distinct_left + 1)
+    """Rows (bucket, bigram step, unigram step, tokens) over all tokens of the deleted documents.
 
-    def run(block: pa.Table, known: pa.Table) -> pa.Table:
-        _, n, context, pair = seen(block, known, per, True)
+    Their number is bounded by the steps between the smallest and the largest count, not by the corpus.
+    """
+    total, base = counts.totals.total_left, 1 / (counts.totals.distinct_left + 1)
+
+    def run(row: dict, chunk: Chunk, seen: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Table:
+        n, context, pair = seen
         steps = np.stack([_buckets(context), _steps(pair / np.maximum(context, 1), base), _steps(n / max(total, 1), base)], 1)
         rows, times = np.unique(steps, axis=0, return_counts=True)
         return pa.table([*(pa.array(rows[:, i]) for i in range(3)), pa.array(times)], ["bucket", "two", "one", "n"])
 
-    blocks, known = (d.where(_fold(per) == DELETED).groupBy("block") for d in (counts.blocks.select("block", "text"), counts.known))
-    found = blocks.cogroup(known).applyInArrow(run, "bucket long, two long, one long, n long")
+    found = _with_counts(counts, True, run, "bucket long, two long, one long, n long")
     rows = found.groupBy("bucket", "two", "one").agg(F.sum("n").alias("times")).collect()
     return np.array([tuple(r) for r in rows], np.int64).reshape(-1, 4)
 
@@ -203,17 +286,16 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of ``docs``."""
     counts = count(docs.select("doc_id", "text"))
     weights = learn_weights(deleted_counts(counts))
-    per, total, distinct = counts.per, counts.totals.total, counts.totals.distinct
+    total, distinct = counts.totals.total, counts.totals.distinct
     norm = total + 0.1 * (distinct + 1)
 
-    def run(block: pa.Table, known: pa.Table) -> pa.Table:
-        text, n, context, pair = seen(block, known, per, False)
-        w = weights[_buckets(context)]
+    def run(row: dict, chunk: Chunk, seen: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Table:
+        n, context, pair = seen
+        text, w = np.repeat(np.arange(len(chunk.size)), chunk.size), weights[_buckets(context)]
         model = np.log10(np.maximum(w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * n / max(total, 1) + w[:, 2] / (distinct + 1), 1e-300))
-        sums = [np.bincount(text, x, minlength=block.num_rows) for x in (np.ones(len(n)), n > 0, np.log10((n + 0.1) / norm), model)]
-        columns = [pa.array(x.astype(np.int64)) for x in sums[:2]] + [pa.array(x) for x in sums[2:]]
-        return pa.table([block.column("doc_id"), *columns], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        known, base, own = (np.bincount(text, x, len(chunk.size)) for x in (n > 0, np.log10((n + 0.1) / norm), model))
+        return pa.table([pa.array(row["docs"], id_type), *(pa.array(x.astype(np.int64)) for x in (chunk.size, known)), pa.array(base), pa.array(own)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    found = counts.blocks.groupBy("block").cogroup(counts.known.groupBy("block")).applyInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    kind, id_type = dict(docs.dtypes)["doc_id"], to_arrow_type(docs.schema["doc_id"].dataType)
+    found = _with_counts(counts, False, run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return found.select("doc_id", (fold_of(F.col("doc_id")) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -253,7 +253,8 @@ def test_every_bigram_counts(docs, monkeypatch):
         return int(np.round(lm.STEPS * np.log2(p / base))) if p else lm.NONE
 
     weights, seen = np.tile([0.6, 0.3, 0.1], (lm.BUCKETS, 1)), []
-    monkeypatch.setattr(lm, "BLOCK", 20_000, raising=False)
+    monkeypatch.setattr(lm, "CHUNK", 20_000)
+    monkeypatch.setattr(lm, "TOKENS", 9_000)
     monkeypatch.setattr(lm, "learn_weights", lambda found: seen.append(found) or weights)
     scores = {r["doc_id"]: r["score"] for r in lm.score(docs(rows)).collect()}
     one, two = model(set(range(1, 10)))
@@ -261,7 +262,7 @@ def test_every_bigram_counts(docs, monkeypatch):
     total = sum(one.values())
     for i, t in texts.items():
         expected = sum(math.log10(0.6 * two[v, w] / max(one[v], 1) + 0.3 * one[w] / total + 0.1 / (len(one) + 1)) for v, w in zip(t, t[1:], strict=False))
-        assert abs(scores[i] - expected) < 1e-6 * abs(expected)
+        assert scores[i] == pytest.approx(expected, rel=1e-9)
     one, two = model(set(range(2, 10)))
     total, base = sum(one.values()), 1 / (len(one) + 1)
     expected = Counter()
