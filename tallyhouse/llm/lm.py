@@ -42,7 +42,7 @@ FOLDS, HELD_OUT, DELETED = 10, 0, 1
 END = np.uint64(0x0123456789ABCDEF)
 _PAIR, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
 #: Bytes of text that are counted and scored together, and tokens whose keys make up a range.
-CHUNK, TOKENS = 16 << 20, 4_000_000
+CHUNK, TOKENS = 8 << 20, 4_000_000
 #: Contexts are told apart by the doubling their count lies in; 0 for those never seen.
 BUCKETS = 64
 #: Steps to a doubling of the ratios that the weights are learned from, and the mark of a zero probability.
@@ -53,28 +53,37 @@ def fold_of(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
 
 
-def _find(ordered: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Positions of ``wanted`` in ``ordered``, -1 where it is missing."""
-    if not len(ordered):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(ordered, wanted), len(ordered) - 1)
-    return np.where(ordered[at] == wanted, at, -1)
-
-
 def _buckets(n: np.ndarray) -> np.ndarray:
     """0 for contexts never seen, then one for each doubling."""
     return np.where(n > 0, 1 + np.floor(np.log2(np.maximum(n, 1))), 0).astype(np.int64)
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Non-negative integers in the narrowest type that holds them, after its letter."""
-    kind = np.min_scalar_type(int(x.max())) if len(x) else np.dtype(np.uint8)
-    return kind.char.encode() + x.astype(kind).tobytes()
+def _packed(x: np.ndarray, kind: type = np.uint8) -> bytes:
+    """Non-negative integers as ``kind``; those that don't fit follow in full."""
+    most = np.iinfo(kind).max
+    large = x[x >= most].astype(np.int64)
+    return len(large).to_bytes(8, "little") + large.tobytes() + np.minimum(x, most).astype(kind).tobytes()
+
+
+def _unpacked(data: bytes, kind: type = np.uint8) -> np.ndarray:
+    many = int.from_bytes(data[:8], "little")
+    x = np.frombuffer(data, kind, offset=8 * (many + 1)).astype(np.int64)
+    x[x == np.iinfo(kind).max] = np.frombuffer(data, np.int64, many, 8)
+    return x
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Ordered keys: the first in full, then the distances in as many bytes as the largest takes."""
+    far = np.diff(keys)
+    wide = max(1, -(-int(far.max()).bit_length() // 8)) if len(far) else 1
+    return bytes((wide,)) + keys[:1].tobytes() + far.view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    x = np.frombuffer(data, data[:1].decode(), offset=1)
-    return x if x.dtype == np.uint64 else x.astype(np.int64)
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    narrow = np.frombuffer(data, np.uint8, offset=9).reshape(-1, data[0])
+    far = np.zeros((len(narrow) + 1, 8), np.uint8)
+    far[0], far[1:, : data[0]] = np.frombuffer(data, np.uint8, 8, 1), narrow
+    return np.cumsum(far.view(np.uint64)[:, 0], dtype=np.uint64)
 
 
 @dataclass(frozen=True)
@@ -98,7 +107,7 @@ class Counts:
 
 @dataclass(frozen=True)
 class Chunk:
-    """Tokens of some documents by number in ``words`` (ordered hashes; odd), and the different pairs (keys; even) of them."""
+    """Tokens of some documents by number in ``words`` (hashes; odd; the end is number 0), and the different pairs (keys; even) of them."""
 
     size: np.ndarray
     now: np.ndarray
@@ -111,8 +120,7 @@ class Chunk:
     @staticmethod
     def of(size: np.ndarray, now: np.ndarray, words: np.ndarray) -> Chunk:
         """``size``: tokens of each document; ``now``: numbers of all tokens in order."""
-        end = int(_find(words, np.array([END | _ONE]))[0])
-        before = np.concatenate([[end], now[:-1]])
+        before = np.concatenate([[0], now[:-1]])
         pairs, pair = np.unique(before.astype(np.int64) * len(words) + now, return_inverse=True)
         mixed = wordhash.mix(words[pairs // len(words)] * _PAIR + words[pairs % len(words)]) & ~_ONE
         keys, place = np.unique(np.concatenate([words, mixed]), return_inverse=True)
@@ -134,11 +142,15 @@ def _cut(docs: DataFrame) -> DataFrame:
         size = counts + 1
         is_end = np.zeros(int(size.sum()), bool)
         is_end[np.cumsum(size) - 1] = True
-        tokens = np.empty(len(is_end), np.uint64)
-        tokens[is_end], tokens[~is_end] = END | _ONE, hashes | _ONE
-        words, now = np.unique(tokens, return_inverse=True)
+        words, number, times = np.unique(hashes | _ONE, return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(1, len(words) + 1)
+        now = np.zeros(len(is_end), np.int64)
+        now[~is_end] = rank[number]
         ids = pa.array([rows.column("doc_id").to_pylist()], pa.list_(rows.schema.field("doc_id").type))
-        held = [pa.array([_packed(x)], pa.binary()) for x in (size, rows.column("fold").to_numpy(), now, words)]
+        told = [_packed(size, np.uint16), _packed(rows.column("fold").to_numpy()), _packed(now, np.uint16), np.concatenate([[END | _ONE], words[order]]).tobytes()]
+        held = [pa.array([x], pa.binary()) for x in told]
         return pa.record_batch([pa.array([uuid.uuid4().hex]), pa.array([deleted]), ids, *held, pa.array([len(now)], pa.int64())], ["chunk", "deleted", "docs", "size", "fold", "now", "words", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +174,7 @@ def _cut(docs: DataFrame) -> DataFrame:
 
 
 def _read(row: dict) -> Chunk:
-    return Chunk.of(_unpacked(row["size"]), _unpacked(row["now"]), _unpacked(row["words"]).astype(np.uint64))
+    return Chunk.of(_unpacked(row["size"], np.uint16), _unpacked(row["now"], np.uint16), np.frombuffer(row["words"], np.uint64))
 
 
 _BACK = {"chunk": pa.string(), "part": pa.int64(), "deleted": pa.bool_(), "n": pa.binary(), "gone": pa.binary(), "total": pa.int64(), "kinds": pa.int64(), "total_left": pa.int64(), "kinds_left": pa.int64()}
@@ -171,7 +183,7 @@ _BACK = {"chunk": pa.string(), "part": pa.int64(), "deleted": pa.bool_(), "n": p
 def _totals_of(asked: pa.Table) -> pa.Table:
     """What the chunks that ask for one range of keys get back; the range's share of the totals is in the first row."""
     rows = asked.to_pylist()
-    keys = [_unpacked(r["keys"]).astype(np.uint64) for r in rows]
+    keys = [_unpacked_keys(r["keys"]) for r in rows]
     every, place = np.unique(np.concatenate(keys), return_inverse=True)
     places = np.split(place, np.cumsum([len(k) for k in keys])[:-1])
     n, gone = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
@@ -197,7 +209,7 @@ def count(docs: DataFrame) -> Counts:
                 chunk = _read(row)
                 times = chunk.times(_unpacked(row["fold"]) != HELD_OUT)
                 own, first = np.unique(_part_of(chunk.keys, parts), return_index=True)
-                pieces = [pa.array([_packed(x) for x in np.split(column, first[1:])], pa.binary()) for column in (chunk.keys, times)]
+                pieces = [pa.array([pack(x) for x in np.split(column, first[1:])], pa.binary()) for pack, column in ((_packed_keys, chunk.keys), (_packed, times))]
                 one = [pa.array([row[c]] * len(own)) for c in ("chunk", "deleted")]
                 yield pa.record_batch([pa.array(own), *one, *pieces], ["part", "chunk", "deleted", "keys", "times"])
 
