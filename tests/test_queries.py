@@ -1,3 +1,9 @@
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from tallyhouse.queries import ORACLE_SQL, QUERIES
@@ -19,3 +25,18 @@ def test_entry_point(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("gone", [("tallyhouse/llm",), ("tallyhouse/llm", "corpus_pipeline.py")])
+def test_entry_point_without_the_training_data_folder(tmp_path, gone):
+    root = Path(__file__).resolve().parent.parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "*.parquet"))
+    for name in gone:
+        place = copy / name
+        if place.is_dir():
+            shutil.rmtree(place)
+        elif place.exists():
+            place.unlink()
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not [n for n in q if n.startswith('op')]; assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, check=True, timeout=120)
