@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import linededup, neardup, packing, pii, quality
-from tallyhouse.llm.common import shared_folder, stored, table
+from tallyhouse.llm.common import discard, shared_folder, stored, table
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -50,7 +50,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return docs
 
 

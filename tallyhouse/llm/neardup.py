@@ -13,9 +13,12 @@ verified on their full shingle sets.
 Equal sets are one class from the start, whatever their number.  Inside a bucket
 of a band up to ``SMALL`` classes are paired; of a larger one each class is
 compared with its two most central members only.  Where a bucket then still holds
-several components, its members are compared across components, block against
-block, so nothing is lost and no task gets more than two blocks.  A pair at 0.85
-shares no bucket with probability 8e-7.
+several components, the members outside the largest one are compared with ``LEADERS``
+of its members, and what is left is compared across components, block against block;
+two blocks of the largest component never meet.  So nothing is lost, and a task gets two
+blocks of about ``BLOCK`` sets or ``BLOCK_SHINGLES`` shingles each, whichever are fewer.
+Bands are as wide as the threshold allows: a pair just at it shares no bucket with
+probability 1e-6 at most (8e-7 at 0.85).
 
 Defined results: a text without words (or null) has an empty set, is linked with
 nothing and kept; fewer words than ``WIDTH`` are one shingle; a null doc_id is
@@ -33,11 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import wordhash
-from tallyhouse.llm.common import small, stored
+from tallyhouse.llm.common import discard, small, stored
 
 WIDTH, PERCENT = 5, 85
-REGISTERS, BAND, BASE, RATE, Q = 120, 5, 1.02, 20.0, (1 << 16) - 2
-SMALL, BLOCK = 12, 128
+REGISTERS, BASE, RATE, Q = 120, 1.02, 20.0, (1 << 16) - 2
+SMALL, LEADERS, BLOCK, BLOCK_SHINGLES = 12, 4, 128, 1 << 16
+#: Cells of a task's matrix of sets and shared shingles that are held at once.
+CELLS = 1 << 22
 _random = np.random.Generator(np.random.PCG64(85))
 _MASKS = _random.integers(0, 2**63, REGISTERS, dtype=np.uint64)
 _FACTORS = _random.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -129,6 +134,12 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(both) - common)
 
 
+def band_of(percent: int) -> int:
+    """Registers in a band: the most for which all bands differ with probability 1e-6 at most at the threshold."""
+    widths = [w for w in range(1, 25) if REGISTERS % w == 0]
+    return max((w for w in widths if (1 - (percent / 100) ** w) ** (REGISTERS // w) <= 1e-6), default=1)
+
+
 def _registers(column: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(x, np.uint16) for x in column.to_pylist()])
 
@@ -170,7 +181,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
             yield batch.select(["a", "b"]).filter(pa.array([similar(x, y, percent) for x, y in zip(a, b, strict=True)], pa.bool_()))
 
     both = possible.join(held.select(F.col("set").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("set").alias("b"), F.col("text").alias("y")), "b")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(confirm, "a binary, b binary"), "near-links")
+    links = stored(both.select("a", "b", "x", "y").mapInArrow(confirm, "a binary, b binary"), "near-links")
+    discard(possible, wanted, held)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -184,8 +197,11 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = stored(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).select("v", F.least("v", "p").alias("p")), "near-parents")
         moved = edges.join(parent.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").join(parent.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
+        before = edges, mapping, parent
         edges = stored(moved.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "near-edges")
         mapping = stored(mapping.join(parent, mapping["component"] == parent["v"], "left").select("set", F.coalesce("p", "component").alias("component")), "near-mapping")
+        discard(*before)
+    discard(edges)
     return mapping
 
 
@@ -200,7 +216,8 @@ def _first_pairs(shared: DataFrame) -> DataFrame:
     central = shared.groupBy("set").agg(F.sum("size").alias("central"))
     large = shared.where(F.col("size") > SMALL).join(central, "set").select("bucket", "set", "central")
     leaders = large.groupBy("bucket", F.pmod(F.xxhash64("set"), F.lit(2)).alias("slot")).agg(F.max(F.struct("central", "set")).alias("lead"))
-    stars = large.join(leaders.select("bucket", F.col("lead.set").alias("leader")), "bucket").where("set <> leader").select(*_ordered("set", "leader"))
+    leaders = stored(leaders.select("bucket", F.col("lead.set").alias("leader")), "near-leaders")
+    stars = large.join(small(leaders), "bucket").where("set <> leader").select(*_ordered("set", "leader"))
     return pairs.unionByName(stars).distinct()
 
 
@@ -209,39 +226,82 @@ def linked(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT, width:
     classes = sketches.where("set is not null and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("registers").alias("registers"))
     classes = stored(classes, "near-classes")
     least = max(1, -(-percent // (100 - percent))) if percent < 100 else None  # smaller sets are similar only if equal
-    bands = REGISTERS // BAND
-    keys = F.array(*[F.xxhash64(F.substring("registers", 2 * BAND * i + 1, 2 * BAND), F.lit(i)) for i in range(bands)])
+    band = band_of(percent)
+    keys = F.array(*[F.xxhash64(F.substring("registers", 2 * band * i + 1, 2 * band), F.lit(i)) for i in range(REGISTERS // band)])
     banded = classes.where(F.col("n") >= (least or 1 << 62)).select(F.explode(keys).alias("bucket"), "set")
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = stored(banded.join(sizes, "bucket"), "near-shared")
     links = verified(_first_pairs(shared), classes, docs, percent, width)
     label = components(links)
-    members = stored(shared.where(F.col("size") > SMALL).select("bucket", "set").join(label, "set", "left").select("bucket", "set", F.coalesce("component", "set").alias("component")), "near-members")
-    split = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("set").alias("least")).where("x <> y").select("bucket", "least")
-    members = stored(members.join(split, "bucket"), "near-split")
-    if members.isEmpty():
-        return links, label
-    more = across(members, classes, docs, percent, width)
-    if more.isEmpty():
-        return links, label
-    links = stored(links.unionByName(more), "near-all-links")
-    return links, components(links)
+    large = shared.where(F.col("size") > SMALL).select("bucket", "set")
+    for more in (_led_pairs, None):
+        members = _split(large, label)
+        if members.isEmpty():
+            break
+        found = verified(more(members), classes, docs, percent, width) if more else across(members, classes, docs, percent, width)
+        if not found.isEmpty():
+            old = links, label, found
+            links = stored(links.unionByName(found), "near-all-links")
+            label = components(links)
+            discard(*old)
+        discard(members)
+    discard(classes, shared)
+    return links, label
+
+
+def _split(large: DataFrame, label: DataFrame) -> DataFrame:
+    """bucket, set, component, bulk (in the bucket's largest component) of buckets with several components, stored."""
+    members = stored(large.join(label, "set", "left").select("bucket", "set", F.coalesce("component", "set").alias("component")), "near-members")
+    counts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    most = counts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("many")).where("many > 1").select("bucket", F.col("most.component").alias("largest"))
+    split = stored(members.join(small(stored(most, "near-largest")), "bucket").select("bucket", "set", "component", (F.col("component") == F.col("largest")).alias("bulk")), "near-split")
+    discard(members)
+    return split
+
+
+def _led_pairs(members: DataFrame) -> DataFrame:
+    """Members outside a bucket's largest component with some of those inside."""
+    slot = F.pmod(F.xxhash64("set", F.lit("slot")), F.lit(LEADERS))
+    leaders = members.where("bulk").groupBy("bucket", slot.alias("slot")).agg(F.max_by("set", F.xxhash64("set", "bucket")).alias("leader"))
+    leaders = stored(leaders.select("bucket", "leader"), "near-more-leaders")
+    return members.where("not bulk").join(small(leaders), "bucket").select(*_ordered("set", "leader")).distinct()
+
+
+def _units(members: DataFrame) -> DataFrame:
+    """unit, set, component, bulk: where the pairs of members are sought.
+
+    Buckets that share members form a cluster, in which each pair is met once; but where that
+    makes more pairs than the buckets by themselves have, the buckets are units.
+    """
+    first = members.groupBy("bucket").agg(F.min("set").alias("least"), F.count("*").alias("n"))
+    first = stored(first, "near-buckets")
+    edges = members.select("bucket", "set").join(small(first), "bucket").where("set <> least").select(F.col("least").alias("a"), F.col("set").alias("b")).distinct()
+    cluster = components(edges).select("set", F.col("component").alias("cluster"))
+    sizes = cluster.groupBy("cluster").agg(F.count("*").cast("double").alias("sets"))
+    inside = first.join(cluster, first["least"] == cluster["set"]).groupBy("cluster").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
+    whole = sizes.join(inside, "cluster").select("cluster", (F.col("sets") * F.col("sets") <= F.col("pairs")).alias("whole"))
+    placed = members.join(cluster, "set").join(whole, "cluster")
+    placed = stored(placed.select(F.when(F.col("whole"), F.hex("cluster")).otherwise(F.col("bucket").cast("string")).alias("unit"), "set", "component").distinct(), "near-units")
+    counts = placed.groupBy("unit", "component").agg(F.count("*").alias("n")).groupBy("unit").agg(F.max(F.struct("n", "component")).alias("most"))
+    return placed.join(counts, "unit").select("unit", "set", "component", (F.col("component") == F.col("most.component")).alias("bulk"))
 
 
 def across(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links between members (bucket, set, component, least) of one bucket that are of different components.
+    """Links between members (bucket, set, component) of one bucket that are of different components.
 
-    Buckets that share members form a cluster, so that a pair is compared once; a cluster is dealt
-    into blocks of about ``BLOCK`` sets, and each task compares two blocks.
+    A unit's largest component and its other sets are dealt into blocks apart; each task
+    compares two blocks, of which one at least holds other sets.
     """
-    cluster = components(members.where("set <> least").select(F.col("least").alias("a"), F.col("set").alias("b")).distinct()).select("set", F.col("component").alias("cluster"))
-    own = members.select("set", "component").distinct().join(cluster, "set")
-    blocks = own.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    known = stored(own.join(blocks, "cluster").join(classes.select("set", "doc_id"), "set"), "near-clusters")
-    texts = held_texts(known.select("set", "doc_id"), docs, width)
-    block = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
-    dealt = known.join(texts, "set").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set", "component", "text")
+    own = stored(_units(members).join(classes.select("set", "doc_id", "n"), "set"), "near-placed")
+    share = F.greatest(F.lit(1.0) / BLOCK, F.col("n") / BLOCK_SHINGLES)
+    blocks = own.groupBy("unit").agg(*[F.ceil(F.coalesce(F.sum(F.when(F.col("bulk") == b, share)), F.lit(0.0))).cast("int").alias(name) for b, name in ((True, "bulks"), (False, "others"))])
+    texts = held_texts(own.select("set", "doc_id").distinct(), docs, width)
+    h = F.xxhash64("set")
+    block = F.when(F.col("bulk"), F.pmod(h, F.col("bulks"))).otherwise(F.col("bulks") + F.pmod(h, F.col("others"))).cast("int")
+    others = F.sequence(F.col("bulks"), F.col("bulks") + F.col("others") - 1)
+    every = F.when(F.col("bulk"), others).otherwise(F.sequence(F.lit(0), F.col("bulks") + F.col("others") - 1))
+    dealt = own.join(blocks, "unit").withColumn("block", block).withColumn("other", F.explode(every)).join(texts, "set")
+    dealt = dealt.select("unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set", "component", "text")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -250,7 +310,9 @@ def across(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
         found = [(sets[x], sets[y]) for x, y in pairs_across(elements, sizes, own, percent)]
         return pa.table({"a": pa.array([min(p) for p in found], pa.binary()), "b": pa.array([max(p) for p in found], pa.binary())})
 
-    return stored(dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a binary, b binary"), "near-across")
+    found = stored(dealt.groupBy("unit", "i", "j").applyInArrow(compare, "a binary, b binary"), "near-across")
+    discard(own, texts)
+    return found
 
 
 def pairs_across(elements: np.ndarray, sizes: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -258,10 +320,17 @@ def pairs_across(elements: np.ndarray, sizes: np.ndarray, component: np.ndarray,
     owner = np.repeat(np.arange(len(sizes)), sizes)
     _, place, times = np.unique(elements, return_inverse=True, return_counts=True)
     shared = times > 1
-    matrix = np.zeros((len(sizes), int(shared.sum())), np.float32)
-    column = np.cumsum(shared) - 1
-    matrix[owner[shared[place]], column[place[shared[place]]]] = 1
-    common = (matrix @ matrix.T).astype(np.int64)
+    column = (np.cumsum(shared) - 1)[place[shared[place]]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[shared[place]][order]
+    common = np.zeros((len(sizes), len(sizes)), np.float32)
+    at_once = max(1, CELLS // max(1, len(sizes)))
+    for first in range(0, int(shared.sum()), at_once):
+        begin, end = np.searchsorted(column, (first, first + at_once))
+        matrix = np.zeros((len(sizes), at_once), np.float32)
+        matrix[owner[begin:end], column[begin:end] - first] = 1
+        common += matrix @ matrix.T
+    common = common.astype(np.int64)
     both = sizes[:, None] + sizes[None, :]
     x, y = np.nonzero(np.triu((100 * common >= percent * (both - common)) & (component[:, None] != component[None, :]), 1))
     parent = list(range(int(component.max()) + 1))

@@ -372,6 +372,75 @@ def test_smallest_sets_that_differ_are_linked(docs, percent, n):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs(rows), percent).collect()} == expected
 
 
+@pytest.mark.parametrize("percent", [50, 67, 80, 85, 90, 100])
+def test_near_equals_brute_force_on_random_sets(docs, percent):
+    """Sets of 1 to 40 shingles, each with copies that have some words fewer or more."""
+    rng = np.random.default_rng(percent)
+    rows = []
+    for k in range(40):
+        own = [f"d{k}w{i}" for i in range(int(rng.integers(5, 45)))]
+        for _ in range(4):
+            a, b = (int(x) for x in rng.integers(0, 4, 2))
+            changed = [w if rng.random() > 0.01 else "new" for w in own[a : len(own) - b]]
+            rows.append((len(rows), " ".join(changed + ["more"] * int(rng.integers(0, 2)))))
+    expected = near_by_brute_force(dict(rows), percent)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs(rows), percent).collect()}
+    assert found == expected and len({c for _, c in found.values()}) < len(rows)
+
+
+def test_near_very_long_texts_and_common_passages(docs):
+    """Texts of 20,000 words, and many texts that share half of their words but belong to no group."""
+    rng = np.random.default_rng(8)
+    long_ = [f"l{i}" for i in range(20_000)]
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, edited(rng, long_, 0.01)) for i in range(6)] + [(10, " ".join(long_))]
+    rows += [(100 + i, " ".join([*passage, *[f"own{i}x{k}" for k in range(14)]])) for i in range(80)]
+    expected = near_by_brute_force(dict(rows))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs(rows)).collect()} == expected
+
+
+def test_units_meet_every_pair(spark, docs, monkeypatch):
+    """All links between components of a bucket are found, by clusters and by buckets, in blocks of a few sets."""
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(200)]
+    texts = {i: edited(rng, base, rng.choice([0.002, 0.01, 0.02])) for i in range(50)}
+    sketches = common.stored(neardup.sketch(docs(list(texts.items()))), "t")
+    ids = {bytes(r["set"]): r["doc_id"] for r in sketches.collect()}
+    classes = common.stored(sketches.select("set", "doc_id", F.col("n_shingles").alias("n"), "registers"), "t")
+    component = {i: i // 7 for i in texts}  # made up: six sets each
+    buckets = [range(0, 50)], [range(0, 20), range(15, 35), range(30, 50)]
+    for own in buckets:
+        rows = [(b, s, str(component[i]).encode()) for b, r in enumerate(own) for s, i in ids.items() if i in r]
+        members = common.stored(spark.createDataFrame(rows, "bucket long, set binary, component binary"), "t")
+        links = {tuple(sorted((ids[bytes(r["a"])], ids[bytes(r["b"])]))) for r in neardup.across(members, classes, docs(list(texts.items())), 85, 5).collect()}
+        sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in texts.items() for w in [t.split()]}
+        wanted = {(component[i], component[j]) for r in own for i in r for j in r if {i, j} <= set(ids.values()) and component[i] < component[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+
+        def closure(pairs):
+            parent = {c: c for c in component.values()}
+            for a, b in sorted(pairs):
+                old, new = max(parent[a], parent[b]), min(parent[a], parent[b])
+                parent = {c: new if p == old else p for c, p in parent.items()}
+            return parent
+
+        assert all(100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) for i, j in links)
+        assert wanted and closure({(component[i], component[j]) for i, j in links}) == closure(wanted)
+
+
+def test_memory_of_a_block_is_bounded():
+    """Sets of 20,000 shingles that are shared by twos: the matrix is held in parts."""
+    import tracemalloc
+
+    rng = np.random.default_rng(10)
+    sets = [np.unique(rng.integers(0, 2**63, 20_000, dtype=np.uint64)) for _ in range(16)]
+    sets = [s for a in sets for s in (a, np.concatenate([a[: int(len(a) * 0.95)], rng.integers(0, 2**63, 500, dtype=np.uint64)]))]
+    tracemalloc.start()
+    found = neardup.pairs_across(np.concatenate(sets), np.array([len(s) for s in sets]), np.arange(len(sets)), 85)
+    assert sorted(found) == [(2 * i, 2 * i + 1) for i in range(16)] and tracemalloc.get_traced_memory()[1] < 160 << 20
+    tracemalloc.stop()
+
+
 def test_near_edge_rows(docs):
     df = docs([(i, t, i) for i, t in ODD], ", set long")
     found = neardup.near_duplicates(df.drop("set")).collect()
