@@ -47,6 +47,21 @@ def with_eligibility(positions: DataFrame, holds: DataFrame, policies: DataFrame
     return found.select(*positions.columns, (F.col("position_held").isNull() & F.col("scope_held").isNull()).alias("eligible"))
 
 
+def action_eligibility(positions: DataFrame, holds: DataFrame, policies: DataFrame, as_of: Column) -> DataFrame:
+    """``positions`` with a boolean for each action (as ``with_eligibility``), all of them by one join with the scopes and one with the positions held."""
+    active = holds.where(active_at(as_of)).join(policies.select("policy_id", *ACTIONS.values()), "policy_id")
+
+    def blocked(kind: str) -> list[Column]:
+        return [F.coalesce(F.bool_or(flag), F.lit(False)).alias(f"{kind}_{action}") for action, flag in ACTIONS.items()]
+
+    on_scope = active.where("position_id is null").groupBy(*SCOPE).agg(*blocked("scope"))
+    on_position = active.where("position_id is not null").groupBy("position_id").agg(*blocked("own"))
+    found = positions.join(on_position, "position_id", "left")
+    found = found.join(on_scope, same_keys(found, on_scope), "left").select(*[found[c] for c in positions.columns], *[f"{kind}_{a}" for kind in ("own", "scope") for a in ACTIONS])
+    free = [(~F.coalesce(F.col(f"own_{a}") | F.col(f"scope_{a}"), F.col(f"own_{a}"), F.col(f"scope_{a}"), F.lit(False))).alias(a) for a in ACTIONS]
+    return found.select(*positions.columns, *free)
+
+
 def remaining(reservations: DataFrame) -> DataFrame:
     """What each reservation still claims: quantity less allocated, consumed and released."""
     return reservations.withColumn("remaining_qty", qty(F.col("quantity") - F.col("allocated_qty") - F.col("consumed_qty") - F.col("released_qty")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyhouse.operators import ledger
 from tallyhouse.operators.telemetry import seconds_between
 
-#: The stages of a probe: name -> (later, earlier) timestamp columns.
+#: The stages of a probe: name -> (later, earlier) timestamp columns; fixed values.
 LATENCIES = {
     "outbox_publish_confirm_seconds": ("published_at", "started_at"),
     "start_to_broker_seconds": ("broker_at", "started_at"),
@@ -56,24 +56,31 @@ def terminal_code(complete: Column, codes: Column) -> Column:
     return F.when(~complete, F.coalesce(F.get(F.filter(ranked, lambda c: F.array_contains(codes, c)), F.lit(0)), F.lit("canary_incomplete")))
 
 
+#: Code of a topology change -> (status, decision); fixed values.
+PREFLIGHT = {
+    "topology_target_already_deployed": ("ok", "no_changes"),
+    "topology_migration_required": ("critical", "blocked"),
+    "topology_migration_cleanup_required": ("warning", "no_changes"),
+    "topology_migration_expired": ("critical", "blocked"),
+    "topology_migration_target_reached": ("ok", "no_changes"),
+    "topology_live_state_unexpected": ("critical", "blocked"),
+    "topology_migration_requires_single_resource": ("critical", "blocked"),
+    "topology_migration_ready": ("ok", "safe_to_apply"),
+}
+
+
 def preflight(has_migration: Column, phase: Column, matched: Column, resources: Column) -> Column:
     """Struct (status, decision, code) of a topology change: what matches the live state, and how many resources differ."""
-
-    def result(status: str, decision: str, code: str) -> Column:
-        return F.struct(F.lit(status).alias("status"), F.lit(decision).alias("decision"), F.lit(f"topology_{code}").alias("code"))
-
-    at_target, at_source = F.coalesce(matched == "target", F.lit(False)), F.coalesce(matched == "source", F.lit(False))
-    expired = F.coalesce(phase == "expired", F.lit(False))
-    return (
-        F.when(~has_migration & at_target, result("ok", "no_changes", "target_already_deployed"))
-        .when(~has_migration, result("critical", "blocked", "migration_required"))
-        .when(expired & at_target, result("warning", "no_changes", "migration_cleanup_required"))
-        .when(expired & at_source, result("critical", "blocked", "migration_expired"))
-        .when(~expired & at_target, result("ok", "no_changes", "migration_target_reached"))
-        .when(expired | ~at_source, result("critical", "blocked", "live_state_unexpected"))
-        .when(resources != 1, result("critical", "blocked", "migration_requires_single_resource"))
-        .otherwise(result("ok", "safe_to_apply", "migration_ready"))
-    )
+    live = F.coalesce(matched, F.lit("neither"))
+    over = F.coalesce(phase == "expired", F.lit(False))
+    without = F.when(live == "target", "topology_target_already_deployed").otherwise("topology_migration_required")
+    after = F.when(live == "target", "topology_migration_cleanup_required").when(live == "source", "topology_migration_expired").otherwise("topology_live_state_unexpected")
+    during = F.when(live == "target", "topology_migration_target_reached").when(live != "source", "topology_live_state_unexpected")
+    during = during.when(resources != 1, "topology_migration_requires_single_resource").otherwise("topology_migration_ready")
+    code = F.when(~has_migration, without).when(over, after).otherwise(during)
+    table = F.create_map(*[x for c, (status, decision) in PREFLIGHT.items() for x in (F.lit(c), F.struct(F.lit(status).alias("status"), F.lit(decision).alias("decision")))])
+    judged = F.element_at(table, code)
+    return F.struct(judged["status"].alias("status"), judged["decision"].alias("decision"), code.alias("code"))
 
 
 def canonical_fingerprint(fields: Column) -> Column:

@@ -81,7 +81,7 @@ def first_of_each(rows: DataFrame, order: str, *key: str) -> DataFrame:
 
 def weighted_scores(scores: DataFrame, weights: DataFrame, subject: str) -> DataFrame:
     """Sum of weight * score / 100 of each subject, ranked; margin is the lead over the next."""
-    totals = scores.join(F.broadcast(weights), "criterion").groupBy(subject).agg((F.sum(F.col("weight") * F.col("score")) / 100).alias("total"))
+    totals = scores.join(weights, "criterion").groupBy(subject).agg((F.sum(F.col("weight") * F.col("score")) / 100).alias("total"))
     w = Window.orderBy(F.desc("total"), subject)  # one row for each subject compared: a short list
     return totals.withColumn("rank", F.row_number().over(w)).withColumn("margin", F.col("total") - F.lead("total").over(w))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.availability import qty
+from tallyhouse.storage import stored
 
 
 def balances(legs: DataFrame, *keys: str) -> DataFrame:
@@ -46,16 +49,20 @@ def fingerprint(kind: str, *columns: str) -> Column:
 
 
 def descendants(units: DataFrame, roots: DataFrame, most_levels: int = 64) -> DataFrame:
-    """root_id, unit_id, level of everything inside the roots, themselves included (recursive SQL; an endless parent chain fails)."""
-    return units.sparkSession.sql(
-        """
-        WITH RECURSIVE inside AS (
-          SELECT unit_id AS root_id, unit_id, 0 AS level FROM {roots}
-          UNION ALL
-          SELECT i.root_id, u.unit_id, i.level + 1 FROM inside i JOIN {units} u ON u.parent_id = i.unit_id WHERE i.level < {most})
-        SELECT root_id, unit_id, level FROM inside""",
-        roots=roots, units=units, most=most_levels,
-    )
+    """root_id, unit_id, level of everything inside the roots, themselves included.
+
+    One join a level, each written before the next; a chain deeper than ``most_levels`` (or endless) is an error.
+    """
+    children = units.where("parent_id is not null").select("unit_id", "parent_id")
+    level = stored(roots.select(F.col("unit_id").alias("root_id"), "unit_id", F.lit(0).alias("level")), "tree-level")
+    levels = [level]
+    while not level.isEmpty():
+        if len(levels) > most_levels + 1:
+            raise ValueError(f"units are nested deeper than {most_levels} levels")
+        inside = level.select("root_id", F.col("unit_id").alias("parent_id"), (F.col("level") + 1).alias("level"))
+        level = stored(inside.join(children, "parent_id").select("root_id", "unit_id", "level"), "tree-level")
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def serial_excess(members: DataFrame, positions: DataFrame) -> DataFrame:

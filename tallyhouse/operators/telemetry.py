@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.functions import ranking
+
 
 def seconds_between(later: Column, earlier: Column) -> Column:
     """Microsecond difference in seconds."""
@@ -53,6 +55,7 @@ def failures(rows: DataFrame, as_of: Column, by: Sequence[str] = ()) -> DataFram
     return counts.select(*[c for c in counts.columns if len(c) > 1], *told)
 
 
+#: Failure code -> its column; fixed values.
 POISON_CODES = {"invalid_message_encoding": "invalid_encoding_count", "invalid_message_json": "invalid_json_count", "invalid_event_envelope": "invalid_envelope_count", "invalid_transport_headers": "invalid_headers_count"}
 
 
@@ -95,7 +98,8 @@ def service_levels(outcomes: DataFrame, as_of: Column, windows: Sequence[int], a
 
     Availability burns failed / total, latency burns slow / successful.  The streak, last run and
     last success look at all of history; the streak needs no global sort: it counts the failures
-    after the last success.  Outcomes are exploded to the windows they lie in, in one pass.
+    after the last success.  Outcomes are exploded to the windows they lie in, in one pass, and
+    quantiles are picked by rank, so a window is never held or sorted whole by one task.
     """
     spark = outcomes.sparkSession
     known = effective(outcomes, as_of)
@@ -107,26 +111,28 @@ def service_levels(outcomes: DataFrame, as_of: Column, windows: Sequence[int], a
     streak = ended.where(~won).crossJoin(F.broadcast(last)).where(F.col("last_won").isNull() | (place > F.col("last_won"))).agg(F.count("*").alias("consecutive_failures"))
     back = seconds_between(as_of, F.col("effective_at"))
     inside = ended.where(back >= 0).withColumn("window_seconds", F.explode(F.filter(F.array(*[F.lit(w) for w in windows]), lambda w: back <= w)))
-    quantiles = [
-        F.percentile(F.when(won & F.expr(rule or "true"), F.col(c)), F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias(f"q_{name}") for name, (c, rule) in STAGES.items()
-    ]
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    stages = F.explode(F.array(*[F.struct(F.lit(name).alias("stage"), F.when(F.expr(rule or "true"), F.col(c)).alias("value")) for name, (c, rule) in STAGES.items()]))
+    picked = ranking.quantiles(inside.where(won).select("window_seconds", stages.alias("s")).select("window_seconds", "s.*"), ("window_seconds", "stage"), "value", shares)
+    levels = picked.groupBy("window_seconds").agg(*[F.max(F.when(F.col("stage") == s, F.col(p))).alias(f"{s}_{p}") for s in STAGES for p in shares])
     counts = inside.groupBy("window_seconds").agg(
-        F.count("*").alias("total_runs"), F.count_if(won).alias("successful_runs"), F.count_if(~won).alias("failed_runs"), F.count_if(won & (F.col("end_to_end_seconds") <= latency_seconds)).alias("latency_good_runs"), *quantiles,
+        F.count("*").alias("total_runs"), F.count_if(won).alias("successful_runs"), F.count_if(~won).alias("failed_runs"), F.count_if(won & (F.col("end_to_end_seconds") <= latency_seconds)).alias("latency_good_runs"),
     )
     codes = inside.where(~won).groupBy("window_seconds", "effective_code").agg(F.count("*").alias("n"))
     codes = codes.groupBy("window_seconds").agg(F.array_sort(F.collect_list(F.struct("effective_code", "n"))).alias("codes"))
     told = F.concat(F.lit("{"), F.array_join(F.transform("codes", lambda x: F.concat(F.lit('"'), x["effective_code"], F.lit('":'), x["n"].cast("string"))), ","), F.lit("}"))
     frame = spark.createDataFrame([(w,) for w in windows], "window_seconds int")
-    joined = frame.join(counts, "window_seconds", "left").join(codes, "window_seconds", "left").crossJoin(F.broadcast(history)).crossJoin(F.broadcast(streak))
+    joined = frame.join(counts, "window_seconds", "left").join(codes, "window_seconds", "left").join(levels, "window_seconds", "left").crossJoin(F.broadcast(history)).crossJoin(F.broadcast(streak))
     total, good = F.coalesce("total_runs", F.lit(0)), F.coalesce("successful_runs", F.lit(0))
     fast, failed = F.coalesce("latency_good_runs", F.lit(0)), F.coalesce("failed_runs", F.lit(0))
     return joined.select(
         "window_seconds", total.alias("total_runs"), good.alias("successful_runs"), failed.alias("failed_runs"), F.when(total > 0, good / total).alias("success_ratio"), F.when(total > 0, failed / total / (1.0 - availability_target)).alias("availability_burn_rate"),
         fast.alias("latency_good_runs"), F.when(good > 0, fast / good).alias("latency_good_ratio"), F.when(good > 0, (good - fast) / good / (1.0 - latency_ratio)).alias("latency_burn_rate"), "last_run_at", "last_success_at", "consecutive_failures",
-        F.coalesce(told, F.lit("{}")).alias("failure_codes"), *[F.col(f"q_{s}")[i].alias(f"{s}_{p}") for s in STAGES for i, p in enumerate(("p50", "p95", "p99"))],
+        F.coalesce(told, F.lit("{}")).alias("failure_codes"), *[f"{s}_{p}" for s in STAGES for p in shares],
     )
 
 
-def nearest_rank(column: str, share: float) -> Column:
-    """Nearest-rank percentile (no interpolation) as an aggregate: the value at ceil(n * share)."""
-    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {column})")
+def latency_summary(samples: DataFrame, value: str, *keys: str) -> DataFrame:
+    """keys, nearest-rank p50, p95 and p99 (no interpolation), slowest, mean and samples."""
+    picked = ranking.quantiles(samples, keys, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, nearest=True)
+    return picked.join(samples.groupBy(*keys).agg(F.max(value).alias("slowest"), F.avg(value).alias("mean"), F.count(value).alias("samples")), list(keys))

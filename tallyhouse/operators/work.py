@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.functions import ranking
+
 TERMINAL_TASKS = ("completed", "cancelled")
 
 
 def queue(works: DataFrame, assignments: DataFrame) -> DataFrame:
     """Released work without an active assignment, ranked in its tenant and warehouse."""
     waiting = works.where("state = 'released'").join(assignments.where("state = 'active'").select("work_id").distinct(), "work_id", "left_anti")
-    w = Window.partitionBy("tenant_id", "warehouse_id").orderBy(F.desc("priority"), F.asc_nulls_last("due_at"), "created_at", "work_id")
-    return waiting.withColumn("queue_rank", F.row_number().over(w))
+    order = [F.desc("priority"), F.asc_nulls_last("due_at"), F.col("created_at"), F.col("work_id")]
+    return ranking.numbered(waiting, ("tenant_id", "warehouse_id"), order, "queue_rank")
 
 
 def next_task(tasks: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyhouse.storage import stored
+
 AS_OF = "2024-01-31 00:00:00"
 HOLD_AS_OF = "2024-01-15 00:00:00"
 
@@ -107,11 +109,20 @@ class Source:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
+        self._shared: dict[str, DataFrame] = {}
+
+    def share(self, *names: str) -> Source:
+        """Make relations once, for all that reads them or is built on them."""
+        for name in names:
+            self._shared[name] = stored(self.relation(name), f"relation-{name}")
+        return self
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def relation(self, name: str) -> DataFrame:
+        if name in self._shared:
+            return self._shared[name]
         bases, sql = RELATIONS[name]
         needs = {b: self.table(b) for b in bases if re.search(rf"\b(?:FROM|JOIN) {b}\b", sql)} | {b: self.relation(b) for b in BASED_ON.get(name, ())}
         for b in needs:
