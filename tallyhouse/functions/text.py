@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 NO_STRINGS = "array<string>"
 
@@ -34,6 +35,22 @@ def search_key(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(value), r"(?U)[\W_]+", " "))
 
 
+def flat(value: Column, kind: DataType) -> Column:
+    """All values of a nested column as one text (names of fields and keys are left out)."""
+    if isinstance(kind, StructType):
+        return F.concat_ws(" ", *[flat(value[f.name], f.dataType) for f in kind.fields])
+    if isinstance(kind, MapType):
+        return flat(F.map_values(value), ArrayType(kind.valueType))
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.array_join(F.transform(value, lambda x: F.coalesce(flat(x, kind.elementType), F.lit(""))), " "), F.lit(""))
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
+def each_flat(values: Column, kind: ArrayType) -> Column:
+    """One text for each element of an array (a missing array has none)."""
+    return strings(F.transform(values, lambda x: flat(x, kind.elementType)))
+
+
 def matches_terms(values: Column, terms: list[str]) -> Column:
     """Each term is part of some value."""
     wanted = F.transform(F.array(*[F.lit(t) for t in terms]).cast(NO_STRINGS), search_key)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import ledger
+from tallyhouse.operators.pipeline import updated
 from tallyhouse.operators.telemetry import seconds_between
 
 #: The stages of a probe: name -> (later, earlier) timestamp columns; fixed values.
@@ -169,6 +170,69 @@ def next_generation(journal: DataFrame, key: str) -> DataFrame:
     return journal.groupBy(key).agg((F.coalesce(F.max("generation"), F.lit(-1)) + 1).alias("next_generation"))
 
 
+def claim_delivery(deliveries: DataFrame, subscriptions: DataFrame, as_of: Column) -> DataFrame:
+    """The delivery that is next (none or one row), of an active subscription: pending and due, or in flight with a lease that ran out
+    (recovered: its open attempt ends as lease_expired)."""
+    active = subscriptions.where("state = 'active'").select("subscription_id")
+    due = (F.col("state") == "pending") & (F.col("next_attempt_at") <= as_of)
+    lost = (F.col("state") == "in_flight") & (F.col("lease_expires_at") <= as_of)
+    found = deliveries.join(active, "subscription_id").where(due | lost).withColumn("recovered", F.col("state") == "in_flight")
+    return found.orderBy("next_attempt_at", "created_at", "delivery_id").limit(1)
+
+
+def replay_deliveries(requests: DataFrame, deliveries: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """request_id, reason (null: accepted) and generation of requests to send an ended delivery again (request_id, delivery_id)."""
+    last = deliveries.groupBy("subscription_id", "event_id").agg((F.coalesce(F.max("generation"), F.lit(-1)) + 1).alias("_next"))
+    found = requests.join(deliveries.select("delivery_id", "subscription_id", "event_id", "state"), "delivery_id", "left").join(last, ["subscription_id", "event_id"], "left")
+    found = found.join(subscriptions.select("subscription_id", F.col("state").alias("_subscription")), "subscription_id", "left")
+    reason = F.when(F.col("state").isNull(), "delivery_not_found").when(~F.col("state").isin("succeeded", "dead_letter"), "delivery_not_ended").when(~F.col("_subscription").eqNullSafe("active"), "subscription_not_active")
+    return found.select("request_id", reason.alias("reason"), F.when(reason.isNull(), F.col("_next")).alias("generation"))
+
+
+def begin_rollouts(requests: DataFrame, activations: DataFrame, journal: DataFrame) -> DataFrame:
+    """``requests`` (deployment_id, tenant_id, receipt_id) with accepted: the activation in force has this receipt, and the journal has
+    it for the same tenant."""
+    told = journal.select("receipt_id", "tenant_id").distinct()
+    current = activations.join(told, ["receipt_id", "tenant_id"]).select("deployment_id", "tenant_id", F.col("receipt_id").alias("_receipt"))
+    return requests.join(current, ["deployment_id", "tenant_id"], "left").select(*requests.columns, F.coalesce(F.col("_receipt") == F.col("receipt_id"), F.lit(False)).alias("accepted"))
+
+
+def stage_events(requests: DataFrame, outbox: DataFrame, route: str = "tenant") -> DataFrame:
+    """``outbox`` with the events of accepted batches (see ``rollout_batches``) moved to the tenant's route."""
+    fine = rollout_batches(requests, outbox).where("accepted").select("batch_id")
+    moved = requests.join(fine, "batch_id").select("event_id", "tenant_id").distinct().withColumn("delivery_route", F.lit(route))
+    return updated(outbox, moved, "event_id", "tenant_id")
+
+
+#: What an outcome of a probe is evidence of; fixed values.
+EVIDENCE = ("outcome", "health_status", "terminal_code")
+
+
+def record_outcomes(probes: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """canary_id, at and result of each outcome told (canary_id, outcome, health_status, terminal_code, at) for tracked probes (canary_id):
+    recorded (the first), duplicate (the same evidence again), conflict (other evidence) or unknown_probe."""
+    first = outcomes.groupBy("canary_id").agg(F.min(F.struct("at", *EVIDENCE)).alias("f"))
+    found = outcomes.join(first, "canary_id").join(probes.select("canary_id").distinct().withColumn("_tracked", F.lit(True)), "canary_id", "left")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"f.{c}")) for c in EVIDENCE))
+    result = F.when(F.col("_tracked").isNull(), "unknown_probe").when(F.col("at") == F.col("f.at"), "recorded").when(same, "duplicate").otherwise("conflict")
+    return found.select("canary_id", "at", result.alias("result"))
+
+
+def start_probes(requests: DataFrame, timeout_seconds: int) -> DataFrame:
+    """Tracked probes: a pending outcome with its deadline for each request (canary_id, started_at), the first of an id."""
+    first = requests.groupBy("canary_id").agg(F.min("started_at").alias("started_at"))
+    return first.select("canary_id", "started_at", (F.col("started_at") + F.make_dt_interval(secs=F.lit(timeout_seconds))).alias("deadline_at"), F.lit("pending").alias("outcome"))
+
+
+def read_probes(probes: DataFrame, publications: DataFrame, receipts: DataFrame, projections: DataFrame) -> DataFrame:
+    """The five times of each probe (canary_id, started_at): published and at the broker, in the inbox, projected; null while unknown."""
+    own = [
+        publications.groupBy("canary_id").agg(F.min("published_at").alias("published_at"), F.min("broker_at").alias("broker_at")),
+        receipts.groupBy("canary_id").agg(F.min("inbox_at").alias("inbox_at")), projections.groupBy("canary_id").agg(F.min("projected_at").alias("projected_at")),
+    ]
+    return reduce(lambda a, b: a.join(b, "canary_id", "left"), own, probes)
+
+
 def transactions_of(index: DataFrame, tenant: str, caller_tenants: tuple[str, ...], limit: int) -> DataFrame:
     """Newest transactions of a tenant; who may not read it is refused before anything is read."""
     if tenant not in caller_tenants:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.operators.availability import qty
+from tallyhouse.operators.availability import SCOPE, qty
 from tallyhouse.storage import stored
 
 
@@ -65,6 +65,128 @@ def descendants(units: DataFrame, roots: DataFrame, most_levels: int = 64) -> Da
     return reduce(DataFrame.unionByName, levels)
 
 
+ANCHORED = ("location_id", *SCOPE)
+ANCHORED_NULLABLE = frozenset(SCOPE[5:])
+
+
+def _by_key(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``left`` with what ``right`` (one row for each key) knows of its key; nulls are equal."""
+    other = right.withColumnsRenamed({k: f"_key_{k}" for k in ANCHORED})
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) if k in ANCHORED_NULLABLE else F.col(k) == F.col(f"_key_{k}") for k in ANCHORED))
+    return left.join(other, same, "left").drop(*[f"_key_{k}" for k in ANCHORED])
+
+
+def ensure_positions(candidates: DataFrame, positions: DataFrame, anchors: DataFrame) -> DataFrame:
+    """candidate_id, position_id and outcome of requests for a position: existing where its whole key is taken, else created (the first
+    candidate of a key gives its id), or unknown_anchor where the anchor is not of the tenant and warehouse.
+
+    ``candidates``: candidate_id and the key (an anchor and a scope, nulls equal); ``anchors``: location_id, tenant_id, warehouse_id.
+    """
+    placed = candidates.join(anchors.select("location_id", "tenant_id", "warehouse_id").distinct().withColumn("_anchored", F.lit(True)), ["location_id", "tenant_id", "warehouse_id"], "left")
+    first = placed.where("_anchored").groupBy(*ANCHORED).agg(F.min("candidate_id").alias("_first"))
+    known = positions.groupBy(*ANCHORED).agg(F.min("position_id").alias("_known"))
+    found = _by_key(_by_key(placed, first), known)
+    outcome = F.when(F.col("_anchored").isNull(), "unknown_anchor").when(F.col("_known").isNotNull() | (F.col("candidate_id") != F.col("_first")), "existing").otherwise("created")
+    return found.select("candidate_id", F.when(outcome != "unknown_anchor", F.coalesce("_known", F.col("_first").cast("string"))).alias("position_id"), outcome.alias("outcome"))
+
+
+def _short(quantity: Column, physical: Column, reserved: Column, allocated: Column) -> list[tuple[Column, str]]:
+    """What stands in the way of taking ``quantity`` from a position, in the order in which it is looked at."""
+    return [(quantity > physical, "exceeds_physical"), (physical - quantity < F.greatest(reserved, allocated), "strands_commitments")]
+
+
+def _first_reason(reasons: list[tuple[Column, str]]) -> Column:
+    return F.coalesce(*[F.when(broken, name) for broken, name in reasons])
+
+
+def judge_issues(requests: DataFrame, positions: DataFrame) -> DataFrame:
+    """issue_id, position_id, reason (null: accepted) and physical_delta, each against the positions as they are.
+
+    ``requests``: issue_id, position_id, quantity; ``positions``: position_id, physical_qty, reserved_qty, allocated_qty, shipping
+    (whether the action is allowed).
+    """
+    found = requests.join(positions.select("position_id", "physical_qty", "reserved_qty", "allocated_qty", "shipping"), "position_id", "left")
+    c = F.col
+    reason = _first_reason([(c("physical_qty").isNull(), "unknown_position"), (~c("shipping"), "not_eligible"), *_short(c("quantity"), c("physical_qty"), c("reserved_qty"), c("allocated_qty"))])
+    return found.select("issue_id", "position_id", reason.alias("reason"), F.when(reason.isNull(), qty(-c("quantity"))).alias("physical_delta"))
+
+
+def judge_movements(requests: DataFrame, positions: DataFrame) -> DataFrame:
+    """``requests`` (movement_id, source_id, target_id, quantity) with reason (null: accepted): both ends may move, differ in their
+    anchor alone, and the source keeps what is committed.  ``positions``: position_id, the scope, quantities, movement."""
+    def end(name: str, *more: str) -> DataFrame:
+        return positions.select(F.col("position_id").alias(f"{name}_id"), F.struct(*SCOPE).alias(f"{name}_scope"), F.col("movement").alias(f"{name}_moves"), *more)
+
+    found = requests.join(end("source", "physical_qty", "reserved_qty", "allocated_qty"), "source_id", "left").join(end("target"), "target_id", "left")
+    c = F.col
+    differs = reduce(lambda a, b: a | b, (~c(f"source_scope.{k}").eqNullSafe(c(f"target_scope.{k}")) for k in SCOPE))
+    reason = _first_reason([
+        (c("source_scope").isNull() | c("target_scope").isNull(), "unknown_position"), (~c("source_moves"), "source_not_eligible"), (~c("target_moves"), "target_not_eligible"), (differs, "other_stock_identity"),
+        *_short(c("quantity"), c("physical_qty"), c("reserved_qty"), c("allocated_qty")),
+    ])
+    return found.select(*requests.columns, reason.alias("reason"))
+
+
+def movement_legs(judged: DataFrame) -> DataFrame:
+    """movement_id, position_id, physical_delta: two legs of each accepted movement, which sum to zero."""
+    ends = F.array(F.struct(F.col("source_id").alias("position_id"), qty(-F.col("quantity")).alias("physical_delta")), F.struct(F.col("target_id").alias("position_id"), qty(F.col("quantity")).alias("physical_delta")))
+    return judged.where("reason is null").select("movement_id", F.explode(ends).alias("leg")).select("movement_id", "leg.*")
+
+
+def judge_reconciliations(counts: DataFrame, positions: DataFrame) -> DataFrame:
+    """count_id, reason (null: accepted) and physical_delta of count results (count_id, position_id, state, system_qty, counted_qty).
+
+    The position must still have the quantity that the count was held against.
+    """
+    found = counts.join(positions.select("position_id", "physical_qty", "reserved_qty", "allocated_qty"), "position_id", "left")
+    c, variance = F.col, F.col("counted_qty") - F.col("system_qty")
+    after = c("physical_qty") + variance
+    reason = _first_reason([
+        (c("physical_qty").isNull(), "unknown_position"), (c("state") != "observed", "already_reconciled"), (variance == 0, "zero_variance"), (c("physical_qty") != c("system_qty"), "stale_snapshot"),
+        (after < 0, "negative_result"), (after < F.greatest(c("reserved_qty"), c("allocated_qty")), "strands_commitments"),
+    ])
+    return found.select("count_id", reason.alias("reason"), F.when(reason.isNull(), qty(variance)).alias("physical_delta"))
+
+
+def hold_errors(holds: DataFrame, policies: DataFrame, positions: DataFrame) -> DataFrame:
+    """hold_id and reason of holds whose policy or position is of another tenant, or whose scope is not the position's.
+    ``policies``: policy_id, tenant_id."""
+    known = positions.select("position_id", F.struct(*SCOPE).alias("_scope"))
+    found = holds.join(policies.select("policy_id", F.col("tenant_id").alias("_tenant")), "policy_id", "left").join(known, "position_id", "left")
+    c = F.col
+    differs = reduce(lambda a, b: a | b, (~c(k).eqNullSafe(c(f"_scope.{k}")) for k in SCOPE[1:]))
+    on_position = c("position_id").isNotNull()
+    reason = _first_reason([
+        (~c("_tenant").eqNullSafe(c("tenant_id")), "policy_of_another_tenant"), (on_position & ~c("_scope.tenant_id").eqNullSafe(c("tenant_id")), "position_of_another_tenant"), (on_position & differs, "scope_differs_from_position"),
+    ])
+    return found.select("hold_id", reason.alias("reason")).where("reason is not null")
+
+
+def position_holds(requests: DataFrame, positions: DataFrame) -> DataFrame:
+    """``requests`` (hold_id, policy_id, position_id, starts_at, expires_at) as holds with the scope of their position."""
+    return requests.join(positions.select("position_id", *SCOPE), "position_id").select("hold_id", "policy_id", "position_id", *SCOPE, "starts_at", "expires_at", F.lit(None).cast("timestamp_ntz").alias("released_at"))
+
+
+def release_holds(holds: DataFrame, releases: DataFrame) -> DataFrame:
+    """``holds`` with the first release of each (hold_id, at) that had none."""
+    first = releases.groupBy("hold_id").agg(F.min("at").alias("_at"))
+    return holds.join(first, "hold_id", "left").withColumn("released_at", F.coalesce("released_at", "_at")).select(*holds.columns)
+
+
+def ineligible_allocations(changes: DataFrame, positions: DataFrame) -> DataFrame:
+    """Changes of a position's allocation (change_id, position_id, before, after) that raise it while the position may not be allocated."""
+    return changes.where("after > before").join(positions.where("not allocation").select("position_id"), "position_id", "left_semi")
+
+
+def serial_errors(members: DataFrame, positions: DataFrame, tracking: DataFrame) -> DataFrame:
+    """serial_id and reason of serial memberships (serial_id, position_id, item_id): the item is tracked by serial (``tracking``: item_id,
+    exact), it is the position's, and no serial is in two positions."""
+    twice = members.groupBy("serial_id").agg(F.count_distinct("position_id").alias("_n"))
+    found = members.join(twice, "serial_id").join(positions.select("position_id", F.col("item_id").alias("_item")), "position_id", "left").join(tracking, "item_id", "left")
+    reason = _first_reason([(~F.coalesce("exact", F.lit(False)), "item_not_tracked"), (~F.col("item_id").eqNullSafe(F.col("_item")), "item_differs"), (F.col("_n") > 1, "in_two_positions")])
+    return found.select("serial_id", "position_id", reason.alias("reason")).where("reason is not null")
+
+
 def serial_excess(members: DataFrame, positions: DataFrame) -> DataFrame:
     """Positions with more serial members than physical quantity."""
     counted = members.groupBy("position_id").agg(F.count("*").alias("serials"))

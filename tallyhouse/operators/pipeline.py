@@ -124,6 +124,134 @@ def archive(live: DataFrame, ended_at: str, before: Column, limit: int, *order:
     return moved, live.join(moved.select(*order), list(order), "left_anti")
 
 
+def _checked(limit: int, most: int = 1000) -> int:
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must be between 1 and {most}")
+    return limit
+
+
+def archive_with_records(live: DataFrame, records: DataFrame, ended_at: str, before: Column, limit: int, *key: str) -> dict[str, DataFrame]:
+    """As ``archive``, with what was recorded about the rows (``records``, by the same key): moved, kept, moved_records, kept_records."""
+    moved, kept = archive(live, ended_at, before, _checked(limit), *key)
+    keys = moved.select(*key)
+    return {"moved": moved, "kept": kept, "moved_records": records.join(keys, list(key), "left_semi"), "kept_records": records.join(keys, list(key), "left_anti")}
+
+
+def archive_failures(failures: DataFrame, receipts: DataFrame, actions: DataFrame, consumer: str, before: Column, limit: int) -> dict[str, DataFrame]:
+    """Archive of a consumer's resolved failures that the inbox has a receipt of, with the operators' actions on them."""
+    key = ["consumer_name", "event_id"]
+    done = failures.where((F.col("consumer_name") == consumer) & (F.col("status") == "resolved")).join(receipts.select(*key), key, "left_semi")
+    found = archive_with_records(done, actions.where(F.col("consumer_name") == consumer), "resolved_at", before, limit, *key)
+    keys = found["moved"].select(*key)
+    return found | {"kept": failures.join(keys, key, "left_anti"), "kept_records": actions.join(keys, key, "left_anti")}
+
+
+def retention_cutoff(as_of: Column, days: int = 30) -> Column:
+    """What ended before this may be archived."""
+    if days < 1:
+        raise ValueError("days must be positive")
+    return as_of - F.make_dt_interval(days=F.lit(days))
+
+
+def claim_failures(failures: DataFrame, consumer: str, as_of: Column, limit: int, lease_seconds: int) -> DataFrame:
+    """The batch of a consumer's deferred failures that are due and not leased, longest due first, with its lease."""
+    free = F.col("claimed_until").isNull() | (F.col("claimed_until") <= as_of)
+    due = failures.where((F.col("consumer_name") == consumer) & (F.col("status") == "deferred") & (F.col("available_at") <= as_of) & free)
+    return due.orderBy("available_at", "first_failed_at", "event_id").limit(_checked(limit)).withColumn("claimed_until", as_of + F.make_dt_interval(secs=F.lit(lease_seconds)))
+
+
+def fail_again(claimed: DataFrame, results: DataFrame, as_of: Column, max_attempts: int) -> DataFrame:
+    """Leased failures after another failed attempt (``results``: consumer_name, event_id, failure_code, can_retry, retry_after).
+
+    One attempt more; deferred while it may be retried and attempts are left, else quarantined with the reason.
+    """
+    own = claimed.where((F.col("status") == "deferred") & (F.col("claimed_until") > as_of)).drop("failure_code").join(results, ["consumer_name", "event_id"])
+    attempt = F.col("attempt_count") + 1
+    status = F.when(F.col("can_retry") & (attempt < max_attempts), "deferred").otherwise("quarantined")
+    reason = F.concat(F.when(F.col("can_retry"), "attempt_limit_exhausted:").otherwise("terminal:"), F.col("failure_code"))
+    return own.select(
+        "consumer_name", "event_id", status.alias("status"), attempt.alias("attempt_count"), "failure_code", F.col("can_retry").alias("retryable"), (as_of + F.make_dt_interval(secs=F.col("retry_after"))).alias("available_at"),
+        F.when(status == "quarantined", reason).alias("quarantine_reason"), F.when(status == "quarantined", as_of).alias("quarantined_at"),
+    )
+
+
+def replay_failures(requests: DataFrame, failures: DataFrame, live: DataFrame, archived: DataFrame) -> DataFrame:
+    """replay_id and outcome of requests to replay quarantined failures (replay_id, consumer_name, event_id, operator_id, reason).
+
+    A replay's identity is looked up among live and archived actions together: the same request again is a duplicate, another one
+    under the same id conflicts, and one that is in both tables is corrupt.
+    """
+    identity = ["consumer_name", "event_id", "operator_id", "reason"]
+    both = live.select("replay_id", *identity).unionByName(archived.select("replay_id", *identity))
+    known = both.groupBy("replay_id").agg(F.count("*").alias("copies"), *[F.min(c).alias(f"_{c}") for c in identity])
+    held = failures.where("status = 'quarantined'").select("consumer_name", "event_id").distinct().withColumn("_held", F.lit(True))
+    found = requests.join(known, "replay_id", "left").join(held, ["consumer_name", "event_id"], "left")
+    same = F.lit(True)
+    for c in identity:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    outcome = F.when(F.col("copies") > 1, "identity_in_live_and_archive").when(F.col("copies").isNotNull() & ~same, "identity_of_another_request").when(F.col("copies").isNotNull(), "duplicate").when(F.col("_held").isNull(), "not_quarantined").otherwise("replayed")
+    return found.select("replay_id", outcome.alias("outcome"))
+
+
+def consume(deliveries: DataFrame, receipts: DataFrame, failures: DataFrame) -> DataFrame:
+    """``deliveries`` (consumer_name, event_id, malformed (code or null), error (code or null)) with the route each takes:
+    malformed, known_failure, duplicate, captured or applied.  All are acknowledged, once what the route asks for is stored."""
+    key = ["consumer_name", "event_id"]
+    seen = receipts.select(*key).distinct().withColumn("_seen", F.lit(True))
+    failed = failures.select(*key).distinct().withColumn("_failed", F.lit(True))
+    found = deliveries.join(failed, key, "left").join(seen, key, "left")
+    route = F.when(F.col("malformed").isNotNull(), "malformed").when(F.col("_failed"), "known_failure").when(F.col("_seen"), "duplicate").when(F.col("error").isNotNull(), "captured").otherwise("applied")
+    return found.select(*deliveries.columns, route.alias("route"))
+
+
+def retry_cycle(claimed: DataFrame, receipts: DataFrame, errors: DataFrame) -> DataFrame:
+    """Outcome of each claimed failure on its way through the inbox: duplicate (a receipt is there), failed (``errors``) or applied; the
+    first two of these resolve it."""
+    key = ["consumer_name", "event_id"]
+    found = claimed.select(*key).join(receipts.select(*key).distinct().withColumn("_seen", F.lit(True)), key, "left").join(errors.select(*key).distinct().withColumn("_error", F.lit(True)), key, "left")
+    outcome = F.when(F.col("_seen"), "duplicate").when(F.col("_error"), "failed").otherwise("applied")
+    return found.select(*key, outcome.alias("outcome"), (outcome != "failed").alias("resolved"))
+
+
+def enqueue(requests: DataFrame, known: DataFrame) -> DataFrame:
+    """event_id and outcome of requests to enqueue (tenant_id, dedup_key, event_id, payload, requested_at): a key is bound to its payload
+    for good, be it queued, published or archived (``known``: tenant_id, dedup_key, event_id, payload).
+
+    enqueued: the first of its key; duplicate: the same payload again (with the event that has it); conflict: another payload.
+    """
+    payload = F.sha2("payload", 256)
+    first = requests.groupBy("tenant_id", "dedup_key").agg(F.min(F.struct("requested_at", "event_id", payload.alias("payload"))).alias("f"))
+    bound = known.select("tenant_id", "dedup_key", F.col("event_id").alias("k_event"), payload.alias("k_payload"))
+    found = requests.join(first, ["tenant_id", "dedup_key"]).join(bound, ["tenant_id", "dedup_key"], "left")
+    owner, wanted = F.coalesce("k_event", "f.event_id"), F.coalesce("k_payload", "f.payload")
+    outcome = F.when(payload != wanted, "conflict").when(F.col("event_id") == owner, F.when(F.col("k_event").isNull(), "enqueued").otherwise("duplicate")).otherwise("duplicate")
+    return found.select("event_id", outcome.alias("outcome"), F.when(outcome != "conflict", owner).alias("bound_to"))
+
+
+def route_error(subject: Column, header_tenant: Column, envelope_tenant: Column, envelope_type: Column, schema_version: Column, prefix: str, tenant: Column, event_type: Column) -> Column:
+    """Why a delivery isn't of a tenant's route (null: it is): its subject, its header and its envelope must all be exactly the route's."""
+    expected = F.concat_ws(".", F.lit(prefix), F.lit("tenants"), tenant, event_type)
+    return (
+        F.when(~subject.eqNullSafe(expected), "subject_differs")
+        .when(~header_tenant.eqNullSafe(tenant), "header_differs")
+        .when(~schema_version.eqNullSafe(F.lit(2)), "schema_not_routed")
+        .when(~envelope_type.eqNullSafe(event_type), "type_not_authorized")
+        .when(~envelope_tenant.eqNullSafe(tenant), "tenant_outside_route")
+    )
+
+
+def updated(target: DataFrame, changes: DataFrame, *key: str) -> DataFrame:
+    """``target`` with the columns of ``changes`` (one row for each key) in place: what UPDATE ... FROM does, as a new table."""
+    new = [c for c in changes.columns if c not in key]
+    joined = target.join(changes.select(*key, F.struct(*new).alias("_new")), list(key), "left")
+    return joined.select(*[F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in target.columns])
+
+
+def without(target: DataFrame, gone: DataFrame, *key: str) -> DataFrame:
+    """``target`` without the rows that ``gone`` names: what DELETE ... USING does, as a new table."""
+    return target.join(gone.select(*key), list(key), "left_anti")
+
+
 def ordered_ids(rows: DataFrame, at: str, event_id: str, *keys: str) -> DataFrame:
     """Ids of each group in order of time and id."""
     pairs = F.array_sort(F.collect_list(F.struct(at, event_id)))

@@ -6,7 +6,9 @@ prefix is applied, later versions wait in a buffer until the gap is filled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.availability import qty
@@ -98,3 +100,36 @@ def plan_rebuilds(cursors: DataFrame, requests: DataFrame) -> DataFrame:
         .when(~F.col("disposition").isin("require-empty", "supersede-covered-retain-future"), "unknown_disposition")
     )
     return joined.select("position_id", "snapshot_version", "disposition", reason.isNull().alias("accepted"), reason.alias("reason"))
+
+
+#: What makes two bootstrap requests the same; fixed values.
+BOOTSTRAP = ("version", "quantity", "checksum")
+
+
+def bootstrap(requests: DataFrame, cursors: DataFrame, fences: DataFrame) -> DataFrame:
+    """bootstrap_id, position_id and outcome of requests to start a cursor from a snapshot (bootstrap_id, position_id, version, quantity,
+    checksum, requested_at): bootstrapped, duplicate (same id and payload), conflict, fence_active or invalid_snapshot.
+
+    Nothing is overwritten: ``cursors`` (position_id, and bootstrap_id, version, quantity, checksum of the bootstrap, null if there was none)
+    keep what they have.  ``fences``: position_id of active rebuilds.
+    """
+    first = requests.groupBy("position_id").agg(F.min(F.struct("requested_at", "bootstrap_id", *BOOTSTRAP)).alias("f"))
+    known = cursors.select("position_id", F.struct("bootstrap_id", *BOOTSTRAP).alias("k"))
+    found = requests.join(first, "position_id").join(known, "position_id", "left").join(fences.select("position_id").distinct().withColumn("_fenced", F.lit(True)), "position_id", "left")
+
+    def is_that(owner: str) -> Column:
+        return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{owner}.{c}")) for c in ("bootstrap_id", *BOOTSTRAP)))
+
+    created = F.col("k").isNull() & (F.col("requested_at") == F.col("f.requested_at"))
+    same = F.when(F.col("k").isNotNull(), is_that("k")).otherwise(is_that("f"))
+    outcome = F.when((F.col("version") < 1) | (F.col("quantity") < 0), "invalid_snapshot").when(F.col("_fenced"), "fence_active").when(created, "bootstrapped").when(same, "duplicate").otherwise("conflict")
+    return found.select("bootstrap_id", "position_id", outcome.alias("outcome"))
+
+
+def cancel_rebuilds(rebuilds: DataFrame, requests: DataFrame) -> DataFrame:
+    """rebuild_id and outcome of requests to cancel (rebuild_id, cancelled_by, reason) prepared rebuilds (rebuild_id, status, cancelled_by,
+    reason): cancelled, duplicate, conflict (cancelled otherwise), not_prepared or unknown_rebuild."""
+    found = requests.join(rebuilds.select("rebuild_id", "status", F.col("cancelled_by").alias("_by"), F.col("reason").alias("_reason")), "rebuild_id", "left")
+    same = F.col("cancelled_by").eqNullSafe(F.col("_by")) & F.col("reason").eqNullSafe(F.col("_reason"))
+    outcome = F.when(F.col("status").isNull(), "unknown_rebuild").when(F.col("status") == "prepared", "cancelled").when(F.col("status") != "cancelled", "not_prepared").when(same, "duplicate").otherwise("conflict")
+    return found.select("rebuild_id", outcome.alias("outcome"))

@@ -2,44 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import text
 from tallyhouse.operators import availability, control, health, knowledge, ledger, pipeline, projection, quality, replay, telemetry, work
 from tallyhouse.operators.availability import SCOPE, qty
-from tallyhouse.plans.mapping import AS_OF, HOLD_AS_OF, Source, with_relations
+from tallyhouse.plans.mapping import AS_OF, HOLD_AS_OF, Source
+from tallyhouse.registry import ORACLE_SQL, QUERIES, as_of, query
 from tallyhouse.sources import exposition, seed
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(relations: tuple[str, ...] = (), sql: str | None = None, recursive: bool = False) -> Callable:
-    """Register a function of a Source under its name; ``sql`` follows the common table expressions of ``relations``.
-
-    Operators keep decimals; results are compared as doubles, so both engines hand out the same type.
-    """
-
-    def register(f: Callable[[Source], DataFrame]) -> Callable[[Source], DataFrame]:
-        def run(spark: SparkSession, folder: str) -> DataFrame:
-            found = f(Source(spark, folder))
-            return found.withColumns({c: F.col(c).cast("double") for c, kind in found.dtypes if kind.startswith("decimal")})
-
-        QUERIES[f.__name__] = run
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = with_relations(relations, sql, recursive) if relations else sql
-        return f
-
-    return register
-
-
-def as_of(at: str = AS_OF) -> Column:
-    return F.lit(at).cast("timestamp_ntz")
-
-
 SCOPE_SQL = ", ".join(SCOPE)
 SAME_SCOPE = " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in SCOPE)
 ACTIVE = f"h.starts_at <= TS'{HOLD_AS_OF}' AND h.released_at IS NULL AND (h.expires_at IS NULL OR h.expires_at > TS'{HOLD_AS_OF}')"
@@ -394,13 +366,6 @@ def r1_archive_batch(s: Source) -> DataFrame:
     return pipeline.archive(s.relation("outbox"), "published_at", as_of(HOLD_AS_OF), 500, "event_id")[0].select("event_id", "published_at")
 
 
-@query(("failures",), """
-, moved AS (SELECT event_id FROM failures WHERE resolved_at < TS'2024-01-15 00:00:00' ORDER BY resolved_at, event_id LIMIT 300)
-SELECT status, COUNT(*) AS n FROM failures WHERE event_id NOT IN (SELECT event_id FROM moved) GROUP BY status""")
-def r2_failures_left(s: Source) -> DataFrame:
-    return pipeline.archive(s.relation("failures"), "resolved_at", as_of(HOLD_AS_OF), 300, "event_id")[1].groupBy("status").agg(F.count("*").alias("n"))
-
-
 @query(("outbox",), """
 , pairs AS (SELECT event_type, event_id, published_at FROM outbox WHERE published_at < TS'2024-01-15 00:00:00' ORDER BY published_at, event_id LIMIT 500)
 SELECT event_type, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY published_at, event_id) AS ids, COUNT(*) AS n FROM pairs GROUP BY event_type""")
@@ -461,7 +426,8 @@ w AS (SELECT UNNEST([300, 3600, 86400]) AS s), c AS (SELECT s, COUNT(*) FILTER (
 p AS (SELECT MAX(a) FILTER (WHERE s = 300) AS a1, MAX(a) FILTER (WHERE s = 3600) AS a2, MAX(a) FILTER (WHERE s = 86400) AS a3, MAX(l) FILTER (WHERE s = 300) AS l1, MAX(l) FILTER (WHERE s = 3600) AS l2, MAX(l) FILTER (WHERE s = 86400) AS l3 FROM c)
 SELECT COALESCE(a1 >= 14.4 AND a2 >= 14.4, false) AS availability_fast, COALESCE(l1 >= 14.4 AND l2 >= 14.4, false) AS latency_fast, COALESCE(a2 >= 3 AND a3 >= 3, false) AS availability_slow, COALESCE(l2 >= 3 AND l3 >= 3, false) AS latency_slow FROM p""")
 def hp9_burn_alerts(s: Source) -> DataFrame:
-    return health.burn_alerts(telemetry.service_levels(s.relation("outcomes"), as_of(SLI_AT), **SLI))
+    found = health.burn_alerts(telemetry.service_levels(s.relation("outcomes"), as_of(SLI_AT), **SLI))
+    return found.select("availability_fast", "latency_fast", "availability_slow", "latency_slow")
 
 
 @query((), """
@@ -617,12 +583,6 @@ def dq1_findings(s: Source) -> DataFrame:
     )
 
 
-@query((), "SELECT event_type, CAST(SUM(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total, COUNT(*) AS n FROM events GROUP BY event_type")
-def s7_json_fields(s: Source) -> DataFrame:
-    k = F.variant_get(F.try_parse_json("props"), "$.k", "bigint")
-    return s.table("events").groupBy("event_type").agg(F.sum(k).alias("total"), F.count("*").alias("n"))
-
-
 @query((), "SELECT event_id, event_type || '.' || user_id || '.x' AS subject FROM events WHERE event_type = 'click'")
 def f15_subject_filter(s: Source) -> DataFrame:
     rows = s.table("events").select("event_id", F.concat_ws(".", "event_type", F.col("user_id").cast("string"), F.lit("x")).alias("subject"))
@@ -764,23 +724,6 @@ def p4_rebuild_plans(s: Source) -> DataFrame:
     return projection.plan_rebuilds(cursors, requests)
 
 
-@query(("outcomes",), " UNION ALL ".join(
-    f"SELECT '{t.code}' AS code, CASE WHEN {t.column} >= {t.critical} THEN 'critical' ELSE 'warning' END AS severity, COUNT(*) AS n, MAX({t.column}) AS worst FROM outcomes WHERE {t.column} >= {t.warning} GROUP BY ALL" for t in health.CANARY))
-def hp8_canary_alerts(s: Source) -> DataFrame:
-    return health.alert_counts(s.relation("outcomes"), health.CANARY)
-
-
-CONSUMERS = "SELECT user_id AS consumer, COUNT(*) * 11 AS pending, COUNT(*) FILTER (WHERE event_type = 'error') AS redelivered, MAX(value) AS stall_seconds, AVG(value) / 300 AS ack_ratio FROM events GROUP BY user_id"
-
-
-@query((), f"""
-WITH c AS ({CONSUMERS}), u AS ({" UNION ALL ".join(f"SELECT '{t.code}' AS code, CASE WHEN {t.column} >= {t.critical} THEN 'critical' ELSE 'warning' END AS severity, CAST({t.column} AS DOUBLE) AS v FROM c WHERE {t.column} >= {t.warning}" for t in health.CONSUMER)})
-SELECT code, severity, COUNT(*) AS n, round(MAX(v), 9) AS worst FROM u GROUP BY code, severity""")
-def hp5_consumer_alerts(s: Source) -> DataFrame:
-    rows = s.spark.sql(CONSUMERS.replace("FROM events", "FROM {t}"), t=s.table("events"))
-    return health.alert_counts(rows, health.CONSUMER).withColumn("worst", F.round("worst", 9))
-
-
 @query(("poison",), f"""
 , t AS (SELECT consumer_name, COUNT(*) FILTER (WHERE first_seen_at >= TS'{AS_OF}' - INTERVAL '7' DAY AND first_seen_at <= TS'{AS_OF}') AS a, COUNT(*) FILTER (WHERE observation_count > 1 AND last_seen_at >= TS'{AS_OF}' - INTERVAL '7' DAY AND last_seen_at <= TS'{AS_OF}') AS b FROM poison GROUP BY consumer_name),
 x AS (SELECT consumer_name, 'malformed_delivery_recent_records' AS code, CASE WHEN a >= 10 THEN 'critical' ELSE 'warning' END AS severity, a::DOUBLE AS observed, CASE WHEN a >= 10 THEN 10 ELSE 1 END::DOUBLE AS threshold FROM t WHERE a >= 1
@@ -826,3 +769,6 @@ def k6_nested_items(s: Source) -> DataFrame:
     rows = s.table("supplier").join(F.broadcast(s.table("nation")), F.col("n_nationkey") == F.col("s_nationkey"))
     registry = rows.groupBy(F.col("n_name").alias("id")).agg(F.collect_list(F.struct(F.col("s_name").alias("name"), F.col("s_acctbal").alias("value"))).alias("metrics"))
     return knowledge.nested(registry, "metrics", "7", "name").select("record_id", F.col("item.name").alias("metric"), F.col("item.value").alias("value"))
+
+
+from tallyhouse import queries_events, queries_records  # noqa: E402, F401  (they register their queries)
