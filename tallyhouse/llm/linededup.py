@@ -7,17 +7,20 @@ it there; words with a digit are fields that match anything, other places are
 variable.  The constants and their places are the line's template, if they are at
 least ``CONSTANT`` percent of its words without a digit, and at least ``MIN_FIXED``
 where it has words with one.  A template found in ``MIN_DOCS`` different texts
-recurs: its lines are dropped from all documents but the one with the smallest doc_id.
+recurs: its lines are dropped from all texts but that of the document with the smallest
+doc_id.
 
 A line of ``LONG`` words or more is a template of its own too, its whole wording being
 constant: such a passage recurs as soon as two different texts have it.
 
-Exact copies of a document count once, so they aren't taken for boilerplate.  Only
+Exact copies of a document count once, so they aren't taken for boilerplate, and lose or
+keep the same lines, so they stay copies.  Only
 DataFrame functions are used; lines travel as hashes, and only lines of leaves that
 recur are looked at word by word, once for each different line and not for each copy.
 
 Defined results: a null text stays null and has no lines; blank lines (no words) are
-never dropped; a document with a null doc_id counts but never keeps a template;
+never dropped; a document with a null doc_id counts but its text never keeps a template by
+itself (where no bearer has a doc_id, all keep it);
 repeated rows are judged alike; an empty table gives no rows; other columns pass
 ``drop_lines`` and ``keep_distinct`` unchanged.
 """
@@ -80,7 +83,7 @@ def _constants(found: DataFrame, distinct: DataFrame, min_docs: int) -> tuple[Da
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: int = CONSTANT) -> DataFrame:
-    """Lines of recurring templates: doc_id, same, place, template, keeper."""
+    """Lines of recurring templates: doc_id, same, place, template, keeper (the text that keeps it)."""
     shapes = lines_of(docs).select("leaf", "whole", "shape", "same").distinct().groupBy("leaf", "whole", "shape").agg(F.count("*").alias("texts"))
     shapes = stored(shapes, "line-shapes")
     leaves = shapes.where("not whole").groupBy("leaf").agg(F.sum("texts").alias("n")).where(F.col("n") >= min_docs).select("leaf")
@@ -100,13 +103,15 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: int = CONSTAN
     whole = found.where("whole").select("doc_id", "same", "place", F.xxhash64("leaf", "shape").alias("template"))
     matched = stored(matched.withColumn("least", F.lit(min_docs)).unionByName(whole.withColumn("least", F.lit(MIN_LONG))), "line-matched")
     texts = matched.select("template", "same", "least").distinct().groupBy("template").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least")
-    keepers = stored(matched.groupBy("template").agg(F.min("doc_id").alias("keeper")).join(texts.select("template"), "template"), "line-keepers")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "same")))
+    keepers = matched.groupBy("template").agg(first.alias("first")).select("template", F.col("first.same").alias("keeper"))
+    keepers = stored(keepers.join(texts.select("template"), "template"), "line-keepers")
     return matched.drop("least").join(small(keepers), "template")
 
 
 def _left(docs: DataFrame, min_docs: int, constant: int) -> DataFrame:
     """row (all of the document's columns), left (its text without the lines that went) and gone (their places)."""
-    away = recurring(docs, min_docs, constant).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    away = recurring(docs, min_docs, constant).where("same <> keeper")
     away = stored(away.groupBy(F.col("doc_id").alias("id"), "same").agg(F.sort_array(F.collect_set("place")).alias("gone")), "line-gone")
     own = docs.select(F.struct("*").alias("row"), "doc_id", "text")
     joined = own.join(small(away, row_bytes=128), F.col("doc_id").eqNullSafe(F.col("id")) & (text_key() == F.col("same")), "left")
@@ -152,8 +157,8 @@ templates AS (
 matched AS MATERIALIZED (
   SELECT l.row, l.doc_id, l.text, l.place, t.template, {min_docs} AS least FROM lines l JOIN templates t ON t.leaf = l.leaf AND t.shape = l.shape
   UNION ALL SELECT row, doc_id, text, place, 'whole ' || wording, {MIN_LONG} FROM lines WHERE len(plain) >= {LONG}),
-known AS (SELECT template, min(doc_id) AS keeper FROM matched GROUP BY template HAVING count(DISTINCT text) >= max(least)),
-gone AS (SELECT DISTINCT m.row, m.place FROM matched m JOIN known k ON k.template = m.template WHERE m.doc_id IS DISTINCT FROM k.keeper),
+known AS (SELECT template, arg_min(text, doc_id) AS keeper FROM matched GROUP BY template HAVING count(DISTINCT text) >= max(least)),
+gone AS (SELECT DISTINCT m.row, m.place FROM matched m JOIN known k ON k.template = m.template WHERE m.text <> k.keeper),
 told AS (
   SELECT s.row, count(*) AS n_lines, count(g.place) AS n_dropped, coalesce(string_agg(s.line, chr(10) ORDER BY s.place) FILTER (WHERE g.place IS NULL), '') AS left_text
   FROM split s LEFT JOIN gone g ON g.row = s.row AND g.place = s.place GROUP BY s.row)

@@ -474,6 +474,8 @@ def test_recurring_templates_go_but_one(docs):
     assert "Order 0" in left[0]["text"] and left[0]["dropped"] == []
     assert all("Order" not in left[i]["text"] and left[i]["dropped"] == [1] and left[i]["text"].count("\n") == 1 for i in range(1, 12))
     assert all(left[100 + i]["dropped"] == [] for i in range(20))
+    copies = {r["doc_id"]: r["dropped"] for r in linededup.drop_lines(docs([*rows, (50, rows[0][1]), (51, rows[3][1])])).collect()}
+    assert copies[50] == copies[0] == [] and copies[51] == copies[3] == [1]  # copies stay copies
 
 
 def test_a_text_counts_once_however_often_it_has_a_template(docs):
