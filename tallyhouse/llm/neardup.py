@@ -280,10 +280,10 @@ def _units(members: DataFrame) -> DataFrame:
     sizes = cluster.groupBy("cluster").agg(F.count("*").cast("double").alias("sets"))
     inside = first.join(cluster, first["least"] == cluster["set"]).groupBy("cluster").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
     whole = sizes.join(inside, "cluster").select("cluster", (F.col("sets") * F.col("sets") <= F.col("pairs")).alias("whole"))
-    placed = members.join(cluster, "set").join(whole, "cluster")
+    placed = members.join(cluster, "set").join(small(stored(whole, "near-whole")), "cluster")
     placed = stored(placed.select(F.when(F.col("whole"), F.hex("cluster")).otherwise(F.col("bucket").cast("string")).alias("unit"), "set", "component").distinct(), "near-units")
     counts = placed.groupBy("unit", "component").agg(F.count("*").alias("n")).groupBy("unit").agg(F.max(F.struct("n", "component")).alias("most"))
-    return placed.join(counts, "unit").select("unit", "set", "component", (F.col("component") == F.col("most.component")).alias("bulk"))
+    return placed.join(small(stored(counts, "near-bulk")), "unit").select("unit", "set", "component", (F.col("component") == F.col("most.component")).alias("bulk"))
 
 
 def across(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
@@ -300,7 +300,7 @@ def across(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     block = F.when(F.col("bulk"), F.pmod(h, F.col("bulks"))).otherwise(F.col("bulks") + F.pmod(h, F.col("others"))).cast("int")
     others = F.sequence(F.col("bulks"), F.col("bulks") + F.col("others") - 1)
     every = F.when(F.col("bulk"), others).otherwise(F.sequence(F.lit(0), F.col("bulks") + F.col("others") - 1))
-    dealt = own.join(blocks, "unit").withColumn("block", block).withColumn("other", F.explode(every)).join(texts, "set")
+    dealt = own.join(small(stored(blocks, "near-blocks")), "unit").withColumn("block", block).withColumn("other", F.explode(every)).join(texts, "set")
     dealt = dealt.select("unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set", "component", "text")
 
     def compare(table: pa.Table) -> pa.Table:
