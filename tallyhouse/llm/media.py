@@ -10,7 +10,9 @@ counters, reassembles the PES packets and collects timestamps.
 
 Defined results: a null text is empty; a payload is padded with spaces to a
 positive multiple of 192 bytes; a stream that breaks the format has the reason
-in ``error`` and a null payload; equal texts give equal bytes.
+in ``error`` and a null payload; equal texts give equal bytes; of several programs the one
+with the lowest number is read, and of it the first stream; repeated rows each get a row;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -176,6 +176,8 @@ def test_listed_urls_come_from_thin_pages_and_catch_other_spellings(spark):
         found = urls.filter_urls(pages, listed, [], max_broadcast_bytes=most)
         assert {r["page_id"] for r in found.where("listed and verdict = 'block'").collect()} == {1, 2} and found.count() == len(rows)
     assert urls.filter_urls(pages, urls.thin_urls(pages, 1), []).where("listed").count() == 0
+    long_url = spark.createDataFrame([(1, "https://a.org/" + "p" * 300_000 + "/?" + "&".join(f"k{i}=1" for i in range(20_000)), short)], "page_id int, url string, html string")
+    assert urls.filter_urls(long_url, urls.thin_urls(long_url, 40), []).first()["verdict"] == "block"
 
 
 def test_exact_join_removes_what_the_filter_lets_through(spark):
@@ -212,6 +214,8 @@ def test_transport_stream_round_trip_and_damage():
 
 
 def test_media_edge_rows(docs):
+    wide = media.media_of(docs([(1, "a", 5, None), (1, "a", 6, None)], ", media int, stream string")).collect()
+    assert len(wide) == 2 and wide[0]["media"] == wide[1]["media"] and wide[0]["stream"]["error"] is None
     found = media.media_of(docs(ODD)).select("doc_id", "stream.error", F.length("stream.payload").alias("n")).collect()
     assert all(r["error"] is None and r["n"] % 192 == 0 and r["n"] for r in found)
     assert media.media_of(docs([])).count() == 0
@@ -226,6 +230,8 @@ def test_scores_of_edge_rows(docs):
     assert {r["n_tokens"] for r in found if r["doc_id"] in (1, 2, 3)} == {1}
     a, b = [r for r in found if r["doc_id"] == 4]
     assert a == b
+    wide = lm.score(docs([(1, "a b", 5, 6, "x")], ", block int, fold int, score string")).first()
+    assert wide["n_tokens"] == 3 and isinstance(wide["score"], float)
     assert lm.score(docs([])).count() == 0
 
 
@@ -285,6 +291,16 @@ def test_chat_survives_conflicts_and_nulls(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id int, turn int, role string, text string")).count() == 0
 
 
+def test_chat_with_very_long_texts_and_clashing_columns(spark):
+    texts = ["<|im_end|>" * 20_000, "x" * 500_000, "\n" * 1000 + "<\\|im_start|>"]
+    rows = [(1, i, "assistant", t, 7, "f", None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, out int, formatted string, loss_spans string")
+    made = chat.format_conversations(df)
+    assert made.columns == ["conv_id", "formatted", "loss_spans"]
+    assert [t["text"] for t in made.withColumn("back", chat.parse(F.col("formatted"))).first()["back"]] == texts
+    assert chat.read_back(made).first()["loss_chars"] == sum(map(len, texts))
+
+
 # ---- quality ----------------------------------------------------------------------------------
 
 
@@ -307,6 +323,9 @@ def test_quality_edge_rows(spark, docs):
     assert len(found) == len(ODD) and all(r["base_failed"] and not r["kept"] for r in found)
     assert quality.keep_good(docs([(1, " ".join(f"w{i}" for i in range(40)))]), labels.limit(0)).count() == 1
     assert quality.keep_good(df, labels).columns == ["doc_id", "text", "stats"]
+    varied = " ".join(f"w{i}" for i in range(60_000))  # long, without repeated windows, then with one at its end
+    counts = {r["doc_id"]: r["stats"]["n_repeat_words"] for r in quality.statistics(docs([(1, varied), (2, varied + " w0 w1 w2 w3 w4")])).collect()}
+    assert counts == {1: 0, 2: 10}
 
 
 # ---- BPE --------------------------------------------------------------------------------------

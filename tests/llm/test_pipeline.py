@@ -1,28 +1,35 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallyhouse.llm import common, linededup, pii
+from tallyhouse.llm import common, pii
+from tests.llm import brute
 from tests.llm.test_queries import near_by_brute_force
 from tests.oracle import FOLDER
 
 
-def test_stages_against_brute_force(spark):
+def test_run_equals_brute_force(spark):
+    """The rows of run() against a plain Python version of all stages, one after the other; its model decodes every window."""
     docs = common.table(spark, FOLDER, "documents")
-    columns = docs.columns
-    kept = [docs]
-    for name, stage in corpus_pipeline.STAGES:
-        kept.append(common.stored(stage(spark, kept[-1], FOLDER), name))
-    assert all(d.columns == columns for d in kept[1:-1])
-    quality, lines, near, private, packed = [{r["doc_id"]: r for r in d.collect()} for d in kept[1:]]
-    judged = {r["doc_id"] for r in corpus_pipeline.quality.judge(docs.select("doc_id", "text"), common.table(spark, FOLDER, "labels")).where("kept").collect()}
-    assert set(quality) == judged
-    dropped = {r["doc_id"]: r["text"] for r in linededup.drop_lines(kept[1]).collect()}
-    assert {i: r["text"] for i, r in lines.items()} == {i: t for i, t in dropped.items() if t == quality[i]["text"] or t.strip()}
-    expected = near_by_brute_force({i: r["text"] for i, r in lines.items()})
-    assert set(near) == {i for i, (_, c) in expected.items() if i == c}
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    rules = brute.rules_of(spark, FOLDER)
+    good = {i: t for i, t in texts.items() if brute.is_kept(t, rules)}
+    lines = {i: t for i, t in brute.lines_left(good).items() if t == good[i] or brute.words(t)}
+    near = {i: lines[i] for i, (_, c) in near_by_brute_force(lines).items() if i == c}
     model = pii.default_model()
-    assert all(r["text"] == pii.masked(near[i]["text"], pii.find_spans([near[i]["text"]], model)[0][1]) and r["n_chars"] == len(r["text"]) for i, r in private.items())
-    assert set(packed) == set(private) and all(r["batch"] >= 0 for r in packed.values())
+    private = {i: pii.masked(t, pii.find_spans([t], model)[0][1]) for i, t in near.items()}
+    assert len(texts) > len(good) > len(near) and any(good[i] != lines[i] for i in lines) and private != near
+    expected = brute.packed(private)
+    found = corpus_pipeline.run(spark, FOLDER)
+    assert found.columns == [*docs.columns, "n_tokens", "bucket", "padded_tokens", "batch", "slot"]
+    rows = {r["doc_id"]: r for r in found.collect()}
+    assert {i: r["text"] for i, r in rows.items()} == private and all(r["n_chars"] == len(r["text"]) for r in rows.values())
+    assert {i: (r["n_tokens"], r["bucket"], r["padded_tokens"], r["batch"], r["slot"]) for i, r in rows.items()} == expected
+
+
+def test_stages_keep_the_columns_of_documents(spark):
+    docs = common.table(spark, FOLDER, "documents").where("doc_id % 10 = 0")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, FOLDER).columns == docs.columns
 
 
 def test_run_with_nulls_and_extra_columns(spark, tmp_path):

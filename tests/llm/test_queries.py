@@ -8,6 +8,7 @@ import pytest
 
 from tallyhouse.llm import common
 from tallyhouse.llm.queries import ORACLE_SQL, QUERIES
+from tests.llm import brute
 from tests.oracle import FOLDER, check
 
 SPLIT = re.compile(r"[\x20\x09-\x0D]+")
@@ -61,6 +62,19 @@ def test_op4_round_trip(spark):
         assert r["media_bytes"] % 188 == 0 and "cc_errors=0" in r["feature"]
 
 
+def test_op4_media_by_a_plain_reader(spark):
+    from tallyhouse.llm import media
+
+    found = {r["doc_id"]: r for r in QUERIES["op4_media_ts"](spark, FOLDER).collect()}
+    docs = common.table(spark, FOLDER, "documents").select("doc_id", "text")
+    for r in media.media_of(docs).select("doc_id", "text", "media").collect():
+        stored, told = found[r["doc_id"]], bytes(r["media"])
+        raw = r["text"].encode()
+        payload, feature = brute.stream_of(told)
+        assert payload == raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        assert (stored["media_bytes"], stored["media_sha256"], stored["feature"]) == (len(told), sha(told), feature)
+
+
 def test_op5_base_scores(spark):
     texts = {i: [*words(t, True), "\0"] for i, t in documents(spark).items()}
     train = Counter(w for i, ws in texts.items() if zlib.crc32(str(i).encode()) % 10 for w in ws)
@@ -91,6 +105,20 @@ def test_op7_counts(spark):
         assert not (r["kept"] and r["base_failed"])
 
 
+def test_op7_verdicts_are_those_of_the_rules(spark):
+    rules = brute.rules_of(spark, FOLDER)
+    texts = documents(spark)
+    found = {r["doc_id"]: r["kept"] for r in QUERIES["op7_quality_rules"](spark, FOLDER).collect()}
+    assert rules and found == {i: brute.is_kept(t, rules) for i, t in texts.items()}
+
+
+def test_op10_equals_brute_force(spark):
+    texts = documents(spark)
+    left = brute.lines_left(texts)
+    found = {r["doc_id"]: (r["n_dropped"], r["text_sha256"]) for r in QUERIES["op10_line_dedup"](spark, FOLDER).collect()}
+    assert found == {i: ((texts[i] or "").count("\n") - (left[i] or "").count("\n") if left[i] or not texts[i] else found[i][0], sha(left[i] or "")) for i in texts}
+
+
 def test_op8_equals_the_library(spark):
     import base64
 
