@@ -43,6 +43,15 @@ def idempotent(commands: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
     return first, conflicts
 
 
+def replays(commands: DataFrame, *key: str) -> DataFrame:
+    """``commands`` with outcome (applied for the first of a key, replayed for the same request again, conflict for another one) and the id
+    that the key belongs to."""
+    first = commands.groupBy(*key).agg(F.min(F.struct("recorded_at", "id", "fingerprint")).alias("_f"))
+    found = commands.join(first, list(key))
+    outcome = F.when(F.col("id") == F.col("_f.id"), "applied").when(F.col("fingerprint") == F.col("_f.fingerprint"), "replayed").otherwise("conflict")
+    return found.select(*commands.columns, outcome.alias("outcome"), F.when(outcome != "conflict", F.col("_f.id")).alias("belongs_to"))
+
+
 def fingerprint(kind: str, *columns: str) -> Column:
     """SHA-256 of a request's parts; a null part is ``-``."""
     return F.sha2(F.concat_ws(":", F.lit(kind), *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]), 256)

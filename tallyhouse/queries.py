@@ -94,7 +94,7 @@ def l12_count_variance(s: Source) -> DataFrame:
 COMMANDS = "SELECT o_custkey % 50 AS tenant_id, concat('k', CAST(o_custkey % 400 AS VARCHAR(20))) AS idempotency_key, o_orderkey AS id, o_orderdate AS recorded_at, CAST(o_custkey % 3 AS VARCHAR(20)) AS kind, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderstatus END AS detail FROM orders"
 
 
-def _commands(s: Source) -> DataFrame:
+def commands(s: Source) -> DataFrame:
     rows = s.spark.sql(COMMANDS.replace("VARCHAR(20)", "STRING").replace("FROM orders", "FROM {t}"), t=s.table("orders"))
     return rows.withColumn("fingerprint", ledger.fingerprint("command", "kind", "detail"))
 
@@ -103,12 +103,12 @@ def _commands(s: Source) -> DataFrame:
 WITH c AS (SELECT *, sha256('command:' || kind || ':' || COALESCE(detail, '-')) AS fingerprint FROM ({COMMANDS}))
 SELECT tenant_id, idempotency_key, id, fingerprint FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY tenant_id, idempotency_key ORDER BY recorded_at, id) AS n FROM c) WHERE n = 1""")
 def i1_first_commands(s: Source) -> DataFrame:
-    return ledger.idempotent(_commands(s), "tenant_id", "idempotency_key")[0].select("tenant_id", "idempotency_key", "id", "fingerprint")
+    return ledger.idempotent(commands(s), "tenant_id", "idempotency_key")[0].select("tenant_id", "idempotency_key", "id", "fingerprint")
 
 
 @query((), f"SELECT tenant_id, idempotency_key, COUNT(DISTINCT concat(kind, ':', COALESCE(detail, '-'))) AS fingerprints FROM ({COMMANDS}) GROUP BY ALL HAVING COUNT(DISTINCT concat(kind, ':', COALESCE(detail, '-'))) > 1")
 def i1_idempotency_conflicts(s: Source) -> DataFrame:
-    return ledger.idempotent(_commands(s), "tenant_id", "idempotency_key")[1]
+    return ledger.idempotent(commands(s), "tenant_id", "idempotency_key")[1]
 
 
 @query(("handling_units",), """

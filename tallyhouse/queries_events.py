@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import text
-from tallyhouse.operators import availability, control, health, ledger, pipeline, projection, telemetry
+from tallyhouse.operators import availability, commitments, control, health, ledger, pipeline, projection, telemetry, work
 from tallyhouse.operators.availability import SCOPE
-from tallyhouse.plans.mapping import AS_OF, HOLD_AS_OF, Source
-from tallyhouse.queries import CURSOR_SQL, SLI
+from tallyhouse.plans.mapping import AS_OF, HOLD_AS_OF, Source, dialect
+from tallyhouse.queries import COMMANDS, CURSOR_SQL, SLI, commands
 from tallyhouse.registry import as_of, made, query
 from tallyhouse.sources import exposition, records
 from tallyhouse.storage import shared_folder, stored
@@ -334,6 +334,138 @@ def h6_ineligible_allocations(s: Source) -> DataFrame:
     return ledger.ineligible_allocations(changes, known)
 
 
+# ---- commitments --------------------------------------------------------------------------------------
+
+SCOPE_LIST = ", ".join(SCOPE)
+SAME = " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in SCOPE)
+#: Made of positions, in both engines: what a scope has available, reservations and allocations.
+AVAILABLE = f"SELECT {SCOPE_LIST}, CAST(SUM(physical_qty - allocated_qty - reserved_qty) AS DECIMAL(24,6)) AS available_qty FROM positions WHERE item_id % 8 <> 7 GROUP BY {SCOPE_LIST}"
+RESERVED = f"SELECT concat('r-', position_id) AS reservation_id, {', '.join(k for k in SCOPE if k != 'owner_id')}, CASE WHEN item_id % 7 = 0 THEN owner_id + 1 ELSE owner_id END AS owner_id, CASE WHEN item_id % 11 = 0 THEN 0 ELSE item_id END AS demand_id, CAST(30 + item_id % 9 AS DECIMAL(24,6)) AS quantity, CAST(item_id % 6 AS DECIMAL(24,6)) AS allocated_qty, CAST(item_id % 4 AS DECIMAL(24,6)) AS consumed_qty, CAST(item_id % 3 AS DECIMAL(24,6)) AS released_qty, CASE WHEN item_id % 10 = 1 THEN TS'2024-01-05 00:00:00' END AS released_at FROM positions"
+ALLOCATED = "SELECT concat('a-', position_id) AS allocation_id, position_id, CASE WHEN item_id % 3 = 1 THEN concat('r-', position_id) END AS reservation_id, allocated_qty AS quantity, CAST(FLOOR(allocated_qty / 4) AS DECIMAL(24,6)) AS consumed_qty, CAST(CASE WHEN item_id % 13 = 2 THEN allocated_qty - FLOOR(allocated_qty / 4) ELSE 0 END AS DECIMAL(24,6)) AS released_qty, CASE WHEN item_id % 9 = 0 THEN TS'2024-01-06 00:00:00' END AS released_at FROM positions WHERE allocated_qty > 0"
+
+
+def _of_positions(s: Source, sql: str) -> DataFrame:
+    return s.spark.sql(dialect(sql.replace("FROM positions", "FROM {positions}"), True), positions=s.share("positions").relation("positions"))
+
+
+@query(("positions",), f"""
+, b AS ({AVAILABLE}), a AS (SELECT DISTINCT {SCOPE_LIST}, CAST(item_id % 60 AS DECIMAL(24,6)) AS quantity FROM positions)
+SELECT concat({", '/', ".join(f"COALESCE(CAST(a.{k} AS VARCHAR), '-')" for k in SCOPE)}) AS reservation_id, CASE WHEN COALESCE(b.available_qty, 0) < a.quantity THEN 'exceeds_scope_availability' END AS reason FROM a LEFT JOIN b ON {SAME}""")
+def l6_reservations(s: Source) -> DataFrame:
+    available = _of_positions(s, AVAILABLE)
+    requests = s.relation("positions").select(*SCOPE, (F.col("item_id") % 60).cast("decimal(24,6)").alias("quantity")).distinct()
+    name = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in SCOPE])
+    return commitments.judge_reservations(requests.withColumn("reservation_id", name), available)
+
+
+@query(("positions",), f"""
+, r AS ({RESERVED}), q AS (SELECT 'r-' || position_id AS reservation_id FROM positions WHERE location_id % 2 = 0 UNION ALL SELECT 'nowhere')
+SELECT q.reservation_id, CASE WHEN r.quantity IS NULL THEN 'unknown_reservation' WHEN released_at IS NOT NULL THEN 'already_released' END AS reason, CASE WHEN r.quantity IS NOT NULL AND released_at IS NULL THEN CAST(quantity - allocated_qty - consumed_qty AS DOUBLE) END AS released_qty FROM q LEFT JOIN r USING (reservation_id)""")
+def l7_reservation_releases(s: Source) -> DataFrame:
+    reservations = _of_positions(s, RESERVED)
+    requests = s.relation("positions").where("location_id % 2 = 0").select(F.concat(F.lit("r-"), "position_id").alias("reservation_id")).unionByName(s.spark.sql("SELECT 'nowhere' AS reservation_id"))
+    return commitments.release_reservations(requests, reservations)
+
+
+@query(("positions",), f"""
+, v AS ({AVAILABLE}), r AS ({RESERVED}), q AS (SELECT 'n-' || position_id AS allocation_id, position_id, CASE item_id % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 'r-' || position_id ELSE CASE WHEN location_id % 5 = 0 THEN 'r-none' ELSE 'r-' || position_id END END AS reservation_id, item_id AS demand_id, CAST(item_id % 35 AS DECIMAL(24,6)) AS quantity FROM positions UNION ALL SELECT 'lost', 'nowhere', NULL, 1, 1),
+j AS (SELECT q.*, p.position_id IS NULL AS no_p, r.reservation_id IS NULL AS no_r, r.released_at AS ended, r.demand_id IS DISTINCT FROM q.demand_id OR {" OR ".join(f"r.{k} IS DISTINCT FROM p.{k}" for k in SCOPE)} AS differs, r.quantity - r.allocated_qty - r.consumed_qty - r.released_qty AS held, p.physical_qty - p.allocated_qty - p.reserved_qty AS free, COALESCE(v.available_qty, 0) AS available
+  FROM q LEFT JOIN positions p USING (position_id) LEFT JOIN r USING (reservation_id) LEFT JOIN v ON {" AND ".join(f"v.{k} IS NOT DISTINCT FROM p.{k}" for k in SCOPE)}),
+k AS (SELECT *, CASE WHEN no_p THEN 'unknown_position' WHEN reservation_id IS NOT NULL AND no_r THEN 'unknown_reservation' WHEN reservation_id IS NOT NULL AND ended IS NOT NULL THEN 'reservation_released' WHEN reservation_id IS NOT NULL AND differs THEN 'reservation_does_not_match'
+  WHEN reservation_id IS NOT NULL AND held < quantity THEN 'exceeds_reservation' WHEN free < quantity THEN 'exceeds_free_quantity' WHEN reservation_id IS NULL AND available < quantity THEN 'consumes_reserved_capacity' END AS reason FROM j)
+SELECT allocation_id, reason, CASE WHEN reason IS NULL THEN CAST(quantity AS DOUBLE) END AS allocated_delta FROM k""")
+def l8_allocations(s: Source) -> DataFrame:
+    reservations, available = _of_positions(s, RESERVED), _of_positions(s, AVAILABLE)
+    n = F.col("item_id") % 4
+    own = F.concat(F.lit("r-"), "position_id")
+    given = F.when(n == 2, own).when(n == 3, F.when(F.col("location_id") % 5 == 0, "r-none").otherwise(own))
+    requests = s.relation("positions").select(F.concat(F.lit("n-"), "position_id").alias("allocation_id"), "position_id", given.alias("reservation_id"), F.col("item_id").alias("demand_id"), (F.col("item_id") % 35).cast("decimal(24,6)").alias("quantity"))
+    lost = s.spark.sql("SELECT 'lost' AS allocation_id, 'nowhere' AS position_id, CAST(NULL AS STRING) AS reservation_id, 1L AS demand_id, CAST(1 AS DECIMAL(24,6)) AS quantity")
+    return commitments.judge_allocations(requests.unionByName(lost), s.relation("positions"), reservations, available)
+
+
+@query(("positions",), f"""
+, r AS ({RESERVED}), a AS ({ALLOCATED}), q AS (SELECT 'a-' || position_id AS allocation_id FROM positions), j AS (SELECT q.allocation_id, a.position_id, a.reservation_id, r.released_at IS NOT NULL AS over, a.quantity - a.consumed_qty - a.released_qty AS l, CASE WHEN a.quantity IS NULL THEN 'unknown_allocation' WHEN a.released_at IS NOT NULL THEN 'already_released' WHEN a.quantity - a.consumed_qty - a.released_qty <= 0 THEN 'nothing_remains' END AS reason
+  FROM q LEFT JOIN a USING (allocation_id) LEFT JOIN r ON r.reservation_id = a.reservation_id)
+SELECT allocation_id, reason, position_id, CASE WHEN reason IS NULL THEN CAST(-l AS DOUBLE) END AS allocated_delta, CASE WHEN reason IS NULL THEN CASE WHEN reservation_id IS NOT NULL THEN CAST(-l AS DOUBLE) ELSE 0 END END AS reservation_allocated_delta, CASE WHEN reason IS NULL THEN CASE WHEN reservation_id IS NOT NULL AND over THEN CAST(l AS DOUBLE) ELSE 0 END END AS reservation_released_delta FROM j""")
+def l9_allocation_releases(s: Source) -> DataFrame:
+    reservations, allocations = _of_positions(s, RESERVED), _of_positions(s, ALLOCATED)
+    return commitments.release_allocations(s.relation("positions").select(F.concat(F.lit("a-"), "position_id").alias("allocation_id")), allocations, reservations)
+
+
+@query(("positions",), f"""
+, a AS ({ALLOCATED}), n AS (SELECT position_id, LEAD(position_id) OVER (PARTITION BY {SCOPE_LIST} ORDER BY position_id) AS target_id FROM positions), q AS (SELECT 'p-' || a.allocation_id AS pick_id, a.allocation_id, COALESCE(n.target_id, CASE WHEN p.item_id % 2 = 0 THEN 'nowhere' ELSE p.position_id END) AS target_id, CAST(1 + p.item_id % 12 AS DECIMAL(24,6)) AS quantity FROM a JOIN positions p USING (position_id) JOIN n USING (position_id)),
+j AS (SELECT q.*, a.position_id AS source_id, CASE WHEN a.released_at IS NOT NULL THEN 'allocation_released' WHEN a.quantity - a.consumed_qty - a.released_qty < q.quantity THEN 'exceeds_allocation' WHEN t.position_id IS NULL THEN 'unknown_position' WHEN {" OR ".join(f"p.{k} IS DISTINCT FROM t.{k}" for k in SCOPE)} THEN 'other_stock_identity'
+  WHEN p.item_id % 14 = 5 OR p.item_id % 6 = 4 OR t.item_id % 6 = 4 THEN 'not_eligible' WHEN p.allocated_qty < q.quantity OR p.physical_qty < q.quantity THEN 'source_cannot_satisfy' WHEN p.physical_qty - q.quantity < GREATEST(p.reserved_qty, p.allocated_qty - q.quantity) THEN 'strands_commitments' END AS reason
+  FROM q JOIN a USING (allocation_id) JOIN positions p ON p.position_id = a.position_id LEFT JOIN positions t ON t.position_id = q.target_id)
+SELECT pick_id, reason, source_id AS position_id, CASE WHEN reason IS NULL THEN CAST(-quantity AS DOUBLE) END AS physical_delta, CASE WHEN reason IS NULL THEN CAST(-quantity AS DOUBLE) END AS allocated_delta FROM j UNION ALL SELECT pick_id, reason, target_id, CAST(quantity AS DOUBLE), 0 FROM j WHERE reason IS NULL""")
+def l11_picks(s: Source) -> DataFrame:
+    from pyspark.sql import Window
+
+    allocations = _of_positions(s, ALLOCATED)
+    n = F.col("item_id")
+    known = s.relation("positions").withColumn("picking", n % 14 != 5).withColumn("movement", n % 6 != 4)
+    after = F.lead("position_id").over(Window.partitionBy(*SCOPE).orderBy("position_id"))
+    targets = s.relation("positions").select("position_id", "item_id", after.alias("after")).select("position_id", F.coalesce("after", F.when(n % 2 == 0, "nowhere").otherwise(F.col("position_id"))).alias("target_id"), (1 + n % 12).cast("decimal(24,6)").alias("q"))
+    requests = allocations.join(targets, "position_id").select(F.concat(F.lit("p-"), "allocation_id").alias("pick_id"), "allocation_id", "target_id", F.col("q").alias("quantity"))
+    judged = stored(commitments.judge_picks(requests, allocations, known), "picks")
+    none = F.lit(None).cast("decimal(24,6)")
+    refused = judged.where("reason is not null").select("pick_id", F.col("source_id").alias("position_id"), none.alias("physical_delta"), none.alias("allocated_delta"), "reason")
+    return commitments.pick_legs(judged).withColumn("reason", F.lit(None).cast("string")).unionByName(refused)
+
+
+# ---- work commands --------------------------------------------------------------------------------------
+
+WORKS = "SELECT o_orderkey AS work_id, CASE o_orderkey % 7 WHEN 0 THEN 'planned' WHEN 1 THEN 'released' WHEN 2 THEN 'assigned' WHEN 3 THEN 'in_progress' WHEN 4 THEN 'exception' WHEN 5 THEN 'completed' ELSE 'planned' END AS state FROM orders"
+TASKS = """SELECT l_orderkey AS work_id, l_linenumber AS sequence, l_orderkey * 10 + l_linenumber AS task_id, l_linenumber % 2 = 0 AS needs_ref,
+  CASE WHEN l_orderkey % 7 IN (0, 1) THEN 'pending' WHEN l_orderkey % 7 = 6 THEN CASE WHEN l_linenumber = 2 THEN 'ready' ELSE 'pending' END ELSE CASE (l_orderkey + l_linenumber) % 5 WHEN 0 THEN 'completed' WHEN 1 THEN 'ready' WHEN 2 THEN 'in_progress' WHEN 3 THEN 'exception' ELSE 'pending' END END AS state
+FROM lineitem GROUP BY l_orderkey, l_linenumber"""
+ASSIGNED = "SELECT o_orderkey AS work_id, o_custkey % 4 AS resource_id, CASE WHEN o_orderkey % 11 = 0 THEN 'released' ELSE 'active' END AS state FROM orders WHERE o_orderkey % 7 IN (2, 3, 4)"
+EXECUTED = "SELECT l_orderkey * 10 + l_linenumber AS task_id, o_custkey % 4 AS resource_id, CASE WHEN (l_orderkey + l_linenumber) % 5 = 2 THEN 'in_progress' ELSE 'blocked' END AS state FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE (l_orderkey + l_linenumber) % 5 IN (2, 3) AND l_orderkey % 13 <> 0 GROUP BY l_orderkey, l_linenumber, o_custkey"
+ORDERED = "SELECT o_orderkey * 100 + n AS command_id, CASE n % 8 WHEN 0 THEN 'release' WHEN 1 THEN 'claim' WHEN 2 THEN 'start' WHEN 3 THEN 'confirm' WHEN 4 THEN 'raise' WHEN 5 THEN 'resume' WHEN 6 THEN 'cancel' ELSE 'start' END AS command, o_orderkey AS work_id, o_orderkey * 10 + CASE WHEN n > 2 THEN n - 2 ELSE 1 END AS task_id, CASE WHEN n % 8 = 7 THEN 9 ELSE o_custkey % 4 END AS resource_id, CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE 'ref' END AS domain_ref FROM orders CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) v(n)"
+JUDGED_WORK = f"""
+c AS ({ORDERED}), w AS ({WORKS}), t AS ({TASKS}), s AS (SELECT work_id, MIN(resource_id) AS who FROM ({ASSIGNED}) WHERE state = 'active' GROUP BY work_id), x AS (SELECT task_id, min({{'s': state, 'r': resource_id}}) AS run FROM ({EXECUTED}) GROUP BY task_id),
+g AS (SELECT work_id, bool_and(state = 'pending') AS fresh, bool_or(state IN ('in_progress', 'exception', 'completed')) AS began, min({{'q': sequence, 'i': task_id}}).i AS first, MIN(sequence) FILTER (WHERE state NOT IN ('completed', 'cancelled')) AS open FROM t GROUP BY work_id),
+n AS (SELECT a.task_id, min({{'q': b.sequence, 'i': b.task_id, 's': b.state}}) AS nx FROM t a JOIN t b ON b.work_id = a.work_id AND b.sequence > a.sequence AND b.state NOT IN ('completed', 'cancelled') GROUP BY a.task_id),
+k AS (SELECT c.*, w.state AS ws, t.state AS ts, t.sequence, t.needs_ref, g.fresh, g.began, g.first, g.open, s.who, x.run, n.nx, COALESCE(x.run.s = 'in_progress' AND x.run.r = c.resource_id AND s.who = c.resource_id, false) AS mine
+  FROM c LEFT JOIN w USING (work_id) LEFT JOIN t ON t.task_id = c.task_id LEFT JOIN g ON g.work_id = c.work_id LEFT JOIN s ON s.work_id = c.work_id LEFT JOIN x ON x.task_id = c.task_id LEFT JOIN n ON n.task_id = c.task_id),
+r AS (SELECT *, CASE command
+  WHEN 'release' THEN CASE WHEN ws <> 'planned' THEN 'not_planned' WHEN NOT COALESCE(fresh, true) THEN 'tasks_not_pending' WHEN first IS NULL THEN 'no_task' END WHEN 'claim' THEN CASE WHEN ws <> 'released' THEN 'not_released' END
+  WHEN 'start' THEN CASE WHEN ts IS NULL THEN 'unknown_task' WHEN ws NOT IN ('assigned', 'in_progress') THEN 'not_executable' WHEN ts <> 'ready' THEN 'task_not_ready' WHEN open < sequence THEN 'sequence_skipped' WHEN who IS NULL THEN 'no_assignment' WHEN who <> resource_id THEN 'not_the_assigned_resource' END
+  WHEN 'confirm' THEN CASE WHEN ts IS NULL THEN 'unknown_task' WHEN ts <> 'in_progress' THEN 'task_not_in_progress' WHEN needs_ref AND trim(domain_ref) = '' THEN 'domain_reference_required' WHEN NOT mine THEN 'no_live_execution' WHEN nx.s <> 'pending' THEN 'next_task_not_pending' END
+  WHEN 'raise' THEN CASE WHEN ts IS NULL THEN 'unknown_task' WHEN ts <> 'in_progress' THEN 'task_not_in_progress' WHEN NOT mine THEN 'no_live_execution' END
+  WHEN 'resume' THEN CASE WHEN ts IS NULL THEN 'unknown_task' WHEN ts <> 'exception' THEN 'no_open_exception' WHEN COALESCE(run.s, '') <> 'blocked' THEN 'no_blocked_execution' WHEN who IS NULL THEN 'no_assignment' END
+  ELSE CASE WHEN ws NOT IN ('planned', 'released', 'assigned') OR COALESCE(began, false) THEN 'execution_began' END END AS reason FROM k)"""
+
+
+def _judged_work(s: Source) -> DataFrame:
+    return work.judge_commands(made(s, ORDERED), made(s, WORKS), made(s, TASKS), made(s, ASSIGNED), made(s, EXECUTED))
+
+
+@query((), f"""WITH {JUDGED_WORK}
+SELECT command_id, reason, CASE WHEN reason IS NULL THEN CASE command WHEN 'release' THEN 'released' WHEN 'claim' THEN 'assigned' WHEN 'start' THEN 'in_progress' WHEN 'raise' THEN 'exception' WHEN 'resume' THEN 'assigned' WHEN 'cancel' THEN 'cancelled' ELSE CASE WHEN nx IS NULL THEN 'completed' ELSE ws END END END AS work_state,
+  CASE WHEN reason IS NULL THEN CASE command WHEN 'start' THEN 'in_progress' WHEN 'confirm' THEN 'completed' WHEN 'raise' THEN 'exception' WHEN 'resume' THEN 'ready' END END AS task_state, CASE WHEN reason IS NULL THEN CASE command WHEN 'release' THEN first WHEN 'confirm' THEN nx.i END END AS ready_task FROM r""")
+def wk1_work_commands(s: Source) -> DataFrame:
+    return _judged_work(s)
+
+
+@query((), f"""
+WITH c AS (SELECT *, sha256('command:' || kind || ':' || COALESCE(detail, '-')) AS fingerprint FROM ({COMMANDS})), f AS (SELECT tenant_id, idempotency_key, min({{'t': recorded_at, 'i': id, 'p': fingerprint}}) AS f FROM c GROUP BY ALL)
+SELECT id, CASE WHEN id = f.i THEN 'applied' WHEN fingerprint = f.p THEN 'replayed' ELSE 'conflict' END AS outcome, CASE WHEN id = f.i OR fingerprint = f.p THEN f.i END AS belongs_to FROM c JOIN f USING (tenant_id, idempotency_key)""")
+def wk8_command_replays(s: Source) -> DataFrame:
+    return ledger.replays(commands(s), "tenant_id", "idempotency_key").select("id", "outcome", "belongs_to")
+
+
+@query((), f"""WITH {JUDGED_WORK}
+SELECT command_id, COALESCE(reason, CASE WHEN command_id % 700 < 100 THEN 'domain_result_missing' WHEN command_id % 5 = 0 THEN 'strands_commitments' END) AS reason FROM r WHERE command = 'confirm'""")
+def wk9_composite_confirmations(s: Source) -> DataFrame:
+    confirms = made(s, ORDERED).where("command = 'confirm'").select("command_id")
+    judged = _judged_work(s).join(confirms, "command_id", "left_semi")
+    n = F.col("command_id")
+    domain = confirms.where("command_id % 700 >= 100").select("command_id", F.when(n % 5 == 0, "strands_commitments").alias("reason"))
+    return work.judge_confirmations(judged, domain)
+
+
 # ---- alerts -----------------------------------------------------------------------------------------
 
 
