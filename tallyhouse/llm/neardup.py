@@ -41,6 +41,8 @@ from tallyhouse.llm.common import discard, small, stored
 WIDTH, PERCENT = 5, 85
 REGISTERS, BASE, RATE, Q = 120, 1.02, 20.0, (1 << 16) - 2
 SMALL, LEADERS, BLOCK, BLOCK_SHINGLES = 12, 4, 128, 1 << 16
+#: Texts whose words are hashed at once.
+SLICE = 256
 #: Cells of a task's matrix of sets and shared shingles that are held at once.
 CELLS = 1 << 22
 _random = np.random.Generator(np.random.PCG64(85))
@@ -87,18 +89,23 @@ def _rows(matrix: np.ndarray, present: np.ndarray) -> pa.Array:
     return pa.array([next(values) if p else None for p in present], pa.binary())
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows: hashes of words take several times the room of the texts."""
+    for batch in batches:
+        yield from (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, set (16 bytes), registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
-                elements, sizes = wordhash.shingles(*wordhash.words(part.column(1)), width)
-                there = sizes > 0
-                yield pa.record_batch(
-                    [part.column(0), pa.array(sizes, pa.int64()), _rows(_set_ids(elements, sizes[there]), there), _rows(registers_of(elements, sizes[there]), there)],
-                    ["doc_id", "n_shingles", "set", "registers"],
-                )
+        for part in _sliced(batches):
+            elements, sizes = wordhash.shingles(*wordhash.words(part.column(1)), width)
+            there = sizes > 0
+            yield pa.record_batch(
+                [part.column(0), pa.array(sizes, pa.int64()), _rows(_set_ids(elements, sizes[there]), there), _rows(registers_of(elements, sizes[there]), there)],
+                ["doc_id", "n_shingles", "set", "registers"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, set binary, registers binary")
 
@@ -149,7 +156,7 @@ def held_texts(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     texts = docs.select("doc_id", "text").join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             elements, sizes = wordhash.shingles(*wordhash.words(batch.column(0)), width)
             there = sizes > 0
             yield pa.record_batch([_rows(_set_ids(elements, sizes[there]), there), batch.column(0)], ["set", "text"])
@@ -175,7 +182,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     held = held_texts(wanted, docs, width)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             (a, n_a), (b, n_b) = (wordhash.shingles(*wordhash.words(batch.column(i)), width) for i in (2, 3))
             a, b = (np.split(x, np.cumsum(n)[:-1]) for x, n in ((a, n_a), (b, n_b)))
             yield batch.select(["a", "b"]).filter(pa.array([similar(x, y, percent) for x, y in zip(a, b, strict=True)], pa.bool_()))
