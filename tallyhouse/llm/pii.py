@@ -28,7 +28,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +35,9 @@ from pyspark.sql import functions as F
 Span = tuple[str, int, int]
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
-WINDOW, STRIDE, HIDDEN, MOST_ROWS = 64, 32, 12, 4096
+WINDOW, STRIDE, HIDDEN = 64, 32, 12
+#: Texts that are looked at together, and windows that are decoded at once.
+TEXTS, MOST_ROWS = 128, 1024
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -435,7 +436,7 @@ def detect(docs: DataFrame, model: Params | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+            for part in (batch.slice(i, TEXTS) for i in range(0, batch.num_rows, TEXTS)):
                 found = find_spans(part.column(1).to_pylist(), shared.value)
                 counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
                 digests = pa.array([hashlib.sha256(told(base).encode()).hexdigest() for base, _ in found], pa.string())
@@ -460,14 +461,13 @@ def redact(docs: DataFrame, model: Params | None = None) -> DataFrame:
     """``docs`` with masked spans in text."""
     shared = docs.sparkSession.sparkContext.broadcast(model or default_model())
 
-    @F.pandas_udf("string")
-    def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def mask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = batch.tolist()
-            out: list[str | None] = []
-            for i in range(0, len(texts), 512):
-                part = [t if isinstance(t, str) else None for t in texts[i : i + 512]]
-                out += [masked(t, all_spans) if t and all_spans else t for t, (_, all_spans) in zip(part, find_spans(part, shared.value), strict=True)]
-            yield pd.Series(out, dtype=object)
+            parts = []
+            for i in range(0, len(batch), TEXTS):
+                texts = batch.slice(i, TEXTS).to_pylist()
+                parts.append(pa.array([masked(t, spans) if spans else t for t, (_, spans) in zip(texts, find_spans(texts, shared.value), strict=True)], pa.string()))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return docs.withColumn("text", mask("text"))
