@@ -367,10 +367,10 @@ COVERED = f"""SELECT b.*, l.name AS lens, l.i, (k + l.i) % 4 AS st, CASE WHEN (k
 
 
 @query((), f"""
-WITH c AS ({COVERED}), x AS (SELECT id, k, status, mechanism, name, COUNT(*) FILTER (WHERE st IN (1, 2)) AS gap_count, COUNT(*) FILTER (WHERE st = 2) AS target_count, bool_or(lens = 'open_source' AND st = 2) AS hit, bool_or(st = 2 AND classification LIKE '%A%') AS target, bool_or(st IN (1, 2) AND lower('gap ' || i || ' of ' || mechanism) LIKE '%of nation%') AS gap FROM c GROUP BY ALL)
+WITH c AS ({COVERED}), x AS (SELECT id, k, status, mechanism, name, COUNT(*) FILTER (WHERE st IN (1, 2)) AS gap_count, COUNT(*) FILTER (WHERE st = 2) AS target_count, bool_or(lens = 'open_source' AND st = 2) AS hit, bool_or(st = 2 AND classification LIKE 'A%') AS target, bool_or(st IN (1, 2) AND lower('gap ' || i || ' of ' || mechanism) LIKE '%of nation%') AS gap FROM c GROUP BY ALL)
 SELECT id AS boundary_ref, name AS boundary_name, status AS contract_status, mechanism AS contract_mechanism, gap_count, target_count FROM x WHERE hit AND target AND gap AND 'P' || (k % 3) = 'P1'""")
 def k13_coverage(s: Source) -> DataFrame:
-    found = architecture.search_coverage(architecture.coverage(_coverage(s), _boundaries(s)), priority="P1", lens="open_source", lens_status="missing", target="a", gap="OF nation")
+    found = architecture.search_coverage(architecture.coverage(_coverage(s), _boundaries(s)), priority="P1", lens="open_source", lens_status="missing", target="Target a", gap="OF nation")
     return found.select("boundary_ref", "boundary_name", "contract_status", "contract_mechanism", "gap_count", "target_count")
 
 
