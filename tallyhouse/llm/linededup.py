@@ -54,10 +54,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
     hash of their own words.
     """
     lines = docs.where("text is not null").select("doc_id", text_key().alias("same"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    lines = lines.where(F.btrim("line", F.lit(BLANK_CHARACTERS)) != "")  # cheaper than to split each line once more for this
     digit = F.col("line").rlike("[0-9]")
     masked = F.when(digit, F.regexp_replace("line", DIGIT_WORD, VARIABLE)).otherwise(F.col("line"))
     lines = lines.withColumn("masked", masked).withColumn("words", _words("masked"))
-    lines = lines.where(F.size("words") > 0)
     leaf = F.xxhash64(F.size("words"), F.slice("words", 1, DEPTH))
     template = F.struct(F.lit(False).alias("whole"), F.xxhash64("words").alias("shape"))
     own = F.struct(F.lit(True).alias("whole"), F.xxhash64(F.when(digit, _words("line")).otherwise(F.col("words")), F.lit("whole")).alias("shape"))
