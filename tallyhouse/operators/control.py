@@ -204,6 +204,32 @@ def stage_events(requests: DataFrame, outbox: DataFrame, route: str = "tenant")
     return updated(outbox, moved, "event_id", "tenant_id")
 
 
+def pause_rollouts(requests: DataFrame, states: DataFrame) -> DataFrame:
+    """``requests`` (deployment_id, tenant_id) with paused: true where the rollout (deployment_id, tenant_id, phase) was active."""
+    key = ["deployment_id", "tenant_id"]
+    found = requests.join(states.select(*key, "phase"), key, "left")
+    return found.select(*requests.columns, F.coalesce(F.col("phase") == "active", F.lit(False)).alias("paused"))
+
+
+def rollback_batches(requests: DataFrame, outbox: DataFrame, states: DataFrame, journal: DataFrame) -> DataFrame:
+    """batch_id, reason (null: the whole batch goes back to the shared route) of requests (batch_id, deployment_id, tenant_id, event_id).
+
+    The rollout must be paused; every event must be the tenant's, on its route, never attempted, staged in the rollout's own generation
+    and not reverted before.  ``states``: deployment_id, tenant_id, phase, generation_id; ``journal``: deployment_id, generation_id,
+    event_id, action.
+    """
+    key = ["deployment_id", "tenant_id"]
+    untouched = F.col("published_at").isNull() & F.col("quarantined_at").isNull() & F.col("claimed_until").isNull() & (F.col("attempt_count") == 0) & (F.col("delivery_route") == "tenant")
+    fit = outbox.where(untouched).select("event_id", "tenant_id").distinct().withColumn("_fit", F.lit(True))
+    steps = journal.groupBy("deployment_id", "generation_id", "event_id").agg(F.bool_or(F.col("action") == "staged").alias("_staged"))
+    gone = journal.where("action = 'reverted'").select("deployment_id", "event_id").distinct().withColumn("_reverted", F.lit(True))
+    found = requests.join(states, key, "left").join(fit, ["event_id", "tenant_id"], "left").join(steps, ["deployment_id", "generation_id", "event_id"], "left").join(gone, ["deployment_id", "event_id"], "left")
+    one = F.coalesce(F.col("_fit") & F.col("_staged") & F.col("_reverted").isNull(), F.lit(False))
+    batches = found.groupBy("batch_id").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("d"), F.count_if(one).alias("eligible"), F.bool_and(F.coalesce(F.col("phase") == "paused", F.lit(False))).alias("paused"))
+    reason = F.when((F.col("n") > 100) | (F.col("n") != F.col("d")), "invalid_batch").when(~F.col("paused"), "not_paused").when(F.col("eligible") != F.col("n"), "not_entirely_eligible")
+    return batches.select("batch_id", reason.alias("reason"))
+
+
 #: What an outcome of a probe is evidence of; fixed values.
 EVIDENCE = ("outcome", "health_status", "terminal_code")
 

@@ -55,6 +55,17 @@ def failures(rows: DataFrame, as_of: Column, by: Sequence[str] = ()) -> DataFram
     return counts.select(*[c for c in counts.columns if len(c) > 1], *told)
 
 
+def snapshot_errors(snapshots: DataFrame, *keys: str) -> DataFrame:
+    """keys and rule of snapshots whose parts don't add up: states and attempt buckets make up the backlog, and an age is there exactly
+    where there is something that has one."""
+    c = F.col
+    states = c("ready_count") + c("delayed_count") + c("leased_count") + c("quarantined_count")
+    attempts = c("attempts_0_count") + c("attempts_1_count") + c("attempts_2_to_4_count") + c("attempts_5_plus_count")
+    rules = {"states_differ_from_backlog": states != c("backlog_count"), "attempts_differ_from_backlog": attempts != c("backlog_count")}
+    rules |= {f"{x}_age_differs_from_count": (c(f"{x}_count") > 0) != c(f"oldest_{x}_age_seconds").isNotNull() for x in ("backlog", "ready", "quarantined")}
+    return snapshots.select(*keys, F.explode(F.array_compact(F.array(*[F.when(bad, name) for name, bad in rules.items()]))).alias("rule"))
+
+
 #: Failure code -> its column; fixed values.
 POISON_CODES = {"invalid_message_encoding": "invalid_encoding_count", "invalid_message_json": "invalid_json_count", "invalid_event_envelope": "invalid_envelope_count", "invalid_transport_headers": "invalid_headers_count"}
 

@@ -746,3 +746,73 @@ def s15_stale_view(s: Source) -> DataFrame:
     now = s.table("nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"), "n_nationkey")
     renamed = now.withColumn("name", F.when(F.col("n_nationkey") % 9 == 4, F.concat("name", F.lit("!"))).otherwise(F.col("name")))
     return exposition.stale(now.drop("n_nationkey"), renamed.where("n_nationkey % 6 <> 1 or n_nationkey % 9 = 4").drop("n_nationkey"))
+
+
+@query((), """SELECT 'r' || r_regionkey AS id, r_name AS name, string_agg(n_name, ',' ORDER BY n_name) AS tags, '2024-01-0' || (r_regionkey + 1) AS since FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL""")
+def s1_yaml_records(s: Source) -> DataFrame:
+    """Records written as YAML files, one each, and read again."""
+    folder = f"{shared_folder(s.spark)}/yaml-{uuid.uuid4().hex}"
+    tags = F.array_join(F.sort_array(F.collect_list("n_name")), ", ")
+    rows = s.table("region").join(s.table("nation"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey", "r_name").agg(tags.alias("tags"))
+    lines = F.concat(F.lit("id: r"), F.col("r_regionkey").cast("string"), F.lit("\nname: "), "r_name", F.lit("\nsince: 2024-01-0"), (F.col("r_regionkey") + 1).cast("string"), F.lit("\ntags: ["), "tags", F.lit("]"))
+    rows.select(lines.alias("value"), F.col("r_regionkey").alias("part")).repartition("part").write.partitionBy("part").text(folder)
+    found = records.read_yaml(s.spark, f"{folder}/part=*/*.txt", "id string, name string, since string, tags array<string>")
+    return found.select("id", "name", F.array_join("tags", ",").alias("tags"), "since")
+
+
+@query((), "SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'a' ELSE 'a;b c' END AS tags FROM supplier")
+def s2_delimited_records(s: Source) -> DataFrame:
+    folder = f"{shared_folder(s.spark)}/csv-{uuid.uuid4().hex}"
+    tags = F.when(F.col("s_suppkey") % 3 == 0, " a | unknown").otherwise("a|b c||")
+    s.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), tags.alias("tags")).write.csv(folder, header=True)
+    found = records.read_delimited(s.spark, folder, "id long, name string, tags string", ("tags",), keep_unknown=False)
+    return found.select("id", "name", F.array_join("tags", ";").alias("tags"))
+
+
+@query((), """
+WITH t AS (SELECT n_nationkey AS k, '{"position_id":"p' || n_nationkey || '"' || CASE WHEN n_nationkey % 4 = 1 THEN '' ELSE ',"version":' || n_regionkey END || CASE WHEN n_nationkey % 5 = 2 THEN ',"more":1' ELSE '' END || '}' AS text FROM nation)
+SELECT sha256(text || chr(10)) AS sha256, 'p' || k AS position_id, CASE WHEN k % 4 = 1 OR k % 5 = 2 THEN 'unexpected_keys' END AS rejected FROM t""")
+def s5_snapshot_artifacts(s: Source) -> DataFrame:
+    folder, n = f"{shared_folder(s.spark)}/snapshots-{uuid.uuid4().hex}", F.col("n_nationkey")
+    told = F.concat(F.lit('{"position_id":"p'), n.cast("string"), F.lit('"'), F.when(n % 4 == 1, "").otherwise(F.concat(F.lit(',"version":'), F.col("n_regionkey").cast("string"))), F.when(n % 5 == 2, ',"more":1').otherwise(""), F.lit("}"))
+    s.table("nation").select(told.alias("value"), n.alias("part")).repartition("part").write.partitionBy("part").text(folder)
+    return records.read_snapshots(s.spark, f"{folder}/part=*/*.txt", ("position_id", "version")).select("sha256", "position_id", "rejected")
+
+
+_SECRET = b"a secret of the subscription"
+_PADS = ["".join(f"\\x{b ^ x:02X}" for b in _SECRET.ljust(64, b"\0")) for x in (0x36, 0x5C)]
+
+
+@query((), f"SELECT event_id, sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(event_id || '.1700000000.' || props)))) AS signature FROM events")
+def s11_webhook_signatures(s: Source) -> DataFrame:
+    return s.table("events").select("event_id", records.signature(_SECRET, F.col("event_id").cast("string"), F.lit("1700000000"), F.col("props")).alias("signature"))
+
+
+@query(("failures",), """
+, c AS (SELECT consumer_name FROM failures WHERE status IN ('deferred', 'quarantined') GROUP BY consumer_name), w AS (SELECT consumer_name FROM c WHERE consumer_name <> 'audit')
+SELECT consumer_name, 'states_differ_from_backlog' AS rule FROM w UNION ALL SELECT consumer_name, 'attempts_differ_from_backlog' FROM w UNION ALL SELECT consumer_name, 'quarantined_age_differs_from_count' FROM w""")
+def hp13_snapshot_errors(s: Source) -> DataFrame:
+    """Snapshots as they are have no errors; those of all consumers but one are spoilt first."""
+    found = telemetry.failures(s.relation("failures"), as_of(), ("consumer_name",))
+    spoilt = found.where("consumer_name <> 'audit'").withColumn("backlog_count", F.col("backlog_count") + 1).withColumn("oldest_quarantined_age_seconds", F.when(F.col("quarantined_count") == 0, 1.0))
+    return telemetry.snapshot_errors(found, "consumer_name").unionByName(telemetry.snapshot_errors(spoilt, "consumer_name"))
+
+
+ROLLOUTS = "SELECT user_id % 3 AS tenant_id, user_id % 3 AS deployment_id, CASE user_id % 3 WHEN 0 THEN 'active' ELSE 'paused' END AS phase, 7 AS generation_id FROM events GROUP BY user_id % 3"
+
+
+@query((), f"WITH r AS ({ROLLOUTS}), q AS (SELECT DISTINCT user_id % 4 AS tenant_id FROM events) SELECT q.tenant_id AS deployment_id, q.tenant_id, COALESCE(phase = 'active', false) AS paused FROM q LEFT JOIN r ON r.tenant_id = q.tenant_id")
+def cp7_pauses(s: Source) -> DataFrame:
+    return control.pause_rollouts(made(s, "SELECT DISTINCT user_id % 4 AS deployment_id, user_id % 4 AS tenant_id FROM events"), made(s, ROLLOUTS))
+
+
+STEPS = "SELECT user_id % 3 AS deployment_id, CASE WHEN event_id % 12 = 5 THEN 6 ELSE 7 END AS generation_id, event_id, 'staged' AS action FROM events UNION ALL SELECT user_id % 3, 7, event_id, 'reverted' FROM events WHERE event_id % 10 = 3"
+
+
+@query(("outbox",), f"""
+, r AS ({ROLLOUTS}), q AS (SELECT event_id // 2 AS batch_id, event_id, user_id % 3 AS t FROM events), o AS (SELECT event_id, aggregate_id % 3 AS t FROM outbox WHERE event_id % 9 <> 4 AND published_at IS NULL AND quarantined_at IS NULL AND claimed_until IS NULL AND attempt_count = 0)
+SELECT batch_id, CASE WHEN bool_or(q.t = 0) THEN 'not_paused' WHEN COUNT(*) FILTER (WHERE o.event_id IS NOT NULL AND q.event_id % 12 <> 5 AND q.event_id % 10 <> 3) <> COUNT(*) THEN 'not_entirely_eligible' END AS reason FROM q LEFT JOIN o ON o.event_id = q.event_id AND o.t = q.t GROUP BY batch_id""")
+def cp7_rollbacks(s: Source) -> DataFrame:
+    outbox = s.relation("outbox").withColumn("tenant_id", F.col("aggregate_id") % 3).withColumn("delivery_route", F.when(F.col("event_id") % 9 != 4, "tenant").otherwise("shared"))
+    requests = s.table("events").select(F.expr("event_id div 2").alias("batch_id"), (F.col("user_id") % 3).alias("deployment_id"), (F.col("user_id") % 3).alias("tenant_id"), "event_id")
+    return control.rollback_batches(requests, outbox, made(s, ROLLOUTS), made(s, STEPS))
