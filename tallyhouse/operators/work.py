@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import ranking
@@ -32,6 +32,8 @@ def doubly_assigned(assignments: DataFrame) -> DataFrame:
 
 #: Commands on work, and the states from which they may go on; fixed values.
 COMMANDS = ("release", "claim", "start", "confirm", "raise", "resume", "cancel")
+#: Those of them that look at their task.
+TASK_COMMANDS = ("start", "confirm", "raise", "resume")
 EXECUTABLE, CANCELLABLE = ("assigned", "in_progress"), ("planned", "released", "assigned")
 STARTED_TASKS = ("in_progress", "exception", "completed")
 
@@ -47,38 +49,40 @@ def judge_commands(commands: DataFrame, works: DataFrame, tasks: DataFrame, assi
     place = F.struct("sequence", "task_id")
     open_ = ~c("state").isin(*TERMINAL_TASKS)
     whole = tasks.groupBy("work_id").agg(
-        F.bool_and(c("state") == "pending").alias("all_pending"), F.bool_or(c("state").isin(*STARTED_TASKS)).alias("any_started"), F.min(place).alias("first"), F.min(F.when(open_, place)).alias("first_open"),
-    )
-    one = tasks.select("task_id", c("sequence").alias("sequence"), c("state").alias("task_state"), "needs_ref")
-    after = tasks.where(open_).select("work_id", F.struct("sequence", "task_id", "state").alias("later"))
+        F.bool_and(c("state") == "pending").alias("all_pending"), F.bool_or(c("state").isin(*STARTED_TASKS)).alias("any_started"), F.min(place).alias("first"), F.min(F.when(open_, c("sequence"))).alias("first_open"),
+    ).select("work_id", "all_pending", "any_started", c("first.task_id").alias("first_task"), "first_open")
+    later = Window.partitionBy("work_id").orderBy(F.desc("sequence")).rangeBetween(Window.unboundedPreceding, -1)
+    after = F.min(F.when(open_, F.struct("sequence", "task_id", "state"))).over(later)
+    one = tasks.withColumn("after", after).select("task_id", "sequence", c("state").alias("task_state"), "needs_ref", c("after.task_id").alias("next_task"), c("after.state").alias("next_state"))
     own = assignments.where("state = 'active'").groupBy("work_id").agg(F.min("resource_id").alias("assigned_to"))
     live = executions.where("state in ('in_progress', 'blocked')").groupBy("task_id").agg(F.min(F.struct("state", "resource_id")).alias("run"))
-    found = commands.join(works.select("work_id", c("state").alias("work_state")), "work_id", "left").join(whole, "work_id", "left").join(one, "task_id", "left").join(own, "work_id", "left").join(live, "task_id", "left")
-    confirms = found.where("command = 'confirm'").select("command_id", "work_id", "sequence")
-    nexts = confirms.join(after, "work_id").where("later.sequence > sequence").groupBy("command_id").agg(F.min("later").alias("next"))
-    found = found.join(nexts, "command_id", "left")
-    mine = (c("run.state") == "in_progress") & (c("run.resource_id") == c("resource_id")) & (c("assigned_to") == c("resource_id"))
+    run = live.select("task_id", c("run.state").alias("run_state"), c("run.resource_id").alias("run_by"))
+    of_work = commands.join(works.select("work_id", c("state").alias("work_state")), "work_id", "left").join(whole, "work_id", "left").join(own, "work_id", "left")
+    on_tasks = F.coalesce(c("command").isin(*TASK_COMMANDS), F.lit(False))
+    of_task = of_work.where(on_tasks).drop("all_pending", "any_started", "first_task").join(one, "task_id", "left").join(run, "task_id", "left")
+    found = of_task.unionByName(of_work.where(~on_tasks), allowMissingColumns=True)
+    mine = (c("run_state") == "in_progress") & (c("run_by") == c("resource_id")) & (c("assigned_to") == c("resource_id"))
     on_task = c("task_state").isNull()
     reasons = {
-        "release": [(c("work_state") != "planned", "not_planned"), (~F.coalesce("all_pending", F.lit(True)), "tasks_not_pending"), (c("first").isNull(), "no_task")],
+        "release": [(c("work_state") != "planned", "not_planned"), (~F.coalesce("all_pending", F.lit(True)), "tasks_not_pending"), (c("first_task").isNull(), "no_task")],
         "claim": [(c("work_state") != "released", "not_released")],
         "start": [
-            (on_task, "unknown_task"), (~c("work_state").isin(*EXECUTABLE), "not_executable"), (c("task_state") != "ready", "task_not_ready"), (c("first_open.sequence") < c("sequence"), "sequence_skipped"),
+            (on_task, "unknown_task"), (~c("work_state").isin(*EXECUTABLE), "not_executable"), (c("task_state") != "ready", "task_not_ready"), (c("first_open") < c("sequence"), "sequence_skipped"),
             (c("assigned_to").isNull(), "no_assignment"), (c("assigned_to") != c("resource_id"), "not_the_assigned_resource"),
         ],
         "confirm": [
             (on_task, "unknown_task"), (c("task_state") != "in_progress", "task_not_in_progress"), (c("needs_ref") & (F.trim(F.coalesce("domain_ref", F.lit(""))) == ""), "domain_reference_required"),
-            (~F.coalesce(mine, F.lit(False)), "no_live_execution"), (c("next.state") != "pending", "next_task_not_pending"),
+            (~F.coalesce(mine, F.lit(False)), "no_live_execution"), (c("next_state") != "pending", "next_task_not_pending"),
         ],
         "raise": [(on_task, "unknown_task"), (c("task_state") != "in_progress", "task_not_in_progress"), (~F.coalesce(mine, F.lit(False)), "no_live_execution")],
-        "resume": [(on_task, "unknown_task"), (c("task_state") != "exception", "no_open_exception"), (~F.coalesce(c("run.state") == "blocked", F.lit(False)), "no_blocked_execution"), (c("assigned_to").isNull(), "no_assignment")],
+        "resume": [(on_task, "unknown_task"), (c("task_state") != "exception", "no_open_exception"), (~F.coalesce(c("run_state") == "blocked", F.lit(False)), "no_blocked_execution"), (c("assigned_to").isNull(), "no_assignment")],
         "cancel": [(~c("work_state").isin(*CANCELLABLE), "execution_began"), (F.coalesce("any_started", F.lit(False)), "execution_began")],
     }
     reason = F.when(c("work_state").isNull(), "unknown_work")
     for command, checks in reasons.items():
         reason = F.coalesce(reason, *[F.when((c("command") == command) & broken, name) for broken, name in checks])
     reason = F.coalesce(reason, F.when(~c("command").isin(*COMMANDS), "unknown_command"))
-    last = c("next").isNull()
+    last = c("next_task").isNull()
     to_work = {"release": "released", "claim": "assigned", "start": "in_progress", "raise": "exception", "resume": "assigned", "cancel": "cancelled"}
     to_task = {"start": "in_progress", "confirm": "completed", "raise": "exception", "resume": "ready"}
 
@@ -86,7 +90,7 @@ def judge_commands(commands: DataFrame, works: DataFrame, tasks: DataFrame, assi
         return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c("command"))
 
     work_state = F.when((c("command") == "confirm") & last, "completed").otherwise(F.coalesce(becomes(to_work), c("work_state")))
-    ready = F.when(c("command") == "release", c("first.task_id")).when(c("command") == "confirm", c("next.task_id"))
+    ready = F.when(c("command") == "release", c("first_task")).when(c("command") == "confirm", c("next_task"))
     fine = c("reason").isNull()
     judged = found.withColumn("reason", reason)
     return judged.select("command_id", "reason", F.when(fine, work_state).alias("work_state"), F.when(fine, becomes(to_task)).alias("task_state"), F.when(fine, ready).alias("ready_task"))

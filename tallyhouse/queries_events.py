@@ -438,15 +438,15 @@ r AS (SELECT *, CASE command
   ELSE CASE WHEN ws NOT IN ('planned', 'released', 'assigned') OR COALESCE(began, false) THEN 'execution_began' END END AS reason FROM k)"""
 
 
-def _judged_work(s: Source) -> DataFrame:
-    return work.judge_commands(made(s, ORDERED), made(s, WORKS), made(s, TASKS), made(s, ASSIGNED), made(s, EXECUTED))
+def _judged_work(s: Source, commands: DataFrame) -> DataFrame:
+    return work.judge_commands(commands, made(s, WORKS), made(s, TASKS, lineitem="l_orderkey"), made(s, ASSIGNED), made(s, EXECUTED))
 
 
 @query((), f"""WITH {JUDGED_WORK}
 SELECT command_id, reason, CASE WHEN reason IS NULL THEN CASE command WHEN 'release' THEN 'released' WHEN 'claim' THEN 'assigned' WHEN 'start' THEN 'in_progress' WHEN 'raise' THEN 'exception' WHEN 'resume' THEN 'assigned' WHEN 'cancel' THEN 'cancelled' ELSE CASE WHEN nx IS NULL THEN 'completed' ELSE ws END END END AS work_state,
   CASE WHEN reason IS NULL THEN CASE command WHEN 'start' THEN 'in_progress' WHEN 'confirm' THEN 'completed' WHEN 'raise' THEN 'exception' WHEN 'resume' THEN 'ready' END END AS task_state, CASE WHEN reason IS NULL THEN CASE command WHEN 'release' THEN first WHEN 'confirm' THEN nx.i END END AS ready_task FROM r""")
 def wk1_work_commands(s: Source) -> DataFrame:
-    return _judged_work(s)
+    return _judged_work(s, made(s, ORDERED, orders="o_orderkey"))
 
 
 @query((), f"""
@@ -460,7 +460,7 @@ def wk8_command_replays(s: Source) -> DataFrame:
 SELECT command_id, COALESCE(reason, CASE WHEN command_id % 700 < 100 THEN 'domain_result_missing' WHEN command_id % 5 = 0 THEN 'strands_commitments' END) AS reason FROM r WHERE command = 'confirm'""")
 def wk9_composite_confirmations(s: Source) -> DataFrame:
     confirms = made(s, ORDERED).where("command = 'confirm'").select("command_id")
-    judged = _judged_work(s).join(confirms, "command_id", "left_semi")
+    judged = _judged_work(s, made(s, ORDERED, orders="o_orderkey")).join(confirms, "command_id", "left_semi")
     n = F.col("command_id")
     domain = confirms.where("command_id % 700 >= 100").select("command_id", F.when(n % 5 == 0, "strands_commitments").alias("reason"))
     return work.judge_confirmations(judged, domain)

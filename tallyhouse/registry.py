@@ -37,9 +37,11 @@ def as_of(at: str = AS_OF) -> Column:
     return F.lit(at).cast("timestamp_ntz")
 
 
-def made(s: Source, sql: str) -> DataFrame:
-    """Rows of SQL over the supplied tables that both engines read."""
+def made(s: Source, sql: str, **dealt_by: str) -> DataFrame:
+    """Rows of SQL over the supplied tables that both engines read; ``dealt_by`` (table: column) deals a table's rows out by a
+    column before they are expanded or grouped, so that what is keyed by that column later needn't move again."""
     used = {t: s.table(t) for t in TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)}
+    used |= {t: used[t].repartition(column) for t, column in dealt_by.items()}
     sql = sql.replace("{", "{{").replace("}", "}}")
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)

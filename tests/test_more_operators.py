@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import ranking, text
-from tallyhouse.operators import ledger, quality, technology
+from tallyhouse.operators import ledger, quality, technology, work
+from tallyhouse.queries import QUERIES
 from tallyhouse.streaming import publish
+from tests.oracle import FOLDER
 
 T0 = datetime(2024, 1, 1)
 
@@ -75,3 +77,36 @@ def test_flat_texts_of_nested_values(spark):
     df = spark.createDataFrame([(1, [("a", None), ("b", {"k": "v"})])], "n int, items array<struct<x:string,m:map<string,string>>>")
     found = df.select(text.flat(F.struct("n", "items"), df.select(F.struct("n", "items").alias("s")).schema["s"].dataType).alias("t")).first()["t"]
     assert found.split() == ["1", "a", "b", "v"]
+
+
+def _work_tables(spark):
+    works = spark.createDataFrame([(1, "in_progress"), (2, "assigned")], "work_id int, state string")
+    tasks = [(1, 10, 1, "in_progress"), (1, 11, 2, "completed"), (1, 12, 3, "pending"), (1, 13, 4, "ready"), (2, 20, 1, "ready"), (2, 21, 1, "pending"), (2, 22, 2, "in_progress")]
+    assignments = spark.createDataFrame([(1, 7, "active"), (2, 7, "active")], "work_id int, resource_id int, state string")
+    executions = spark.createDataFrame([(10, 7, "in_progress"), (22, 7, "in_progress")], "task_id int, resource_id int, state string")
+    return works, spark.createDataFrame([(*t, False) for t in tasks], "work_id int, task_id int, sequence int, state string, needs_ref boolean"), assignments, executions
+
+
+def test_next_task_of_a_confirmation_is_the_task_s_own(spark):
+    rows = [(1, "confirm", 1, 10, 7, "r"), (2, "confirm", 2, 22, 7, "r"), (3, "confirm", 1, 99, 7, "r"), (4, None, 1, 10, 7, "r"), (5, "start", 2, 20, 7, "r"), (6, "cancel", 9, None, 7, "r"), (6, "confirm", 1, 10, 7, "r")]
+    commands = spark.createDataFrame(rows, "command_id int, command string, work_id int, task_id int, resource_id int, domain_ref string")
+    judged = work.judge_commands(commands, *_work_tables(spark))
+    found = sorted((tuple(r) for r in judged.collect()), key=str)
+    assert found == sorted([
+        (1, None, "in_progress", "completed", 12), (2, None, "completed", "completed", None), (3, "unknown_task", None, None, None), (4, None, "in_progress", None, None), (5, None, "in_progress", "in_progress", None),
+        (6, "unknown_work", None, None, None), (6, None, "in_progress", "completed", 12),
+    ], key=str)
+
+
+@pytest.fixture
+def shuffled_joins(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_work_commands_move_once(spark, shuffled_joins):
+    """Commands lie by their work before they are expanded; only those on tasks go to their task."""
+    plan = QUERIES["wk1_work_commands"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(command_id" not in plan
+    assert plan.count("hashpartitioning(cast(task_id") + plan.count("hashpartitioning(task_id") <= 3
