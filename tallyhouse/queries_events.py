@@ -460,7 +460,7 @@ def wk8_command_replays(s: Source) -> DataFrame:
 SELECT command_id, COALESCE(reason, CASE WHEN command_id % 700 < 100 THEN 'domain_result_missing' WHEN command_id % 5 = 0 THEN 'strands_commitments' END) AS reason FROM r WHERE command = 'confirm'""")
 def wk9_composite_confirmations(s: Source) -> DataFrame:
     confirms = made(s, ORDERED).where("command = 'confirm'").select("command_id")
-    judged = _judged_work(s, made(s, ORDERED, orders="o_orderkey")).join(confirms, "command_id", "left_semi")
+    judged = _judged_work(s, made(s, ORDERED, orders="o_orderkey").where("command = 'confirm'"))
     n = F.col("command_id")
     domain = confirms.where("command_id % 700 >= 100").select("command_id", F.when(n % 5 == 0, "strands_commitments").alias("reason"))
     return work.judge_confirmations(judged, domain)

@@ -110,3 +110,7 @@ def test_work_commands_move_once(spark, shuffled_joins):
     plan = QUERIES["wk1_work_commands"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(command_id" not in plan
     assert plan.count("hashpartitioning(cast(task_id") + plan.count("hashpartitioning(task_id") <= 3
+
+
+def test_composite_confirmations_judge_only_confirmations(spark, shuffled_joins):
+    assert "LeftSemi" not in QUERIES["wk9_composite_confirmations"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
