@@ -7,19 +7,38 @@ and their logs short beside the whole; Python keeps only running totals.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import Decimal
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
+NOTHING = Decimal(0)
 DECISIONS = "command_id string, scope string, kind string, accepted boolean, reason string, available decimal(24,6)"
 
 
+def in_order(commands: DataFrame, key: str) -> DataFrame:
+    """``commands`` with the logs of each key one after another in one task, each in the order of (recorded_at, command_id), nulls last:
+    a task reads many short logs as one stream, and keeps the state of one key at a time."""
+    return commands.repartition(key).sortWithinPartitions(key, *_order())
+
+
+def _order() -> list[Column]:
+    return [F.asc_nulls_last("recorded_at"), F.asc_nulls_last("command_id")]
+
+
+def _values(column: pa.Array) -> list:
+    """Python values; texts and decimals by way of an array of objects, which is several times as fast."""
+    objects = pa.types.is_string(column.type) or pa.types.is_decimal(column.type)
+    return column.to_numpy(zero_copy_only=False).tolist() if objects else column.to_pylist()
+
+
 class ScopeState:
     """Physical, allocated and reserved totals of one scope, and its open reservations."""
 
     def __init__(self) -> None:
-        self.physical = self.allocated = Decimal(0)
+        self.physical = self.allocated = self.reserved = Decimal(0)
         self.reservations: dict[str, Decimal] = {}
         self.allocations: dict[str, tuple[Decimal, str | None]] = {}
         self.keys: dict[str, str] = {}
@@ -28,7 +47,7 @@ class ScopeState:
     @property
     def available(self) -> Decimal:
         free = Decimal(0) if self.held else self.physical - self.allocated
-        return max(free - sum(self.reservations.values(), Decimal(0)), Decimal(0))
+        return max(free - self.reserved, Decimal(0))
 
     def apply(self, kind: str, quantity: Decimal, command_id: str, reference: str | None) -> str | None:
         """Why the command is rejected, or None once it is applied."""
@@ -39,17 +58,18 @@ class ScopeState:
         elif kind == "issue":
             if quantity > self.physical:
                 return "insufficient_physical"
-            if self.physical - quantity < self.allocated + sum(self.reservations.values(), Decimal(0)):
+            if self.physical - quantity < self.allocated + self.reserved:
                 return "strands_commitments"
             self.physical -= quantity
         elif kind == "reserve":
             if quantity > self.available:
                 return "insufficient_availability"
+            self.reserved += quantity - self.reservations.get(command_id, NOTHING)
             self.reservations[command_id] = quantity
         elif kind == "release":
             if reference not in self.reservations:
                 return "reservation_not_open"
-            del self.reservations[reference]
+            self.reserved -= self.reservations.pop(reference)
         elif kind == "allocate":
             if self.held:
                 return "held"
@@ -64,6 +84,7 @@ class ScopeState:
                 return "insufficient_free_quantity"
             if reference is not None:
                 self.reservations[reference] -= quantity
+                self.reserved -= quantity
             self.allocated += quantity
             self.allocations[command_id] = (quantity, reference)
         elif kind == "deallocate":
@@ -73,6 +94,7 @@ class ScopeState:
             self.allocated -= back
             if reservation in self.reservations:
                 self.reservations[reservation] += back
+                self.reserved += back
         elif kind == "consume":
             if reference not in self.allocations:
                 return "allocation_not_open"
@@ -93,21 +115,27 @@ def replay_scopes(commands: DataFrame) -> DataFrame:
     a rejected command doesn't use up its key.
     """
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = ScopeState(), []
-        for r in pdf.sort_values(["recorded_at", "command_id"], kind="stable").itertuples(index=False):
-            key = r.idempotency_key
-            if key is not None and key in state.keys:
-                same = state.keys[key] == r.fingerprint
-                out.append((r.command_id, r.scope, r.kind, same, "replayed" if same else "idempotency_conflict", state.available))
-                continue
-            why = state.apply(r.kind, Decimal(0) if r.quantity is None else r.quantity, r.command_id, r.reference)
-            if why is None and key is not None:
-                state.keys[key] = r.fingerprint
-            out.append((r.command_id, r.scope, r.kind, why is None, why, state.available))
-        return pd.DataFrame(out, columns=["command_id", "scope", "kind", "accepted", "reason", "available"])
-
-    return commands.select("command_id", "scope", "kind", "quantity", "reference", "idempotency_key", "fingerprint", "recorded_at").groupBy("scope").applyInPandas(whole, DECISIONS)
+    def decided(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, scope, first = ScopeState(), None, True
+        for batch in rows:
+            out: list[tuple[bool, str | None, Decimal]] = []
+            for at, kind, quantity, command_id, reference, key, fingerprint in zip(*[_values(batch.column(c)) for c in ("scope", "kind", "quantity", "command_id", "reference", "idempotency_key", "fingerprint")], strict=True):
+                if first or at != scope:
+                    state, scope, first = ScopeState(), at, False
+                if key is not None and key in state.keys:
+                    same = state.keys[key] == fingerprint
+                    out.append((same, "replayed" if same else "idempotency_conflict", state.available))
+                    continue
+                why = state.apply(kind, NOTHING if quantity is None else quantity, command_id, reference)
+                if why is None and key is not None:
+                    state.keys[key] = fingerprint
+                out.append((why is None, why, state.available))
+            accepted, reason, available = zip(*out, strict=True) if out else ((), (), ())
+            told = [pa.array(accepted, pa.bool_()), pa.array(reason, pa.string()), pa.array(available, pa.decimal128(24, 6))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("command_id", "scope", "kind")], *told], ["command_id", "scope", "kind", "accepted", "reason", "available"])
+
+    own = commands.select("command_id", "scope", "kind", "quantity", "reference", "idempotency_key", "fingerprint", "recorded_at")
+    return in_order(own, "scope").mapInArrow(decided, DECISIONS)
 
 
 WORK_DECISIONS = "command string, task int, state string, accepted boolean, reason string"
@@ -186,13 +214,20 @@ class WorkState:
 def replay_works(commands: DataFrame) -> DataFrame:
     """Decisions on ``commands`` (work_id, command_id, command, task, tasks, resource_id, recorded_at); ``tasks``: how many the work has."""
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        work, out = WorkState(int(pdf["tasks"].max())), []
-        for r in pdf.sort_values(["recorded_at", "command_id"], kind="stable").itertuples(index=False):
-            why = work.apply(r.command, r.task, r.resource_id)
-            out.append((r.work_id, r.command_id, r.command, r.task, work.state, why is None, why))
-        return pd.DataFrame(out, columns=["work_id", "command_id", "command", "task", "state", "accepted", "reason"])
+    def decided(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work, current, first = WorkState(0), None, True
+        for batch in rows:
+            out: list[tuple[str, bool, str | None]] = []
+            for work_id, most, command, task, resource in zip(*[_values(batch.column(c)) for c in ("work_id", "most", "command", "task", "resource_id")], strict=True):
+                if first or work_id != current:
+                    work, current, first = WorkState(most or 0), work_id, False
+                why = work.apply(command, task, resource)
+                out.append((work.state, why is None, why))
+            state, accepted, reason = zip(*out, strict=True) if out else ((), (), ())
+            told = [pa.array(state, pa.string()), pa.array(accepted, pa.bool_()), pa.array(reason, pa.string())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("work_id", "command_id", "command")], batch.column("task").cast(pa.int32()), *told], ["work_id", "command_id", "command", "task", "state", "accepted", "reason"])
 
     kinds = dict(commands.dtypes)
     own = commands.select("work_id", "command_id", "command", "task", "tasks", "resource_id", "recorded_at")
-    return own.groupBy("work_id").applyInPandas(whole, f"work_id {kinds['work_id']}, command_id {kinds['command_id']}, {WORK_DECISIONS}")
+    most = F.max("tasks").over(Window.partitionBy("work_id").orderBy(*_order()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return in_order(own, "work_id").withColumn("most", most).sortWithinPartitions("work_id", *_order()).mapInArrow(decided, f"work_id {kinds['work_id']}, command_id {kinds['command_id']}, {WORK_DECISIONS}")

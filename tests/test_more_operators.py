@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import time
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import ranking, text
-from tallyhouse.operators import ledger, quality, technology, work
+from tallyhouse.operators import ledger, quality, replay, technology, work
 from tallyhouse.queries import QUERIES
 from tallyhouse.streaming import publish
 from tests.oracle import FOLDER
@@ -114,3 +116,24 @@ def test_work_commands_move_once(spark, shuffled_joins):
 
 def test_composite_confirmations_judge_only_confirmations(spark, shuffled_joins):
     assert "LeftSemi" not in QUERIES["wk9_composite_confirmations"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_logs_are_read_as_one_stream(spark):
+    """One task reads all its scopes; a scope's open reservations aren't summed anew at each command."""
+    kinds = "command_id string, scope string, kind string, quantity decimal(24,6), reference string, idempotency_key string, fingerprint string, recorded_at timestamp_ntz"
+    logs = [(None, 1), ("a", 2), ("b", 3), ("c", 0)]
+    steps = [("receipt", 10, None), ("reserve", 4, None), ("reserve", 3, None), ("allocate", 2, "1"), ("release", None, "2"), ("deallocate", None, "3"), ("issue", 7, None), ("reserve", 1, None)]
+    rows = [(str(i), scope, kind, None if n is None else Decimal(n), ref and str(ref), None, None, T0 + timedelta(seconds=i)) for scope, _ in logs for i, (kind, n, ref) in enumerate(steps)]
+    found = replay.replay_scopes(spark.createDataFrame(rows, kinds).orderBy(F.rand(1)))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    told = {(r["scope"], int(r["command_id"])): (r["reason"], r["available"]) for r in found.collect()}
+    expected = [(None, 10), (None, 6), (None, 3), (None, 3), (None, 6), (None, 6), ("strands_commitments", 6), (None, 5)]
+    assert told == {(scope, i): e for scope, _ in logs for i, e in enumerate(expected)}
+    works = spark.createDataFrame([(w, i, c, 1, n, None, T0) for w, n in ((None, 1), (1, 2)) for i, c in enumerate(("release", "claim", "start", "confirm"))], "work_id int, command_id int, command string, task int, tasks int, resource_id string, recorded_at timestamp_ntz")
+    assert {(r["work_id"], r["state"]) for r in replay.replay_works(works).where("command = 'confirm'").collect()} == {(None, "completed"), (1, "in_progress")}
+    state, n = replay.ScopeState(), 20_000
+    state.apply("receipt", Decimal(n), "r", None)
+    began = time.process_time()
+    for i in range(n):
+        assert state.apply("reserve", Decimal(1), str(i), None) is None
+    assert state.available == 0 and time.process_time() - began < 5
