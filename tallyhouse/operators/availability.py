@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SCOPE = ("tenant_id", "warehouse_id", "item_id", "owner_id", "condition_id", "lot_id", "stock_scope_id", "attribute_set_id", "stock_segment_id")
 NULLABLE = frozenset(SCOPE[5:])
@@ -26,6 +27,21 @@ def same_keys(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = SCOPE,
     return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) if k in nullable else left[k] == right[k] for k in keys))
 
 
+def key_text(df: DataFrame, *keys: str) -> Column:
+    """The keys as one text: equal for equal keys only, nulls included.  It travels in fewer bytes than the columns, and joins by it are plain.
+
+    Parts are joined by ``/``; in texts ``\\`` and ``/`` are escaped by ``\\``, and a null is ``\\N``, which no escaped text is.
+    """
+
+    def part(name: str) -> Column:
+        value = F.col(name).cast("string")
+        if isinstance(df.schema[name].dataType, StringType):
+            value = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("/"), F.lit("\\/"))
+        return F.coalesce(value, F.lit("\\N"))
+
+    return F.concat_ws("/", *[part(k) for k in keys])
+
+
 def active_at(as_of: Column) -> Column:
     """Half-open: a hold applies from starts_at until before expires_at, unless it was released."""
     return (F.col("starts_at") <= as_of) & F.col("released_at").isNull() & (F.col("expires_at").isNull() | (F.col("expires_at") > as_of))

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.operators.availability import SCOPE, qty
-from tallyhouse.storage import stored
+from tallyhouse.operators.availability import SCOPE, key_text, qty
+from tallyhouse.storage import small, stored
 
 
 def balances(legs: DataFrame, *keys: str) -> DataFrame:
@@ -75,14 +75,6 @@ def descendants(units: DataFrame, roots: DataFrame, most_levels: int = 64) -> Da
 
 
 ANCHORED = ("location_id", *SCOPE)
-ANCHORED_NULLABLE = frozenset(SCOPE[5:])
-
-
-def _by_key(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``left`` with what ``right`` (one row for each key) knows of its key; nulls are equal."""
-    other = right.withColumnsRenamed({k: f"_key_{k}" for k in ANCHORED})
-    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) if k in ANCHORED_NULLABLE else F.col(k) == F.col(f"_key_{k}") for k in ANCHORED))
-    return left.join(other, same, "left").drop(*[f"_key_{k}" for k in ANCHORED])
 
 
 def ensure_positions(candidates: DataFrame, positions: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -90,13 +82,18 @@ def ensure_positions(candidates: DataFrame, positions: DataFrame, anchors: DataF
     candidate of a key gives its id), or unknown_anchor where the anchor is not of the tenant and warehouse.
 
     ``candidates``: candidate_id and the key (an anchor and a scope, nulls equal); ``anchors``: location_id, tenant_id, warehouse_id.
+    Candidates move once, with their key as one text.
     """
-    placed = candidates.join(anchors.select("location_id", "tenant_id", "warehouse_id").distinct().withColumn("_anchored", F.lit(True)), ["location_id", "tenant_id", "warehouse_id"], "left")
-    first = placed.where("_anchored").groupBy(*ANCHORED).agg(F.min("candidate_id").alias("_first"))
-    known = positions.groupBy(*ANCHORED).agg(F.min("position_id").alias("_known"))
-    found = _by_key(_by_key(placed, first), known)
-    outcome = F.when(F.col("_anchored").isNull(), "unknown_anchor").when(F.col("_known").isNotNull() | (F.col("candidate_id") != F.col("_first")), "existing").otherwise("created")
-    return found.select("candidate_id", F.when(outcome != "unknown_anchor", F.coalesce("_known", F.col("_first").cast("string"))).alias("position_id"), outcome.alias("outcome"))
+    place = ["location_id", "tenant_id", "warehouse_id"]
+    here = small(stored(anchors.select(*place).distinct().withColumn("_anchored", F.lit(True)), "anchors"), row_bytes=32)
+    placed = candidates.withColumn("_key", key_text(candidates, *ANCHORED)).join(here, place, "left").select("candidate_id", "_key", "_anchored")
+    asked = placed.where("_anchored").select("candidate_id", "_key").repartition("_key")
+    first = asked.groupBy("_key").agg(F.min("candidate_id").alias("_first"))
+    known = positions.select("position_id", key_text(positions, *ANCHORED).alias("_key")).groupBy("_key").agg(F.min("position_id").alias("_known"))
+    found = asked.join(first, "_key").join(known, "_key", "left")
+    outcome = F.when(F.col("_known").isNotNull() | (F.col("candidate_id") != F.col("_first")), "existing").otherwise("created")
+    told = found.select("candidate_id", F.coalesce("_known", F.col("_first").cast("string")).alias("position_id"), outcome.alias("outcome"))
+    return told.unionByName(placed.where("_anchored is null").select("candidate_id", F.lit(None).cast("string").alias("position_id"), F.lit("unknown_anchor").alias("outcome")))
 
 
 def _short(quantity: Column, physical: Column, reserved: Column, allocated: Column) -> list[tuple[Column, str]]:

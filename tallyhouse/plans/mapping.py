@@ -114,7 +114,7 @@ class Source:
     def share(self, *names: str) -> Source:
         """Make relations once, for all that reads them or is built on them."""
         for name in (n for n in names if n not in self._shared):
-            self._shared[name] = stored(self.relation(name), f"relation-{name}")
+            self._shared[name] = stored(self.relation(name), f"relation-{name}", compression="zstd")
         return self
 
     def table(self, name: str) -> DataFrame:

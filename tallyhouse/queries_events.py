@@ -231,8 +231,7 @@ f AS (SELECT *, MIN(candidate_id) OVER (PARTITION BY {", ".join(("location_id",
 SELECT candidate_id, CASE WHEN location_id % 10 = 7 THEN NULL WHEN candidate_id LIKE 'known-%' THEN substr(candidate_id, 7) ELSE first END AS position_id,
   CASE WHEN location_id % 10 = 7 THEN 'unknown_anchor' WHEN candidate_id LIKE 'known-%' OR candidate_id <> first THEN 'existing' ELSE 'created' END AS outcome FROM f""")
 def l1_positions(s: Source) -> DataFrame:
-    s.share("positions")
-    known = s.relation("positions")
+    known = stored(s.relation("positions").select("position_id", "location_id", *SCOPE), "position-keys", compression="zstd")
     more = known.select(F.concat(F.lit("known-"), "position_id").alias("candidate_id"), "location_id", *SCOPE)
     anchors = made(s, "SELECT s_suppkey AS location_id, CAST(s_nationkey % 3 AS INT) AS tenant_id, s_nationkey AS warehouse_id FROM supplier WHERE s_suppkey % 10 <> 7")
     return ledger.ensure_positions(made(s, CANDIDATES).unionByName(more), known, anchors)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 import time
 from datetime import datetime, timedelta
 from decimal import Decimal
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import ranking, text
 from tallyhouse.operators import ledger, quality, replay, technology, work
+from tallyhouse.operators.availability import key_text
 from tallyhouse.queries import QUERIES
 from tallyhouse.streaming import publish
 from tests.oracle import FOLDER
@@ -137,3 +139,25 @@ def test_many_logs_are_read_as_one_stream(spark):
     for i in range(n):
         assert state.apply("reserve", Decimal(1), str(i), None) is None
     assert state.available == 0 and time.process_time() - began < 5
+
+
+def test_key_texts_are_equal_for_equal_keys_only(spark):
+    values = [None, "", "/", "\\", "\\N", "a", "a/", "/a", "\\/", "\\\\N", "N"]
+    df = spark.createDataFrame([(a, b) for a in values for b in values] * 2, "a string, b string")
+    assert df.select(key_text(df, "a", "b").alias("k")).distinct().count() == len(values) ** 2
+
+
+def test_positions_are_ensured_with_one_move_of_candidates(spark, shuffled_joins):
+    kinds = "candidate_id string, tenant_id int, warehouse_id int, location_id int, item_id int, owner_id int, condition_id string, lot_id int, stock_scope_id int, attribute_set_id int, stock_segment_id int"
+    key = (1, 1, 5, 2, 3, "g", None, None, 4, None)
+    rows = [("b", *key), ("a", *key), ("k", *key[:5], "h", *key[6:]), ("x", 2, *key[1:]), ("n", None, *key[1:]), ("y", *key[:5], None, *key[6:]), ("z", *key[:5], None, *key[6:])]
+    candidates, anchors = spark.createDataFrame(rows, kinds), spark.createDataFrame([(5, 1, 1), (5, 1, 1)], "location_id int, tenant_id int, warehouse_id int")
+    positions = spark.createDataFrame([("p1", *key[:5], "h", *key[6:]), ("p2", *key[:5], "h", *key[6:])], kinds.replace("candidate_id", "position_id"))
+    made = ledger.ensure_positions(candidates, positions, anchors)
+    assert {r["candidate_id"]: (r["position_id"], r["outcome"]) for r in made.collect()} == {
+        "a": ("a", "created"), "b": ("a", "existing"), "k": ("p1", "existing"), "x": (None, "unknown_anchor"), "n": (None, "unknown_anchor"), "y": ("y", "created"), "z": ("y", "existing"),
+    }
+    made = QUERIES["l1_positions"](spark, FOLDER)
+    made.collect()
+    moved = [line for line in made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if re.search(r"\bExchange hashpartitioning\(_key", line) and "ReusedExchange" not in line]
+    assert len(moved) == 2
