@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.operators.availability import SCOPE, qty, same_keys
+from tallyhouse.operators.availability import SCOPE, key_text, qty, same_keys
 
 
 def _first(reasons: list[tuple[Column, str]]) -> Column:
@@ -46,23 +46,31 @@ def judge_allocations(requests: DataFrame, positions: DataFrame, reservations: D
     """allocation_id, reason (null: accepted) and allocated_delta of requests (allocation_id, position_id, reservation_id or null, demand_id,
     quantity).
 
+    ``available``: the scope, available_qty; rows of one scope are summed.
+
     Against a reservation demand and scope must be its own and what remains of it suffice; without one the scope must have that much
-    available.  In both cases the position itself must have it free.
+    available.  In both cases the position itself must have it free.  Only requests with a reservation meet the reservations, and only
+    those that nothing else refuses meet the scopes.
     """
     c = F.col
-    at = positions.select("position_id", F.struct(*SCOPE).alias("scope"), (c("physical_qty") - c("allocated_qty") - c("reserved_qty")).alias("free"))
-    held = reservations.select("reservation_id", F.struct(*SCOPE).alias("held_scope"), c("demand_id").alias("held_demand"), (_remaining() - c("allocated_qty")).alias("held"), c("released_at").alias("ended"))
-    found = requests.join(at, "position_id", "left").join(held, "reservation_id", "left")
-    scoped = found.select(*requests.columns, "scope", "free", "held_scope", "held_demand", "held", "ended", *[c(f"scope.{k}").alias(f"s_{k}") for k in SCOPE])
-    known = available.select(*[c(k).alias(f"k_{k}") for k in SCOPE], "available_qty")
-    scoped = scoped.join(known, reduce(lambda a, b: a & b, (c(f"s_{k}").eqNullSafe(c(f"k_{k}")) for k in SCOPE)), "left")
-    given = c("reservation_id").isNotNull()
-    differs = reduce(lambda a, b: a | b, (~c(f"scope.{k}").eqNullSafe(c(f"held_scope.{k}")) for k in SCOPE)) | ~c("held_demand").eqNullSafe(c("demand_id"))
+    at = positions.select("position_id", key_text(positions, *SCOPE).alias("scope"), (c("physical_qty") - c("allocated_qty") - c("reserved_qty")).alias("free"))
+    held = reservations.select("reservation_id", key_text(reservations, *SCOPE).alias("held_scope"), c("demand_id").alias("held_demand"), (_remaining() - c("allocated_qty")).alias("held"), c("released_at").isNotNull().alias("ended"))
+    found = requests.join(at, "position_id", "left").withColumn("short", c("free") < c("quantity")).drop("free")
+    given = found.where("reservation_id is not null").select("allocation_id", "reservation_id", "demand_id", "quantity", "scope", "short").join(held, "reservation_id", "left")
+    differs = ~c("scope").eqNullSafe(c("held_scope")) | ~c("held_demand").eqNullSafe(c("demand_id"))
     reason = _first([
-        (c("scope").isNull(), "unknown_position"), (given & c("held_scope").isNull(), "unknown_reservation"), (given & c("ended").isNotNull(), "reservation_released"), (given & differs, "reservation_does_not_match"),
-        (given & (c("held") < c("quantity")), "exceeds_reservation"), (c("free") < c("quantity"), "exceeds_free_quantity"), (~given & (F.coalesce("available_qty", F.lit(0)) < c("quantity")), "consumes_reserved_capacity"),
+        (c("scope").isNull(), "unknown_position"), (c("held_scope").isNull(), "unknown_reservation"), (c("ended"), "reservation_released"), (differs, "reservation_does_not_match"),
+        (c("held") < c("quantity"), "exceeds_reservation"), (c("short"), "exceeds_free_quantity"),
     ])
-    return scoped.select("allocation_id", reason.alias("reason"), F.when(reason.isNull(), qty(c("quantity"))).alias("allocated_delta"))
+    plain = found.where("reservation_id is null").select("allocation_id", "quantity", "scope", _first([(c("scope").isNull(), "unknown_position"), (c("short"), "exceeds_free_quantity")]).alias("reason"))
+    known = available.select(key_text(available, *SCOPE).alias("scope"), "available_qty").groupBy("scope").agg(qty(F.sum("available_qty")).alias("available_qty"))
+    scoped = plain.where("reason is null").join(known, "scope", "left")
+    consumes = F.coalesce("available_qty", F.lit(0)) < c("quantity")
+    judged = [
+        given.select("allocation_id", "quantity", reason.alias("reason")), plain.where("reason is not null").select("allocation_id", "quantity", "reason"),
+        scoped.select("allocation_id", "quantity", F.when(consumes, "consumes_reserved_capacity").alias("reason")),
+    ]
+    return reduce(DataFrame.unionByName, judged).select("allocation_id", "reason", F.when(c("reason").isNull(), qty(c("quantity"))).alias("allocated_delta"))
 
 
 def release_allocations(requests: DataFrame, allocations: DataFrame, reservations: DataFrame) -> DataFrame:

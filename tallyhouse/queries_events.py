@@ -339,6 +339,8 @@ SCOPE_LIST = ", ".join(SCOPE)
 SAME = " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in SCOPE)
 #: Made of positions, in both engines: what a scope has available, reservations and allocations.
 AVAILABLE = f"SELECT {SCOPE_LIST}, CAST(SUM(physical_qty - allocated_qty - reserved_qty) AS DECIMAL(24,6)) AS available_qty FROM positions WHERE item_id % 8 <> 7 GROUP BY {SCOPE_LIST}"
+#: The same, not yet summed.
+FREE = f"SELECT {SCOPE_LIST}, CAST(physical_qty - allocated_qty - reserved_qty AS DECIMAL(24,6)) AS available_qty FROM positions WHERE item_id % 8 <> 7"
 RESERVED = f"SELECT concat('r-', position_id) AS reservation_id, {', '.join(k for k in SCOPE if k != 'owner_id')}, CASE WHEN item_id % 7 = 0 THEN owner_id + 1 ELSE owner_id END AS owner_id, CASE WHEN item_id % 11 = 0 THEN 0 ELSE item_id END AS demand_id, CAST(30 + item_id % 9 AS DECIMAL(24,6)) AS quantity, CAST(item_id % 6 AS DECIMAL(24,6)) AS allocated_qty, CAST(item_id % 4 AS DECIMAL(24,6)) AS consumed_qty, CAST(item_id % 3 AS DECIMAL(24,6)) AS released_qty, CASE WHEN item_id % 10 = 1 THEN TS'2024-01-05 00:00:00' END AS released_at FROM positions"
 ALLOCATED = "SELECT concat('a-', position_id) AS allocation_id, position_id, CASE WHEN item_id % 3 = 1 THEN concat('r-', position_id) END AS reservation_id, allocated_qty AS quantity, CAST(FLOOR(allocated_qty / 4) AS DECIMAL(24,6)) AS consumed_qty, CAST(CASE WHEN item_id % 13 = 2 THEN allocated_qty - FLOOR(allocated_qty / 4) ELSE 0 END AS DECIMAL(24,6)) AS released_qty, CASE WHEN item_id % 9 = 0 THEN TS'2024-01-06 00:00:00' END AS released_at FROM positions WHERE allocated_qty > 0"
 
@@ -374,7 +376,7 @@ k AS (SELECT *, CASE WHEN no_p THEN 'unknown_position' WHEN reservation_id IS NO
   WHEN reservation_id IS NOT NULL AND held < quantity THEN 'exceeds_reservation' WHEN free < quantity THEN 'exceeds_free_quantity' WHEN reservation_id IS NULL AND available < quantity THEN 'consumes_reserved_capacity' END AS reason FROM j)
 SELECT allocation_id, reason, CASE WHEN reason IS NULL THEN CAST(quantity AS DOUBLE) END AS allocated_delta FROM k""")
 def l8_allocations(s: Source) -> DataFrame:
-    reservations, available = _of_positions(s, RESERVED), _of_positions(s, AVAILABLE)
+    reservations, available = _of_positions(s, RESERVED), _of_positions(s, FREE)
     n = F.col("item_id") % 4
     own = F.concat(F.lit("r-"), "position_id")
     given = F.when(n == 2, own).when(n == 3, F.when(F.col("location_id") % 5 == 0, "r-none").otherwise(own))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import ranking, text
-from tallyhouse.operators import ledger, quality, replay, technology, work
+from tallyhouse.operators import commitments, ledger, quality, replay, technology, work
 from tallyhouse.operators.availability import key_text
 from tallyhouse.queries import QUERIES
 from tallyhouse.streaming import publish
@@ -161,3 +161,27 @@ def test_positions_are_ensured_with_one_move_of_candidates(spark, shuffled_joins
     made.collect()
     moved = [line for line in made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if re.search(r"\bExchange hashpartitioning\(_key", line) and "ReusedExchange" not in line]
     assert len(moved) == 2
+
+
+SCOPE_KINDS = "tenant_id int, warehouse_id int, item_id int, owner_id int, condition_id string, lot_id int, stock_scope_id int, attribute_set_id int, stock_segment_id int"
+SCOPE_1, SCOPE_2 = (1, 1, 2, 3, "g", None, None, 4, None), (1, 1, 2, 3, "g", 1, None, 4, None)
+
+
+def _stock(spark):
+    rows = [("p1", *SCOPE_1, Decimal(10), Decimal(1), Decimal(2), True, True), ("p2", *SCOPE_1, Decimal(4), Decimal(0), Decimal(4), True, True), ("p3", *SCOPE_2, Decimal(9), Decimal(0), Decimal(0), True, True), ("p4", *SCOPE_1, Decimal(9), Decimal(0), Decimal(0), False, True)]
+    return spark.createDataFrame(rows, f"position_id string, {SCOPE_KINDS}, physical_qty decimal(24,6), reserved_qty decimal(24,6), allocated_qty decimal(24,6), movement boolean, picking boolean")
+
+
+def test_allocations_meet_only_what_they_need(spark, shuffled_joins):
+    reservations = [("r1", *SCOPE_1, 7, Decimal(5), Decimal(0), Decimal(0), Decimal(0), None), ("r2", *SCOPE_2, 7, Decimal(5), Decimal(0), Decimal(0), Decimal(0), None), ("r3", *SCOPE_1, 7, Decimal(5), Decimal(0), Decimal(0), Decimal(0), T0), ("r4", *SCOPE_1, None, Decimal(50), Decimal(0), Decimal(0), Decimal(0), None)]
+    reservations = spark.createDataFrame(reservations, f"reservation_id string, {SCOPE_KINDS}, demand_id int, quantity decimal(24,6), allocated_qty decimal(24,6), consumed_qty decimal(24,6), released_qty decimal(24,6), released_at timestamp_ntz")
+    available = spark.createDataFrame([(*SCOPE_1, Decimal(2)), (*SCOPE_1, Decimal(3))], f"{SCOPE_KINDS}, available_qty decimal(24,6)")
+    asked = {
+        ("a", "p1", None, 7, 5): None, ("b", "p1", None, 7, 6): "consumes_reserved_capacity", ("c", "p2", None, 7, 1): "exceeds_free_quantity", ("d", "p3", None, 7, 1): "consumes_reserved_capacity", ("e", "p9", None, 7, 1): "unknown_position",
+        ("f", "p1", "r1", 7, 5): None, ("g", "p1", "r2", 7, 5): "reservation_does_not_match", ("h", "p1", "r3", 7, 5): "reservation_released", ("i", "p1", "r9", 7, 5): "unknown_reservation", ("j", "p1", "r1", 8, 5): "reservation_does_not_match",
+        ("k", "p1", "r1", 7, 6): "exceeds_reservation", ("l", "p2", "r1", 7, 1): "exceeds_free_quantity", ("m", "p1", "r4", None, 7): None, ("n", "p9", "r1", 7, 1): "unknown_position", ("o", "p1", "r4", 1, 7): "reservation_does_not_match",
+    }
+    requests = spark.createDataFrame([(*r[:4], Decimal(r[4])) for r in asked], "allocation_id string, position_id string, reservation_id string, demand_id int, quantity decimal(24,6)")
+    judged = commitments.judge_allocations(requests, _stock(spark), reservations, available)
+    assert {r["allocation_id"]: r["reason"] for r in judged.collect()} == {k[0]: why for k, why in asked.items()}
+    assert {r["allocation_id"]: r["allocated_delta"] for r in judged.where("reason is null").collect()} == {k[0]: k[4] for k, why in asked.items() if why is None}
