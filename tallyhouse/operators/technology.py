@@ -36,54 +36,96 @@ def _dispositions(rows: DataFrame, decisions: DataFrame, refs: str) -> DataFrame
     return rows.join(own, rows["id"] == own["_ref"], "left").drop("_ref").withColumn("dispositions", strings(F.col("dispositions")))
 
 
-def records(products: DataFrame, decisions: DataFrame, projects: DataFrame, sources: DataFrame) -> DataFrame:
+Texts = dict[str, Column]
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _parts(df: DataFrame, column: str) -> list[Column]:
+    """One text for each field of a struct."""
+    return [flat(F.col(column)[f.name], f.dataType) for f in df.schema[column].dataType.fields]
+
+
+def _of_product(df: DataFrame) -> Texts:
+    """What filters look at in a product's own columns; ``_of_decision`` and ``_of_project`` likewise."""
+    return {
+        "company": _texts(df, "company"), "product": _texts(df, "product"), "database": strings(F.col("technology.databases")), "api": strings(F.col("technology.api_integration")),
+        "deployment": F.array(*_parts(df, "deployment")), "technology": F.array(*_parts(df, "technology")),
+    }
+
+
+def _of_decision(df: DataFrame) -> Texts:
+    named = _texts(df, "name", "scope", "alternatives")
+    return {
+        "api": F.when(F.col("category") == API_DECISION, named).otherwise(_none()), "deployment": F.when(F.col("category") == DEPLOYMENT_DECISION, named).otherwise(_none()), "technology": _texts(df, "name", "category", "scope", "alternatives"),
+    }
+
+
+def _of_project(df: DataFrame) -> Texts:
+    api = F.when(F.col("category") == API_PROJECT, _texts(df, "name", "layers")).otherwise(_none())
+    return {"api": api, "technology": _texts(df, "name", "organization", "category", "project_kind", "layers"), "source": _texts(df, "upstream_url")}
+
+
+def records(products: DataFrame, decisions: DataFrame, projects: DataFrame, sources: DataFrame, market: DataFrame | None = None, referring: DataFrame | None = None) -> DataFrame:
     """kind, id, what each filter looks at (arrays of texts), dispositions, verification, confidence, n_gaps.
 
     ``products``: id, company, product, technology (struct with databases and api_integration), deployment (struct),
     verification (struct: state, confidence), source_refs, research_gaps.  ``decisions``: id, name, category, scope, disposition,
     confidence, alternatives, repository_refs, product_refs, project_refs.  ``projects``: id, name, organization, category,
     project_kind, upstream_url, layers.  ``sources``: id and what describes them.
+    Where ``products`` or ``decisions`` are but a part, ``market`` and ``referring`` are all of them, which links lead to.
     """
-    none = F.array().cast("array<string>")
+    market, referring = products if market is None else market, decisions if referring is None else referring
 
-    def shaped(df: DataFrame, kind: str, texts: dict[str, Column], dispositions: Column, verification: Column, confidence: Column, gaps: Column) -> DataFrame:
-        found = [texts.get(name, none).alias(name) for name in FILTERS]
+    def shaped(df: DataFrame, kind: str, texts: Texts, dispositions: Column, verification: Column, confidence: Column, gaps: Column) -> DataFrame:
+        found = [texts.get(name, _none()).alias(name) for name in FILTERS]
         return df.select(F.lit(kind).alias("kind"), "id", *found, dispositions.alias("dispositions"), verification.alias("verification"), confidence.alias("confidence"), gaps.cast("int").alias("n_gaps"))
 
-    sold = _dispositions(_linked(products, "source_refs", sources, "sources"), decisions, "product_refs")
-    technology, deployment = (sold.schema[c].dataType for c in ("technology", "deployment"))
+    sold = _dispositions(_linked(products, "source_refs", sources, "sources"), referring, "product_refs")
     product = shaped(
-        sold, "product",
-        {
-            "company": _texts(sold, "company"), "product": _texts(sold, "product"), "database": strings(F.col("technology.databases")), "api": strings(F.col("technology.api_integration")),
-            "deployment": F.array(*[flat(F.col("deployment")[f.name], f.dataType) for f in deployment.fields]), "technology": F.array(*[flat(F.col("technology")[f.name], f.dataType) for f in technology.fields]),
-            "source": each_flat(F.col("sources"), sold.schema["sources"].dataType),
-        },
+        sold, "product", _of_product(sold) | {"source": each_flat(F.col("sources"), sold.schema["sources"].dataType)},
         F.col("dispositions"), F.col("verification.state"), F.col("verification.confidence"), F.size(strings(F.col("research_gaps"))),
     )
-    market = products.select("id", F.col("company.name").alias("company"), F.col("product.name").alias("product"), "verification", "source_refs")
-    made = _linked(_linked(decisions, "product_refs", market, "competitor_products"), "project_refs", projects.select("id", "name", "organization", "category", "project_kind", "upstream_url"), "open_source_projects")
+    rivals = market.select("id", F.col("company.name").alias("company"), F.col("product.name").alias("product"), "verification", "source_refs")
+    made = _linked(_linked(decisions, "product_refs", rivals, "competitor_products"), "project_refs", projects.select("id", "name", "organization", "category", "project_kind", "upstream_url"), "open_source_projects")
     cited = made.select("id", F.array_distinct(F.flatten(F.transform(F.coalesce("competitor_products", F.array().cast(made.schema["competitor_products"].dataType)), lambda p: p["source_refs"]))).alias("refs"))
     made = made.join(_linked(cited, "refs", sources, "market_sources").select("id", "market_sources"), "id")
     competitors = each_flat(F.col("competitor_products"), made.schema["competitor_products"].dataType)
-    named = _texts(made, "name", "scope", "alternatives")
     decision = shaped(
-        made, "decision",
-        {
-            "company": competitors, "product": competitors, "api": F.when(F.col("category") == API_DECISION, named).otherwise(none), "deployment": F.when(F.col("category") == DEPLOYMENT_DECISION, named).otherwise(none),
-            "technology": _texts(made, "name", "category", "scope", "alternatives"), "source": _texts(made, "repository_refs", "market_sources", "open_source_projects"),
-        },
+        made, "decision", _of_decision(made) | {"company": competitors, "product": competitors, "source": _texts(made, "repository_refs", "market_sources", "open_source_projects")},
         F.array("disposition"), F.lit(None).cast("string"), F.col("confidence"), F.lit(0),
     )
-    known = _dispositions(projects, decisions, "project_refs")
-    project = shaped(
-        known, "open-source",
-        {"api": F.when(F.col("category") == API_PROJECT, _texts(known, "name", "layers")).otherwise(none), "technology": _texts(known, "name", "organization", "category", "project_kind", "layers"), "source": _texts(known, "upstream_url")},
-        F.col("dispositions"), F.lit(None).cast("string"), F.lit(""), F.lit(0),
-    )
+    known = _dispositions(projects, referring, "project_refs")
+    project = shaped(known, "open-source", _of_project(known), F.col("dispositions"), F.lit(None).cast("string"), F.lit(""), F.lit(0))
     return decision.unionByName(product).unionByName(project)
 
 
+def find(
+    products: DataFrame, decisions: DataFrame, projects: DataFrame, sources: DataFrame, kinds: tuple[str, ...] = (), decision: tuple[str, ...] = (), verification: tuple[str, ...] = (), confidence: tuple[str, ...] = (), research_gaps: bool = False, **terms: tuple[str, ...]
+) -> DataFrame:
+    """``search`` in the ``records`` of these tables: filters on a row's own columns come first, so only rows that meet them are linked."""
+
+    def own(df: DataFrame, kind: str, texts: Texts, sure: Column, gaps: bool = False) -> DataFrame:
+        if (kinds and kind not in kinds) or ((verification or research_gaps) and not gaps):
+            return df.where(F.lit(False))
+        for name in terms.keys() & texts.keys():
+            df = df.where(matches_terms(texts[name], list(terms[name])))
+        return df.where(sure.isin(*confidence)) if confidence else df
+
+    some = own(products, "product", _of_product(products), F.col("verification.confidence"), True)
+    if verification:
+        some = some.where(F.col("verification.state").isin(*verification))
+    if research_gaps:
+        some = some.where(F.size(strings(F.col("research_gaps"))) > 0)
+    few = own(decisions, "decision", _of_decision(decisions), F.col("confidence"))
+    if decision:
+        few = few.where(contains_all(F.array("disposition"), list(decision)))
+    found = records(some, few, projects, sources, market=products, referring=decisions)
+    return search(found, kinds, decision, verification, confidence, research_gaps, **terms)
+
+
 def search(
     found: DataFrame, kinds: tuple[str, ...] = (), decision: tuple[str, ...] = (), verification: tuple[str, ...] = (), confidence: tuple[str, ...] = (), research_gaps: bool = False, **terms: tuple[str, ...]
 ) -> DataFrame:

@@ -238,7 +238,7 @@ NATIONS = f"SELECT n_nationkey AS k, concat('os-', CAST(n_nationkey AS VARCHAR(2
 
 
 def _technology(s: Source) -> dict[str, DataFrame]:
-    offers = s.relation("offers").join(s.relation("companies"), "company_id").join(s.table("part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product")), "product_id")
+    offers = s.share("offers").relation("offers").join(s.relation("companies"), "company_id").join(s.table("part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product")), "product_id")
     key = F.concat_ws("/", F.col("company_id").cast("string"), F.col("product_id").cast("string"))
     texts = {"primary_stack": F.array("product"), "databases": F.array("category"), "api_integration": F.array("layer")}
     source = F.concat(F.lit("src-"), "country")
@@ -269,7 +269,7 @@ UNION ALL SELECT 1, 'product', o.id FROM o JOIN d ON d.k = o.product_id WHERE lo
 SELECT kind, id FROM m ORDER BY place, id LIMIT 60""")
 def k12_technology_search(s: Source) -> DataFrame:
     t = _technology(s)
-    found = technology.search(technology.records(**t), decision=("adopt",), technology=("Widget",), source=("nation 1",))
+    found = technology.find(**t, decision=("adopt",), technology=("Widget",), source=("nation 1",))
     return technology.page(found, 60).select("kind", "id")
 
 
@@ -278,20 +278,20 @@ def k12_technology_search(s: Source) -> DataFrame:
 m AS (SELECT 'decision' AS kind FROM d WHERE category = 'api-contract' AND confidence IN ('high', 'medium') UNION ALL SELECT 'product' FROM o WHERE layer = 'ECONOMY' AND confidence IN ('high', 'medium')),
 t AS (SELECT COUNT(*) AS n FROM m) SELECT kind, COUNT(*) AS matched, n AS total, LEAST(n, 25) AS returned FROM m, t GROUP BY kind, n""")
 def t9_search_summary(s: Source) -> DataFrame:
-    found = technology.search(technology.records(**_technology(s)), api=("economy",), confidence=("high", "medium"))
+    found = technology.find(**_technology(s), api=("economy",), confidence=("high", "medium"))
     return technology.summary(found, 25)
 
 
 @query(("offers", "companies"), f"""
 , o AS ({_OFFERED}) SELECT id FROM o WHERE state IN ('research-gap', 'partial') AND product_id % 5 = 0 AND company LIKE '%3' AND country LIKE 'NATION_%2%'""")
 def f7_product_filters(s: Source) -> DataFrame:
-    found = technology.search(technology.records(**_technology(s)), kinds=("product",), verification=("research-gap", "partial"), research_gaps=True, deployment=("nation", "2"), company=("supplier",))
+    found = technology.find(**_technology(s), kinds=("product",), verification=("research-gap", "partial"), research_gaps=True, deployment=("nation", "2"), company=("supplier",))
     return found.where(F.exists("company", lambda c: c.endswith("3"))).select("id")
 
 
 @query((), "SELECT DISTINCT concat('os-', n_nationkey) AS id FROM nation WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey % 27 = n_nationkey AND p_size % 4 = 0) AND EXISTS (SELECT 1 FROM part WHERE p_partkey % 27 = n_nationkey AND p_size % 4 = 3)")
 def f8_all_dispositions(s: Source) -> DataFrame:
-    return technology.search(technology.records(**_technology(s)), kinds=("open-source",), decision=("adopt", "reject")).select("id")
+    return technology.find(**_technology(s), kinds=("open-source",), decision=("adopt", "reject")).select("id")
 
 
 @query(("offers", "companies"), f"""

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import ranking, text
 from tallyhouse.operators import commitments, ledger, quality, replay, technology, work
 from tallyhouse.operators.availability import key_text
+from tallyhouse.plans.mapping import Source
 from tallyhouse.queries import QUERIES
+from tallyhouse.queries_records import _technology
 from tallyhouse.streaming import publish
 from tests.oracle import FOLDER
 
@@ -185,3 +187,13 @@ def test_allocations_meet_only_what_they_need(spark, shuffled_joins):
     judged = commitments.judge_allocations(requests, _stock(spark), reservations, available)
     assert {r["allocation_id"]: r["reason"] for r in judged.collect()} == {k[0]: why for k, why in asked.items()}
     assert {r["allocation_id"]: r["allocated_delta"] for r in judged.where("reason is null").collect()} == {k[0]: k[4] for k, why in asked.items() if why is None}
+
+
+@pytest.mark.parametrize("filters", [
+    {"decision": ("adopt",), "technology": ("Widget",), "source": ("nation 1",)}, {"api": ("economy",), "confidence": ("high", "medium")}, {"kinds": ("open-source",), "decision": ("adopt", "reject")}, {"company": ("supplier",), "decision": ("trial",)},
+    {"verification": ("partial",), "research_gaps": True, "deployment": ("nation", "2")}, {"kinds": ("decision", "product"), "confidence": ("low",), "database": ("brand",)}, {},
+])
+def test_filters_come_before_links_and_find_the_same(spark, filters):
+    tables = _technology(Source(spark, FOLDER))
+    found = technology.find(**tables, **filters)
+    assert sorted(map(tuple, found.select("kind", "id").collect())) == sorted(map(tuple, technology.search(technology.records(**tables), **filters).select("kind", "id").collect()))
