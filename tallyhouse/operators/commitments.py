@@ -93,27 +93,35 @@ def release_allocations(requests: DataFrame, allocations: DataFrame, reservation
 
 def judge_picks(requests: DataFrame, allocations: DataFrame, positions: DataFrame) -> DataFrame:
     """``requests`` (pick_id, allocation_id, target_id, quantity) with source_id and reason (null: accepted): a pick consumes an allocation
-    by moving stock.  ``positions``: as for ``ledger.judge_movements``, with picking."""
-    c = F.col
+    by moving stock.  ``positions``: as for ``ledger.judge_movements``, with picking.  What the
+    allocation alone refuses doesn't meet the positions."""
+    c, q = F.col, F.col("quantity")
     own = allocations.select("allocation_id", c("position_id").alias("source_id"), _remaining().alias("left"), c("released_at").alias("ended"))
-    source = positions.select(c("position_id").alias("source_id"), F.struct(*SCOPE).alias("source_scope"), "physical_qty", "reserved_qty", "allocated_qty", (c("picking") & c("movement")).alias("source_moves"))
-    target = positions.select(c("position_id").alias("target_id"), F.struct(*SCOPE).alias("target_scope"), c("movement").alias("target_moves"))
-    found = requests.join(own, "allocation_id", "left").join(source, "source_id", "left").join(target, "target_id", "left")
-    differs = reduce(lambda a, b: a | b, (~c(f"source_scope.{k}").eqNullSafe(c(f"target_scope.{k}")) for k in SCOPE))
-    q = c("quantity")
-    reason = _first([
-        (c("source_id").isNull(), "unknown_allocation"), (c("ended").isNotNull(), "allocation_released"), (c("left") < q, "exceeds_allocation"), (c("source_scope").isNull() | c("target_scope").isNull(), "unknown_position"),
-        (differs, "other_stock_identity"), (~(c("source_moves") & c("target_moves")), "not_eligible"), ((c("allocated_qty") < q) | (c("physical_qty") < q), "source_cannot_satisfy"),
-        (c("physical_qty") - q < F.greatest(c("reserved_qty"), c("allocated_qty") - q), "strands_commitments"),
+    source = positions.select(
+        c("position_id").alias("source_id"), key_text(positions, *SCOPE).alias("source_scope"), (c("picking") & c("movement")).alias("source_moves"),
+        F.least("physical_qty", "allocated_qty").alias("most"), (c("physical_qty") - c("reserved_qty")).alias("unreserved"), (c("physical_qty") < c("allocated_qty")).alias("overdrawn"),
+    )
+    target = positions.select(c("position_id").alias("target_id"), key_text(positions, *SCOPE).alias("target_scope"), c("movement").alias("target_moves"))
+    refused = _first([(c("source_id").isNull(), "unknown_allocation"), (c("ended").isNotNull(), "allocation_released"), (c("left") < q, "exceeds_allocation")])
+    taken = requests.join(own, "allocation_id", "left").select(*requests.columns, "source_id", refused.alias("reason"))
+    found = taken.where("reason is null").drop("reason").join(source, "source_id", "left")
+    short = _first([(c("most") < q, "source_cannot_satisfy"), ((c("unreserved") < q) | c("overdrawn"), "strands_commitments")])
+    found = found.select(*requests.columns, "source_id", "source_scope", "source_moves", short.alias("short")).join(target, "target_id", "left")
+    stopped = _first([
+        (c("source_scope").isNull() | c("target_scope").isNull(), "unknown_position"), (c("source_scope") != c("target_scope"), "other_stock_identity"), (~(c("source_moves") & c("target_moves")), "not_eligible"),
     ])
-    return found.select(*requests.columns, "source_id", reason.alias("reason"))
+    return found.select(*requests.columns, "source_id", F.coalesce(stopped, "short").alias("reason")).unionByName(taken.where("reason is not null"))
 
 
 def pick_legs(judged: DataFrame) -> DataFrame:
     """pick_id, position_id, physical_delta, allocated_delta: two legs of each accepted pick; the physical ones sum to zero."""
+    return pick_outcomes(judged).where("reason is null").drop("reason")
+
+
+def pick_outcomes(judged: DataFrame) -> DataFrame:
+    """pick_id, reason, position_id, physical_delta, allocated_delta: the legs of accepted picks, and one row with the source for each refused one."""
     q = F.col("quantity")
-    ends = F.array(
-        F.struct(F.col("source_id").alias("position_id"), qty(-q).alias("physical_delta"), qty(-q).alias("allocated_delta")),
-        F.struct(F.col("target_id").alias("position_id"), qty(q).alias("physical_delta"), qty(F.lit(0)).alias("allocated_delta")),
-    )
-    return judged.where("reason is null").select("pick_id", F.explode(ends).alias("leg")).select("pick_id", "leg.*")
+    ends = [F.struct(F.col(end).alias("position_id"), qty(moved).alias("physical_delta"), qty(taken).alias("allocated_delta")) for end, moved, taken in (("source_id", -q, -q), ("target_id", q, F.lit(0)))]
+    refused = F.struct(F.col("source_id").alias("position_id"), qty(F.lit(None)).alias("physical_delta"), qty(F.lit(None)).alias("allocated_delta"))
+    legs = F.when(F.col("reason").isNull(), F.array(*ends)).otherwise(F.array(refused))
+    return judged.select("pick_id", "reason", F.explode(legs).alias("leg")).select("pick_id", "reason", "leg.*")

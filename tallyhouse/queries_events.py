@@ -406,13 +406,13 @@ def l11_picks(s: Source) -> DataFrame:
     allocations = _of_positions(s, ALLOCATED)
     n = F.col("item_id")
     known = s.relation("positions").withColumn("picking", n % 14 != 5).withColumn("movement", n % 6 != 4)
-    after = F.lead("position_id").over(Window.partitionBy(*SCOPE).orderBy("position_id"))
-    targets = s.relation("positions").select("position_id", "item_id", after.alias("after")).select("position_id", F.coalesce("after", F.when(n % 2 == 0, "nowhere").otherwise(F.col("position_id"))).alias("target_id"), (1 + n % 12).cast("decimal(24,6)").alias("q"))
-    requests = allocations.join(targets, "position_id").select(F.concat(F.lit("p-"), "allocation_id").alias("pick_id"), "allocation_id", "target_id", F.col("q").alias("quantity"))
-    judged = stored(commitments.judge_picks(requests, allocations, known), "picks")
-    none = F.lit(None).cast("decimal(24,6)")
-    refused = judged.where("reason is not null").select("pick_id", F.col("source_id").alias("position_id"), none.alias("physical_delta"), none.alias("allocated_delta"), "reason")
-    return commitments.pick_legs(judged).withColumn("reason", F.lit(None).cast("string")).unionByName(refused)
+    positions = s.relation("positions").select("position_id", "item_id", "allocated_qty", availability.key_text(known, *SCOPE).alias("scope"))
+    after = F.lead("position_id").over(Window.partitionBy("scope").orderBy("position_id"))
+    own = F.concat(F.lit("a-"), "position_id")
+    requests = positions.withColumn("after", after).where("allocated_qty > 0").select(
+        F.concat(F.lit("p-"), own).alias("pick_id"), own.alias("allocation_id"), F.coalesce("after", F.when(n % 2 == 0, "nowhere").otherwise(F.col("position_id"))).alias("target_id"), (1 + n % 12).cast("decimal(24,6)").alias("quantity"),
+    )
+    return commitments.pick_outcomes(commitments.judge_picks(requests, allocations, known)).select("pick_id", "position_id", "physical_delta", "allocated_delta", "reason")
 
 
 # ---- work commands --------------------------------------------------------------------------------------
