@@ -120,23 +120,31 @@ def judge_issues(requests: DataFrame, positions: DataFrame) -> DataFrame:
 def judge_movements(requests: DataFrame, positions: DataFrame) -> DataFrame:
     """``requests`` (movement_id, source_id, target_id, quantity) with reason (null: accepted): both ends may move, differ in their
     anchor alone, and the source keeps what is committed.  ``positions``: position_id, the scope, quantities, movement."""
-    def end(name: str, *more: str) -> DataFrame:
-        return positions.select(F.col("position_id").alias(f"{name}_id"), F.struct(*SCOPE).alias(f"{name}_scope"), F.col("movement").alias(f"{name}_moves"), *more)
+    def end(name: str, *more: Column) -> DataFrame:
+        return positions.select(F.col("position_id").alias(f"{name}_id"), key_text(positions, *SCOPE).alias(f"{name}_scope"), F.col("movement").alias(f"{name}_moves"), *more)
 
-    found = requests.join(end("source", "physical_qty", "reserved_qty", "allocated_qty"), "source_id", "left").join(end("target"), "target_id", "left")
     c = F.col
-    differs = reduce(lambda a, b: a | b, (~c(f"source_scope.{k}").eqNullSafe(c(f"target_scope.{k}")) for k in SCOPE))
-    reason = _first_reason([
-        (c("source_scope").isNull() | c("target_scope").isNull(), "unknown_position"), (~c("source_moves"), "source_not_eligible"), (~c("target_moves"), "target_not_eligible"), (differs, "other_stock_identity"),
-        *_short(c("quantity"), c("physical_qty"), c("reserved_qty"), c("allocated_qty")),
-    ])
+    committed = F.greatest("reserved_qty", "allocated_qty").alias("committed")
+    found = requests.join(end("source", c("physical_qty"), committed), "source_id", "left")
+    short = _first_reason(_short(c("quantity"), c("physical_qty"), c("committed"), c("committed")))
+    found = found.select(*requests.columns, "source_scope", "source_moves", short.alias("short")).join(end("target"), "target_id", "left")
+    reason = F.coalesce(_first_reason([
+        (c("source_scope").isNull() | c("target_scope").isNull(), "unknown_position"), (~c("source_moves"), "source_not_eligible"), (~c("target_moves"), "target_not_eligible"), (c("source_scope") != c("target_scope"), "other_stock_identity"),
+    ]), "short")
     return found.select(*requests.columns, reason.alias("reason"))
 
 
 def movement_legs(judged: DataFrame) -> DataFrame:
     """movement_id, position_id, physical_delta: two legs of each accepted movement, which sum to zero."""
-    ends = F.array(F.struct(F.col("source_id").alias("position_id"), qty(-F.col("quantity")).alias("physical_delta")), F.struct(F.col("target_id").alias("position_id"), qty(F.col("quantity")).alias("physical_delta")))
-    return judged.where("reason is null").select("movement_id", F.explode(ends).alias("leg")).select("movement_id", "leg.*")
+    return movement_outcomes(judged).where("reason is null").drop("reason")
+
+
+def movement_outcomes(judged: DataFrame) -> DataFrame:
+    """movement_id, reason, position_id, physical_delta: the legs of accepted movements, and one row for each refused one."""
+    q = F.col("quantity")
+    ends = F.array(*[F.struct(F.col(end).alias("position_id"), qty(moved).alias("physical_delta")) for end, moved in (("source_id", -q), ("target_id", q))])
+    legs = F.when(F.col("reason").isNull(), ends)
+    return judged.select("movement_id", "reason", F.explode_outer(legs).alias("leg")).select("movement_id", "reason", "leg.*")
 
 
 def judge_reconciliations(counts: DataFrame, positions: DataFrame) -> DataFrame:

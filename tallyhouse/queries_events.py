@@ -264,9 +264,7 @@ def l4_movements(s: Source) -> DataFrame:
     known = s.relation("positions").withColumn("movement", F.col("item_id") % 10 != 3)
     after = F.lead("position_id").over(Window.partitionBy("item_id", "condition_id").orderBy("position_id"))
     requests = known.withColumn("target_id", after).where("target_id is not null").select(F.concat(F.lit("m-"), "position_id").alias("movement_id"), F.col("position_id").alias("source_id"), "target_id", (F.col("item_id") % 9 + 1).cast("decimal(24,6)").alias("quantity"))
-    judged = stored(ledger.judge_movements(requests, known), "movements")
-    refused = judged.where("reason is not null").select("movement_id", F.lit(None).cast("string").alias("position_id"), F.lit(None).cast("decimal(24,6)").alias("physical_delta"), "reason")
-    return ledger.movement_legs(judged).withColumn("reason", F.lit(None).cast("string")).unionByName(refused)
+    return ledger.movement_outcomes(ledger.judge_movements(requests, known)).select("movement_id", "position_id", "physical_delta", "reason")
 
 
 COUNTED = (

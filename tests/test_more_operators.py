@@ -197,3 +197,21 @@ def test_filters_come_before_links_and_find_the_same(spark, filters):
     tables = _technology(Source(spark, FOLDER))
     found = technology.find(**tables, **filters)
     assert sorted(map(tuple, found.select("kind", "id").collect())) == sorted(map(tuple, technology.search(technology.records(**tables), **filters).select("kind", "id").collect()))
+
+
+def test_picks_and_movements_are_told_in_one_pass(spark, shuffled_joins):
+    none = Decimal(0)
+    allocations = spark.createDataFrame([("a1", "p1", Decimal(5), none, none, None), ("a2", "p2", Decimal(4), none, none, None), ("a3", "p1", Decimal(4), none, none, T0), ("a4", "p9", Decimal(4), none, none, None)], "allocation_id string, position_id string, quantity decimal(24,6), consumed_qty decimal(24,6), released_qty decimal(24,6), released_at timestamp_ntz")
+    asked = {("1", "a1", "p2", 2): None, ("2", "a9", "p2", 2): "unknown_allocation", ("3", "a3", "p2", 2): "allocation_released", ("4", "a1", "p2", 6): "exceeds_allocation", ("5", "a4", "p2", 2): "unknown_position", ("6", "a1", "p8", 2): "unknown_position", ("7", "a1", "p3", 2): "other_stock_identity", ("8", "a1", "p4", 2): "not_eligible", ("9", "a1", "p2", 3): "source_cannot_satisfy", ("10", "a2", "p1", 4): None}
+    requests = spark.createDataFrame([(*r[:3], Decimal(r[3])) for r in asked], "pick_id string, allocation_id string, target_id string, quantity decimal(24,6)")
+    judged = commitments.judge_picks(requests, allocations, _stock(spark))
+    assert {r["pick_id"]: r["reason"] for r in judged.collect()} == {k[0]: why for k, why in asked.items()}
+    told = {(r["pick_id"], r["position_id"], r["physical_delta"], r["allocated_delta"], r["reason"]) for r in commitments.pick_outcomes(judged).where("pick_id in ('1', '2', '3')").collect()}
+    assert told == {("1", "p1", -2, -2, None), ("1", "p2", 2, 0, None), ("2", None, None, None, "unknown_allocation"), ("3", "p1", None, None, "allocation_released")}
+    assert {tuple(r) for r in commitments.pick_legs(judged).where("pick_id = '10'").collect()} == {("10", "p2", -4, -4), ("10", "p1", 4, 0)}
+    asked = {("1", "p1", "p2", 2): None, ("2", "p1", "p9", 2): "unknown_position", ("3", "p4", "p1", 2): "source_not_eligible", ("4", "p1", "p4", 2): "target_not_eligible", ("5", "p1", "p3", 99): "other_stock_identity", ("6", "p1", "p2", 11): "exceeds_physical", ("7", "p1", "p2", 9): "strands_commitments"}
+    requests = spark.createDataFrame([(*r[:3], Decimal(r[3])) for r in asked], "movement_id string, source_id string, target_id string, quantity decimal(24,6)")
+    judged = ledger.judge_movements(requests, _stock(spark))
+    assert {r["movement_id"]: r["reason"] for r in judged.collect()} == {k[0]: why for k, why in asked.items()}
+    assert {tuple(r) for r in ledger.movement_legs(judged).collect()} == {("1", "p1", -2), ("1", "p2", 2)}
+    assert ledger.movement_outcomes(judged).count() == 8
