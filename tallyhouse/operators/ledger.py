@@ -195,9 +195,9 @@ def ineligible_allocations(changes: DataFrame, positions: DataFrame) -> DataFram
 def serial_errors(members: DataFrame, positions: DataFrame, tracking: DataFrame) -> DataFrame:
     """serial_id and reason of serial memberships (serial_id, position_id, item_id): the item is tracked by serial (``tracking``: item_id,
     exact), it is the position's, and no serial is in two positions."""
-    twice = members.groupBy("serial_id").agg(F.count_distinct("position_id").alias("_n"))
+    twice = members.groupBy("serial_id").agg(F.min("position_id").alias("_least"), F.max("position_id").alias("_most"))
     found = members.join(twice, "serial_id").join(positions.select("position_id", F.col("item_id").alias("_item")), "position_id", "left").join(tracking, "item_id", "left")
-    reason = _first_reason([(~F.coalesce("exact", F.lit(False)), "item_not_tracked"), (~F.col("item_id").eqNullSafe(F.col("_item")), "item_differs"), (F.col("_n") > 1, "in_two_positions")])
+    reason = _first_reason([(~F.coalesce("exact", F.lit(False)), "item_not_tracked"), (~F.col("item_id").eqNullSafe(F.col("_item")), "item_differs"), (F.col("_least") != F.col("_most"), "in_two_positions")])
     return found.select("serial_id", "position_id", reason.alias("reason")).where("reason is not null")
 
 

@@ -215,3 +215,11 @@ def test_picks_and_movements_are_told_in_one_pass(spark, shuffled_joins):
     assert {r["movement_id"]: r["reason"] for r in judged.collect()} == {k[0]: why for k, why in asked.items()}
     assert {tuple(r) for r in ledger.movement_legs(judged).collect()} == {("1", "p1", -2), ("1", "p2", 2)}
     assert ledger.movement_outcomes(judged).count() == 8
+
+
+def test_serials_in_two_positions_are_seen_by_their_bounds(spark, shuffled_joins):
+    members = spark.createDataFrame([("s", 1, 5), ("s", 2, 5), ("t", 1, 5), ("t", 1, 5), ("u", None, 5), ("u", 1, 5)], "serial_id string, position_id int, item_id int")
+    found = ledger.serial_errors(members, spark.createDataFrame([(1, 5), (2, 5)], "position_id int, item_id int"), spark.createDataFrame([(5, True)], "item_id int, exact boolean"))
+    assert "hashpartitioning(serial_id#" in (plan := found._jdf.queryExecution().executedPlan().toString())
+    assert not re.search(r"hashpartitioning\(serial_id#\d+, position_id", plan)
+    assert {tuple(r) for r in found.collect()} == {("s", 1, "in_two_positions"), ("s", 2, "in_two_positions"), ("u", None, "item_differs")}
