@@ -87,24 +87,22 @@ def scope_availability(positions: DataFrame, reservations: DataFrame, holds: Dat
     """Totals of all positions of a scope, and what is available: the eligible ones' free
     quantity less the reservations, clamped at zero for the scope (not for each position).
 
-    Both sides are summed before they meet, so the join is one row to one.
+    Positions, holds of a scope and reservations meet in one grouping by scope, where nulls are equal; a scope counts where it has positions.
     """
     free = F.col("physical_qty") - F.col("allocated_qty") - F.col("reserved_qty")
-    marked = with_eligibility(positions, holds, policies, action, as_of)
-    stock = marked.groupBy(*SCOPE).agg(
-        qty(F.sum("physical_qty")).alias("physical_qty"),
-        qty(F.sum("reserved_qty")).alias("exact_reserved_qty"),
-        qty(F.sum("allocated_qty")).alias("allocated_qty"),
-        qty(F.sum(F.when(F.col("eligible"), free).otherwise(0))).alias("eligible_free_qty"),
-    )
-    claims = remaining(reservations).groupBy(*SCOPE).agg(qty(F.sum("remaining_qty")).alias("coarse_reserved_qty"))
-    joined = stock.join(claims, same_keys(stock, claims), "left")
-    claimed = F.coalesce(claims["coarse_reserved_qty"], F.lit(0).cast("decimal(24,6)"))
-    zero = F.lit(0).cast("decimal(24,6)")
-    return joined.select(
-        *[stock[k] for k in SCOPE], "physical_qty", "exact_reserved_qty", "allocated_qty",
-        qty(claimed).alias("coarse_reserved_qty"), qty(F.greatest(qty(F.col("eligible_free_qty") - claimed), zero)).alias("available_qty"),
+    blocking = blocking_holds(holds, policies, action, as_of)
+    on_position = blocking.where("position_id is not null").select("position_id").distinct().withColumn("held", F.lit(True))
+    on_scope = blocking.where("position_id is null").select(*SCOPE, F.lit(True).alias("scope_held")).distinct()
+    own = positions.join(on_position, "position_id", "left").select(*SCOPE, "physical_qty", "reserved_qty", "allocated_qty", F.when(F.col("held").isNull(), free).otherwise(0).alias("free"), F.lit(True).alias("stocked"))
+    claims = remaining(reservations).select(*SCOPE, F.col("remaining_qty").alias("claimed"))
+    met = own.unionByName(on_scope, allowMissingColumns=True).unionByName(claims, allowMissingColumns=True).groupBy(*SCOPE).agg(
+        *[qty(F.sum(c)).alias(name) for c, name in (("physical_qty", "physical_qty"), ("reserved_qty", "exact_reserved_qty"), ("allocated_qty", "allocated_qty"), ("free", "free"), ("claimed", "claimed"))],
+        F.bool_or("scope_held").alias("scope_held"), F.bool_or("stocked").alias("stocked"),
     )
+    zero = F.lit(0).cast("decimal(24,6)")
+    claimed = F.coalesce("claimed", zero)
+    eligible_free = F.when(F.col("scope_held"), zero).otherwise(F.col("free"))
+    return met.where("stocked").select(*SCOPE, "physical_qty", "exact_reserved_qty", "allocated_qty", qty(claimed).alias("coarse_reserved_qty"), qty(F.greatest(qty(eligible_free - claimed), zero)).alias("available_qty"))
 
 
 def candidates(positions: DataFrame, scope: dict[str, object], limit: int = 20) -> DataFrame:

@@ -223,3 +223,8 @@ def test_serials_in_two_positions_are_seen_by_their_bounds(spark, shuffled_joins
     assert "hashpartitioning(serial_id#" in (plan := found._jdf.queryExecution().executedPlan().toString())
     assert not re.search(r"hashpartitioning\(serial_id#\d+, position_id", plan)
     assert {tuple(r) for r in found.collect()} == {("s", 1, "in_two_positions"), ("s", 2, "in_two_positions"), ("u", None, "item_differs")}
+
+
+def test_availability_meets_in_one_grouping(spark, shuffled_joins):
+    plan = QUERIES["a2_scope_availability"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isnull(lot_id" not in plan and "Union" in plan
