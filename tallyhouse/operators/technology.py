@@ -159,14 +159,15 @@ def summary(matched: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def join_errors(products: DataFrame, deployments: DataFrame, decisions: DataFrame, projects: DataFrame, sources: DataFrame) -> DataFrame:
-    """key and rule of everything that doesn't join: products and deployments, declared counts, sources, and what decisions refer to."""
+    """key and rule of everything that doesn't join: products and deployments, declared counts, sources, and what decisions refer to.
+    Only what is left over is made distinct, and ids that several rules look at are shuffled in the same form."""
 
     def unmatched(left: DataFrame, right: DataFrame, rule: str) -> DataFrame:
-        return left.select("id").distinct().join(right.select("id").distinct(), "id", "left_anti").select(F.col("id").alias("key"), F.lit(rule).alias("rule"))
+        return left.select("id").join(right.select("id"), "id", "left_anti").distinct().select(F.col("id").alias("key"), F.lit(rule).alias("rule"))
 
     def dangling(rows: DataFrame, refs: str, target: DataFrame, rule: str) -> DataFrame:
-        wanted = rows.select(F.col("id").alias("_owner"), F.explode(refs).alias("id")).distinct()
-        return wanted.join(target.select("id").distinct(), "id", "left_anti").select(F.concat_ws(" -> ", "_owner", "id").alias("key"), F.lit(rule).alias("rule"))
+        wanted = rows.select(F.col("id").alias("_owner"), F.explode(refs).alias("id"))
+        return wanted.join(target.select("id"), "id", "left_anti").distinct().select(F.concat_ws(" -> ", "_owner", "id").alias("key"), F.lit(rule).alias("rule"))
 
     miscounted = products.where(F.coalesce("source_count", F.lit(0)) != F.size(strings(F.col("source_refs")))).select(F.col("id").alias("key"), F.lit("source_count_differs").alias("rule"))
     return findings(

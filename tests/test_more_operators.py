@@ -228,3 +228,11 @@ def test_serials_in_two_positions_are_seen_by_their_bounds(spark, shuffled_joins
 def test_availability_meets_in_one_grouping(spark, shuffled_joins):
     plan = QUERIES["a2_scope_availability"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "isnull(lot_id" not in plan and "Union" in plan
+
+
+def test_join_errors_make_only_leftovers_distinct(spark, shuffled_joins):
+    """No side of an anti join is made distinct before it."""
+    tables = _technology(Source(spark, FOLDER))
+    found = technology.join_errors(tables["products"], tables["sources"], tables["decisions"].limit(9), tables["projects"], tables["sources"])
+    joins = found._jdf.queryExecution().analyzed().toString().split("Join LeftAnti")[1:]
+    assert len(joins) == 5 and not any(re.match(r"[^\n]*\n[ :]*[:+]- (Deduplicate|Distinct)", below) for below in joins)
